@@ -45,7 +45,7 @@ def folder(tmp_path):
 def test_find_crawl_and_sort(spark, folder):
     assert files.find_dicoms(spark, str(folder / "in")).count() == 3
     assert files.find_dicoms(spark, str(folder / "in"), check_header=True).count() == 2
-    assert files.find_dicoms(spark, str(folder / "in"), search_input=["a", "1"]).count() == 1
+    assert files.find_dicoms(spark, str(folder / "in"), search_input=["in", "2.DCM"]).count() == 1
     c = pipeline.Crawler(spark, str(folder / "in"), str(folder / "out"))
     index = {r.SeriesInstanceUID: r for r in c.index().collect()}
     assert index["2.2"].ReferencedModality == "CT" and c.instances().where("error is not null").count() == 1
