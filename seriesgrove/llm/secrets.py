@@ -4,9 +4,10 @@ Base spans come from three patterns (leftmost, not overlapping per kind).  The
 method adds spans of kind ``markov``: runs of ``MIN_RUN`` or more characters of
 the key alphabet whose log-likelihood ratio per transition between a
 first-order Markov model of random strings and one of ordinary identifiers
-exceeds ``MIN_RATIO``, where they overlap no base span.
+exceeds ``MIN_RATIO`` and that have ``MIN_DISTINCT`` different characters, where
+they overlap no base span.
 
-Both models are transition counts with add-one smoothing, trained from labelled
+Both models are transition counts, backed off to character counts, trained from labelled
 samples: ``random`` are strings made by a rule (digests in hex, base64 and
 upper-case letters and digits), ``ordinary`` are the runs of letters, digits
 and joiners in at most ``TRAIN_DOCS`` documents (least hash of doc_id) outside
@@ -41,9 +42,10 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-MIN_RUN, MIN_RATIO = 16, 0.8
+MIN_RUN, MIN_RATIO, MIN_DISTINCT = 16, 2.5, 8
 RUN = rf"[A-Za-z0-9+/_-]{{{MIN_RUN},}}"
 TRAIN_DOCS, TRAIN_RANDOM = 2000, 2000
+BACKOFF = 8.0
 
 
 def _counts(samples: DataFrame) -> dict[tuple[str, str], int]:
@@ -68,10 +70,13 @@ def train(spark: SparkSession, docs: DataFrame) -> list[float]:
     up, down = _counts(made), _counts(ordinary)
 
     def logs(n: dict[tuple[str, str], int]) -> list[list[float]]:
+        seen = {b: sum(n.get((a, b), 0) for a in ALPHABET) for b in ALPHABET}
+        every = sum(seen.values()) + len(ALPHABET)
+        back = {b: (seen[b] + 1) / every for b in ALPHABET}  # for transitions out of a rare character
         out = []
         for a in ALPHABET:
-            total = sum(n.get((a, b), 0) for b in ALPHABET) + len(ALPHABET)
-            out.append([math.log((n.get((a, b), 0) + 1) / total) for b in ALPHABET])
+            total = sum(n.get((a, b), 0) for b in ALPHABET) + BACKOFF
+            out.append([math.log((n.get((a, b), 0) + BACKOFF * back[b]) / total) for b in ALPHABET])
         return out
 
     return [round(x - y, 6) for p, q in zip(logs(up), logs(down), strict=True) for x, y in zip(p, q, strict=True)]
@@ -106,7 +111,8 @@ def find(spark: SparkSession, docs: DataFrame, model: list[float] | None = None)
     model = train(spark, docs) if model is None else model
     rows = with_row_id(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     base = _found(rows, 0, ASSIGN, 2).where(F.char_length("m") >= 8).unionByName(_found(rows, 1, ACCESS)).unionByName(_found(rows, 2, HEX))
-    extra = _found(rows, 3, RUN).where(ratio("m", model) > MIN_RATIO)
+    varied = F.size(F.array_distinct(F.split("m", ""))) >= MIN_DISTINCT  # a repeated character is not random
+    extra = _found(rows, 3, RUN).where(varied & (ratio("m", model) > MIN_RATIO))
     spans = stored(spark, base.unionByName(extra).select("_row", "kind", "s", "e"), "spans")
     w = Window.partitionBy("_row").orderBy("s")
     before = F.max(F.when(F.col("kind") < 3, F.col("e"))).over(w.rangeBetween(Window.unboundedPreceding, 0))
