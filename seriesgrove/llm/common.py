@@ -55,6 +55,15 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The file scan ``docs`` without the rows in ``dropped`` (_row).
+
+    Both sides are dealt by row at every size, so the cost follows the input
+    and a task holds only its share of the dropped rows.
+    """
+    return with_row_id(docs).join(dropped.select("_row").hint("shuffle_hash"), "_row", "left_anti").drop("_row")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (u, v: long).
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, with_row_id
+from .common import stored, table, with_row_id, without
 
 TOP, TRACKED, HEAVY = 512, 4096, 16
 
@@ -60,8 +60,7 @@ def decide(spark: SparkSession, docs: DataFrame, top: int = TOP, tracked: int =
 
 def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that exact dedup drops; ``docs`` must be a file scan."""
-    kept = stored(spark, decide(spark, docs).where("kept").select("_row"), "kept")
-    return with_row_id(docs).join(kept, "_row", "left_semi").drop("_row")
+    return without(docs, stored(spark, decide(spark, docs).where("not kept").select("_row"), "dropped"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

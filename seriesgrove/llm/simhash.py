@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table, with_row_id
+from .common import components, stored, table, with_row_id, without
 
 WORDS, RADIUS = 3, 3
 BLOCK = 1 << 14
@@ -281,8 +281,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, words: int = WORDS, radius
 
 def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component; ``docs`` must be a file scan."""
-    kept = stored(spark, near_groups(spark, docs).where("_row = first_row").select("_row"), "kept")
-    return with_row_id(docs).join(kept, "_row", "left_semi").drop("_row")
+    return without(docs, stored(spark, near_groups(spark, docs).where("_row <> first_row").select("_row"), "dropped"))
 
 
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
