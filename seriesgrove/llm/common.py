@@ -50,8 +50,13 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     """Adds a row identity that tells repeated rows apart.
 
     Equal across two uses of the same file scan (partition number and position
-    in it).  Use on scans, or store the result before using it twice.
+    in it): the scan's splits are pinned here, since by default they follow the
+    number of cores, which changes when executors are lost.  Use on scans, or
+    store the result before using it twice.
     """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", "") in ("", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
