@@ -1,6 +1,6 @@
 """Operator 1: licence scan by canonical digest lookup.
 
-A unit is a whole document, or one of its lines; units are canonicalised (case,
+Style: Arrow batches; a text is normalised once, by byte operations.  A unit is a whole document, or one of its lines; units are canonicalised (case,
 punctuation, copyright lines, equivalent spellings), digested whole with
 SHA-256, and hash-joined to the digests of known licence texts, which go
 through the same steps.  The known table has one row per text in ``KNOWN`` plus
@@ -15,6 +15,12 @@ same doc_id add up; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,38 +102,78 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("copyright owner", "copyright holder"),
 )
 COPYRIGHT = r"(^|\n)[^\na-z0-9]*(copyright|\(c\))[^\n]*|(^|\n)[^\n]*all rights reserved[^\n]*"
+#: What a text must hold for ``COPYRIGHT`` to match.
+MARKS = (b"copyright", b"(c)", b"all rights reserved")
+#: Characters beyond ASCII that count as white space.
+SPACES = tuple(c.encode() for c in "©“”‘’–—")
+#: ASCII other than letters, digits and the newline becomes a space; bytes.lower() has done the letters.
+TABLE = bytes(i if i >= 128 or i == 10 or chr(i).isalnum() else 32 for i in range(256))
+OUT = "unit string, digest binary, n long"
 
 
-def _lower(c: F.Column) -> F.Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ©", "abcdefghijklmnopqrstuvwxyz ")
-
-
-def canonical(c: F.Column) -> F.Column:
-    """The unit in canonical form: words a-z0-9 and other letters, one space between."""
-    c = F.regexp_replace(_lower(F.coalesce(c, F.lit(""))), COPYRIGHT, "\n")
-    c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, r"[\x00-\x2F\x3A-\x60\x7B-\x7F“”‘’–—]+", " ")), F.lit(" "))
+def _spelled(padded: bytes) -> bytes:
     for a, b in SPELLINGS:
-        c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(c)
+        padded = padded.replace(f" {a} ".encode(), f" {b} ".encode())
+    return padded
+
+
+def canonical(text: str | None, units: str = "text") -> tuple[bytes, list[bytes]]:
+    """The canonical forms of a text and of its lines: words a-z0-9 and other letters, one space between.
+
+    Copyright lines and punctuation go once; the lines and the whole text are
+    both made from what is left.  ``units`` as in ``scan``.
+    """
+    plain = (text or "").encode("utf-8", "surrogatepass").lower().replace(SPACES[0], b" ")
+    if any(m in plain for m in MARKS):
+        plain = re.sub(COPYRIGHT.encode(), b"\n", plain)
+    plain = plain.translate(TABLE)
+    for c in SPACES[1:]:
+        plain = plain.replace(c, b" ")
+    whole, lines = b"", []
+    if units != "line":
+        whole = _spelled(b" " + b" ".join(plain.split()) + b" ").strip()
+    if units != "text":
+        # A newline between the padded lines keeps spellings from reaching across.
+        padded = b"\n".join(b" " + b" ".join(x.split()) + b" " for x in plain.split(b"\n"))
+        lines = [x.strip() for x in _spelled(padded).split(b"\n")]
+    return whole, lines
+
+
+def unit_digests(rows: DataFrame, units: str) -> DataFrame:
+    """``rows`` of (id, text) as (id, unit, digest, n): the distinct non-empty units of each row and how often they occur."""
+    name = rows.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, kind, digest, n = [], [], [], []
+            for i, text in enumerate(batch.column(1)):
+                whole, lines = canonical(text.as_py(), units)
+                found = Counter(("line", x) for x in lines if x)
+                if whole:
+                    found["text", whole] = 1
+                for (unit, c), k in found.items():
+                    at.append(i)
+                    kind.append(unit)
+                    digest.append(hashlib.sha256(c).digest())
+                    n.append(k)
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(kind, pa.string()), pa.array(digest, pa.binary()), pa.array(n, pa.int64())], names=[name, "unit", "digest", "n"])
+
+    return rows.mapInArrow(run, f"`{name}` {rows.schema[0].dataType.simpleString()}, {OUT}")
 
 
 def digests(known: DataFrame) -> DataFrame:
     """(license, digest) of known (license, text)."""
-    return known.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
+    return unit_digests(known.select("license", "text"), "text").select("license", "digest").distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame, units: str = "both") -> DataFrame:
     """(doc_id, unit, license, n_units): units equal to a known text.  units: text, line or both."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    whole = F.array(F.struct(F.lit("text").alias("unit"), F.coalesce("text", F.lit("")).alias("u")))
-    each = F.transform(lines, lambda x: F.struct(F.lit("line").alias("unit"), x.alias("u")))
-    found = {"text": whole, "line": each, "both": F.concat(whole, each)}[units]
-    rows = docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.unit", canonical(F.col("x.u")).alias("c"))
-    rows = rows.where("c <> ''").select("doc_id", "unit", F.sha2("c", 256).alias("digest"))
     table_ = digests(known)
     if known.count() <= BROADCAST_ROWS:
         table_ = F.broadcast(table_)
-    return rows.join(table_, "digest").groupBy("doc_id", "unit", "license").agg(F.count(F.lit(1)).alias("n_units"))
+    rows = unit_digests(docs.select("doc_id", "text"), units)
+    return rows.join(table_, "digest").groupBy("doc_id", "unit", "license").agg(F.sum("n").alias("n_units"))
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
