@@ -55,7 +55,7 @@ def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     store the result before using it twice.
     """
     spark = df.sparkSession
-    if spark.conf.get("spark.sql.files.minPartitionNum", "") in ("", None):
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())
 

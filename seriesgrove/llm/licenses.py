@@ -1,9 +1,10 @@
 """Operator 1: licence scan by canonical digest lookup.
 
-Style: Arrow batches; a text is normalised once, by byte operations.  A unit is a whole document, or one of its lines; units are canonicalised (case,
+A unit is a whole document, or one of its lines; units are canonicalised (case,
 punctuation, copyright lines, equivalent spellings), digested whole with
 SHA-256, and hash-joined to the digests of known licence texts, which go
-through the same steps.  The known table has one row per text in ``KNOWN`` plus
+through the same steps.  A text is normalised once, by byte operations in Arrow
+batches.  The known table has one row per text in ``KNOWN`` plus
 those the caller adds; it is broadcast up to ``BROADCAST_ROWS`` rows and joined
 by shuffle beyond.
 
