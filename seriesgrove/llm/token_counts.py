@@ -117,7 +117,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     committed = manifest.select("file").distinct()
     found = scan(spark, named.join(committed, "file", "left_semi"))
     found = found.withColumn("file", F.element_at(F.split("path", "/"), -1))
-    return manifest.join(found, ["file", "ord"]).select("doc_id", "n_tokens")
+    # a row per document on either side, however well its file compresses: never broadcast
+    return manifest.join(found.hint("merge"), ["file", "ord"]).select("doc_id", "n_tokens")
 
 
 QUERIES = {"op5_token_counts": op5_token_counts}
