@@ -43,7 +43,7 @@ def prefix(rows: DataFrame, part: str, bucket: str, order: list[F.Column], value
     totals = rows.groupBy(part, bucket).agg(F.sum(value).alias("_t"))
     totals = totals.select(part, bucket, F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_before"))
     local = rows.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return local.join(totals, [part, bucket]).withColumn(name, F.col("_before") + F.col("_in")).drop("_before", "_in")
+    return local.join(totals.hint("merge"), [part, bucket]).withColumn(name, F.col("_before") + F.col("_in")).drop("_before", "_in")
 
 
 def targets(sizes: DataFrame, block: int, repeats: int) -> DataFrame:
@@ -97,9 +97,9 @@ def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK, repeats: int =
         "_row", "no", "blk", F.greatest("at", F.col("blk") * block).alias("low"), F.least(F.col("at") + F.col("size"), (F.col("blk") + 1) * block).alias("high")
     )
     last = F.expr("goal - epoch * source_size")  # in stream positions of that epoch
-    used = pieces.join(schedule(sources), ["no", "blk"]).select("_row", F.greatest(F.least("high", last) - F.col("low"), F.lit(0)).alias("w"))
+    used = pieces.join(schedule(sources).hint("merge"), ["no", "blk"]).select("_row", F.greatest(F.least("high", last) - F.col("low"), F.lit(0)).alias("w"))
     taken = used.groupBy("_row").agg(F.sum("w").alias("taken"))
-    return rows.join(taken, "_row", "left").select("_row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(taken.hint("merge"), "_row", "left").select("_row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
