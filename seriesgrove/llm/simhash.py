@@ -22,6 +22,12 @@ Defined cases: null text equals empty text (fingerprint 0, linked like any
 other); texts with fewer words than a shingle are one shingle; component_id is
 the smallest non-null doc_id of the component, null if it has none; repeated
 rows each give a row; an empty table gives an empty result.
+
+The near_dedup stage of the pipeline (``keep``) has a setting of its own:
+five-word shingles and Jaccard similarity of 0.8 or more, where 64-bit
+fingerprints lie about ten bits apart and no band of the index need agree.  It
+finds candidates by banded MinHash keys and drops a document only after an
+exact comparison of the shingle sets.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import components, stored, table, with_row_id, without
 
 WORDS, RADIUS = 3, 3
+#: The pipeline's stage: a pair of the least similarity shares no band key with probability (1 - 0.8 ** ROWS) ** BANDS, 0.00005.
+STAGE_WORDS, SIMILARITY, BANDS, ROWS, STAGE_SEED = 5, 0.8, 25, 5, 11
 BLOCK = 1 << 14
 FAN = 8
 FRONT = 1 << 20  # search states held at once
@@ -279,9 +287,113 @@ def near_groups(spark: SparkSession, docs: DataFrame, words: int = WORDS, radius
     return rows.join(named, "fp").select("_row", "doc_id", "fp", "component_id", "first_row")
 
 
+# --- the pipeline's stage: near copies by five-word similarity -----------------
+
+
+def stage_shingles(text: bytes, words: int = STAGE_WORDS) -> np.ndarray:
+    """Distinct hashes of a text's shingles, words as in ``fingerprint``; a shorter or empty text is one shingle."""
+    import xxhash
+
+    w = text.lower().split()
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, 42) for s in shingles), dtype=np.uint64))
+
+
+def band_keys(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """One key per band: equal if the band's ``ROWS`` least hashes are (``factors`` has a multiplier for each)."""
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (factors[:, None] * hashes[None, i : i + (1 << 12)]).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def candidates(spark: SparkSession, keys: DataFrame) -> DataFrame:
+    """(a, b) with a < b, of ``keys`` (_row, keys): rows that share a band key, as spanning links.
+
+    Rows are range-partitioned and sorted by (key, the next band's key), so a
+    key's run may lie across tasks.  A row is linked to the first row of its
+    run, to the first that shares both keys, and to the one before it; tasks
+    report their outer runs, which are linked to each other.
+    """
+    turn = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.get("keys", (i + 1) % BANDS).alias("next")))
+    placed = keys.select("_row", F.explode(turn).alias("t")).select("t.key", "t.next", "_row")
+    placed = placed.repartitionByRange("key", "next", "_row").sortWithinPartitions("key", "next", "_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(key: np.ndarray, a: np.ndarray, b: np.ndarray, edge: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), edge)), pa.array(key), pa.array(a), pa.array(b)], names=["edge", "key", "a", "b"])
+
+        last, ends = None, []  # the row before: key, next, row, first row of the run and of both keys
+        for batch in batches:
+            key, nxt, row = (c.to_numpy() for c in batch.columns)
+            if not len(row):
+                continue
+            if last is None:
+                ends.append((key[0], row[0]))
+                last = (key[0], nxt[0], row[0], row[0], row[0])
+            new = np.append(key[0] != last[0], key[1:] != key[:-1])
+            part = new | np.append(nxt[0] != last[1], nxt[1:] != nxt[:-1])
+            at = np.arange(len(row))
+
+            def first(starts: np.ndarray, before: int, at: np.ndarray = at, row: np.ndarray = row) -> np.ndarray:
+                since = np.maximum.accumulate(np.where(starts, at, -1))
+                return np.where(since < 0, before, row[since])
+
+            whole, both = first(new, last[3]), first(part, last[4])
+            prior = np.where(new, row, np.append(last[2], row[:-1]))
+            pairs = np.stack([np.concatenate([whole, both, prior]), np.concatenate([row] * 3)])
+            pairs = np.unique(np.sort(pairs[:, pairs[0] != pairs[1]], axis=0), axis=1)
+            yield rows(np.zeros(pairs.shape[1], np.int64), pairs[0], pairs[1], False)
+            last = (key[-1], nxt[-1], row[-1], whole[-1], both[-1])
+        if last is not None:
+            ends.append((last[0], last[3]))
+            out = np.array(ends, dtype=np.int64)
+            yield rows(out[:, 0], out[:, 1], out[:, 1], True)
+
+    found = stored(spark, placed.mapInArrow(run, "edge boolean, key long, a long, b long"), "bands")
+    edges = found.where("edge")  # two rows for each task
+    over = edges.groupBy("key").agg(F.min("a").alias("m")).join(edges, "key").where("m <> b").select(F.col("m").alias("a"), "b")
+    return found.where("not edge").select("a", "b").unionByName(over).distinct()
+
+
+def similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(_row, doc_id, root) for every row of ``docs`` with a near copy: components of pairs whose Jaccard similarity reaches ``SIMILARITY``."""
+    rows = with_row_id(docs.select("doc_id", "text")).select("_row", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    factors = np.random.default_rng(STAGE_SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [band_keys(stage_shingles(t.as_py()), factors) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["_row", "doc_id", "keys"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [stage_shingles(t.as_py()).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["_row", "s"])
+
+    keys = stored(spark, rows.mapInArrow(sketch, "_row long, doc_id long, keys array<long>"), "sketches")
+    pairs = stored(spark, candidates(spark, keys.select("_row", "keys")), "candidates")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+    held = rows.select("_row", "text").join(named.hint("shuffle_hash"), "_row", "left_semi")
+    held = stored(spark, held.mapInArrow(sets, "_row long, s array<long>"), "shingles")
+    side = lambda a, s: held.select(F.col("_row").alias(a), F.col("s").alias(s))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    near = both.where(shared >= F.lit(SIMILARITY) * (F.size("x") + F.size("y") - shared) - 1e-9)
+    return components(spark, near.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "_row").join(keys.select("_row", "doc_id"), "_row")
+
+
 def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component; ``docs`` must be a file scan."""
-    return without(docs, stored(spark, near_groups(spark, docs).where("_row <> first_row").select("_row"), "dropped"))
+    """``docs`` with one document, the smallest doc_id, of each component of ``similar``; ``docs`` must be a file scan."""
+    groups = stored(spark, similar(spark, docs), "similar")
+    least = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_row").alias("c"))
+    best = groups.groupBy("root").agg(F.min(least)["c"].alias("first_row"))
+    return without(docs, stored(spark, groups.join(best, "root").where("_row <> first_row").select("_row"), "dropped"))
 
 
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,39 @@ def test_components(spark):
     assert sorted(map(sorted, got.values())) == [list(range(41)), list(range(100, 160)), [200, 201]]
 
 
+def test_near_copies_of_the_stage(spark, none):
+    rng, texts, first = random.Random(21), {}, {}
+    for i in range(60):  # one to eight words changed of 200 or so: similarities from 0.66 to 0.95
+        w = prose(rng, 200 + rng.randrange(100)).split()
+        texts[10 * i] = " ".join(w)
+        for k in range(1, 3):
+            v = list(w)
+            for at in rng.sample(range(10, len(w) - 10), rng.randrange(1, 9)):
+                v[at] = f"new{rng.randrange(10**6)}"
+            texts[10 * i + k] = " ".join(v)
+    w = prose(rng, 300).split()
+    texts |= {1000 + k: " ".join([*w[:k], "odd", *w[k + 1 :]]) for k in range(150)}  # one large group
+    texts |= {2000: "one two three", 2001: "One  two three", 2002: "one two four"}
+    sh = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(max(len(t.split()) - 4, 1))} for i, t in texts.items()}
+    ids = sorted(texts)
+    for i in ids:
+        first[i] = i
+    low = 0
+    for i in ids:
+        for j in ids:
+            n = len(sh[i] & sh[j])
+            if i < j and n >= 0.8 * (len(sh[i]) + len(sh[j]) - n) - 1e-9:
+                low += n < 0.9 * (len(sh[i]) + len(sh[j]) - n)
+                a, b = sorted((first[i], first[j]))
+                first = {k: a if v == b else v for k, v in first.items()}
+    assert low > 20
+    path = new_folder(spark, "test-near")
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4).write.parquet(path)
+    got = {r.doc_id for r in simhash.keep(spark, spark.read.parquet(path)).collect()}
+    assert got == set(first.values())
+    assert simhash.keep(spark, none).count() == 0
+
+
 # --- decontamination ---------------------------------------------------------------
 
 
