@@ -9,7 +9,15 @@ between its vector and the prototype.
 Texts are lower-cased whole; runs of other characters count as one space, also
 at both ends.  Bundling is linear, so a training task adds up n-gram counts and
 sends one vector per language; prototypes (languages x ``DIM`` numbers, at most
-``MAX_LANGS`` languages, else an error) go to the prediction tasks.
+``MAX_LANGS`` languages, else an error) go to the prediction tasks.  These need
+only the products of n-grams with prototypes, which they keep; the length of a
+document's vector is taken as its expected value, ``sqrt(DIM)`` times the
+length of its counts.
+
+Unrelated n-grams give a cosine with a standard deviation of 1 / sqrt(DIM),
+0.011, whatever the length of the text.  ``keep`` asks for ``MIN_SCORE``, 4.5
+times that, of short texts and for ``LONG`` times as much of long ones, where
+texts of a learned language score far higher than at a few words.
 
 Defined cases: null text or text without a letter gives ``und`` and score 0,
 as does a corpus with no labelled text; ties go to the language that sorts
@@ -29,10 +37,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-DIM, GRAM, SEED = 512, 3, 7
+DIM, GRAM, SEED = 8192, 3, 7
 MAX_LANGS = 4096
-CACHE = 1 << 16  # n-gram vectors kept by a task
-MIN_SCORE = 0.03
+LETTERS = 1 << 12  # letter vectors kept by a task
+CHUNK = 512  # n-gram vectors built at once
+CACHE = 1 << 22  # products kept by a task
+#: The least score of texts up to FEW different n-grams; from LONG * FEW on it is LONG times as much.
+MIN_SCORE, FEW, LONG = 0.05, 32, 3
 
 
 class Encoder:
@@ -41,8 +52,6 @@ class Encoder:
     def __init__(self) -> None:
         self.letter = np.array([chr(i).isalpha() for i in range(0x30000)])
         self.vectors: dict[int, np.ndarray] = {}
-        self.rows: dict[int, int] = {}
-        self.grams = np.zeros((1024, DIM), dtype=np.int8)
 
     def count(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Packed n-grams and their counts; None without a letter."""
@@ -58,28 +67,55 @@ class Encoder:
             code = (code << 21) | points[k : len(points) - GRAM + 1 + k]
         return np.unique(code, return_counts=True)
 
-    def _row(self, code: int) -> int:
-        if len(self.rows) == len(self.grams):
-            self.grams = np.concatenate([self.grams, np.zeros_like(self.grams)])
-        row = self.rows[code] = len(self.rows)
-        bound = np.ones(DIM, dtype=np.int8)
+    def bind(self, codes: np.ndarray) -> np.ndarray:
+        """One vector for each of at most ``CHUNK`` n-grams."""
+        if len(self.vectors) > LETTERS:
+            self.vectors = {}
+        out = np.ones((len(codes), DIM), dtype=np.int8)
         for k in range(GRAM):
-            p = (code >> (21 * k)) & ((1 << 21) - 1)
-            if p not in self.vectors:
-                self.vectors[p] = (np.random.default_rng([SEED, p]).integers(0, 2, DIM) * 2 - 1).astype(np.int8)
-            bound = bound * np.roll(self.vectors[p], k)
-        self.grams[row] = bound
-        return row
+            points, at = np.unique((codes >> (21 * k)) & ((1 << 21) - 1), return_inverse=True)
+            for p in points.tolist():
+                if p not in self.vectors:
+                    self.vectors[p] = (np.random.default_rng([SEED, p]).integers(0, 2, DIM) * 2 - 1).astype(np.int8)
+            out *= np.roll(np.stack([self.vectors[p] for p in points.tolist()]), k, axis=1)[at]
+        return out
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         out = np.zeros(DIM)
-        for i in range(0, len(codes), CACHE // 4):
-            part = codes[i : i + CACHE // 4].tolist()
-            if len(self.rows) + len(part) > CACHE:
-                self.rows = {}
-            have = self.rows
-            rows = [have[c] if c in have else self._row(c) for c in part]
-            out += counts[i : i + CACHE // 4].astype(np.float32) @ self.grams[rows].astype(np.float32)
+        for i in range(0, len(codes), CHUNK):
+            out += counts[i : i + CHUNK].astype(np.float32) @ self.bind(codes[i : i + CHUNK]).astype(np.float32)
+        return out
+
+
+class Products:
+    """Cosines of n-gram vectors with the prototypes; keeps those it has seen, up to ``CACHE`` numbers."""
+
+    def __init__(self, matrix: np.ndarray):
+        self.encoder, self.matrix = Encoder(), matrix.T.astype(np.float32) / np.float32(DIM**0.5)
+        self.most = max(CACHE // max(len(matrix), 1), 1)
+        self.codes, self.near = np.zeros(0, np.int64), np.zeros((0, len(matrix)), np.float32)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """A row for each of ``codes``, which are distinct and sorted."""
+        if len(self.codes) + len(codes) > self.most:
+            self.codes, self.near = self.codes[:0], self.near[:0]
+        new = np.setdiff1d(codes, self.codes, assume_unique=True)
+        if len(new):
+            parts = [self.encoder.bind(new[i : i + CHUNK]).astype(np.float32) @ self.matrix for i in range(0, len(new), CHUNK)]
+            every = np.concatenate([self.codes, new])
+            order = np.argsort(every)
+            self.codes, self.near = every[order], np.concatenate([self.near, *parts])[order]
+        return self.near[np.searchsorted(self.codes, codes)]
+
+    def scores(self, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Texts x languages."""
+        codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+        near, out = self.of(codes), np.zeros((len(found), self.near.shape[1]))
+        start = 0
+        for i, (c, n) in enumerate(found):
+            n = n.astype(np.float64)
+            out[i] = n @ near[at[start : start + len(c)]] / np.linalg.norm(n)
+            start += len(c)
         return out
 
 
@@ -122,43 +158,55 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` with lang_pred and score added."""
+    """``docs`` with lang_pred, score and n_grams (different n-grams) added."""
     langs = sorted(prototypes)
     matrix = np.array([prototypes[x] for x in langs]).reshape(len(langs), DIM)
     schema = docs.schema
     at = schema.names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder()
+        encoder, products = Encoder(), Products(matrix)
         for b in batches:
-            pred, score = [], []
-            for text in b.column(at):
-                found = encoder.count(text.as_py()) if text.is_valid and langs else None
-                if found is None:
-                    pred.append("und")
-                    score.append(0.0)
-                    continue
-                v = encoder.bundle(*found)
-                near = matrix @ v / max(np.linalg.norm(v), 1e-12)
-                k = int(np.argmax(near))
-                pred.append(langs[k])
-                score.append(float(min(max(near[k], 0.0), 1.0)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
-
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lang_pred string, score double"])
+            pred, score, size = ["und"] * len(b), np.zeros(len(b)), np.zeros(len(b), np.int64)
+            ids, found, held = [], [], 0
+
+            def settle() -> None:
+                near = products.scores(found)
+                for i, row in zip(ids, near, strict=True):  # noqa: B023
+                    k = int(np.argmax(row))
+                    pred[i], score[i] = langs[k], min(max(row[k], 0.0), 1.0)  # noqa: B023
+                ids.clear()  # noqa: B023
+                found.clear()  # noqa: B023
+
+            for i, text in enumerate(b.column(at)):
+                grams = encoder.count(text.as_py()) if text.is_valid and langs else None
+                if grams is not None:
+                    ids.append(i)
+                    found.append(grams)
+                    size[i] = len(grams[0])
+                    held += len(grams[0])
+                if found and held > min(1 << 18, products.most):
+                    settle()
+                    held = 0
+            if found:
+                settle()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(size)], names=[*b.schema.names, "lang_pred", "score", "n_grams"])
+
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lang_pred string, score double, n_grams long"])
     return docs.mapInArrow(run, out)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document; learns from the same table."""
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return predict(rows, train(docs)).drop("text")
+    return predict(rows, train(docs)).drop("text", "n_grams")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that have no letter or resemble no learned language (score under ``MIN_SCORE``)."""
+    """``docs`` without those that have no letter or resemble no learned language (a score under ``MIN_SCORE``, or up to ``LONG`` times that for long texts)."""
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    return predict(rows, train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).drop("lang_pred", "score")
+    least = F.lit(MIN_SCORE) * F.least(F.greatest(F.col("n_grams") / FEW, F.lit(1.0)), F.lit(float(LONG)))
+    return predict(rows, train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score", "n_grams")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

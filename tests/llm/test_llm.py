@@ -296,6 +296,20 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_unlearned_languages_go(spark):
+    rng = random.Random(12)
+    known = [(i, prose(rng, 200, FR if i % 3 == 0 else WORDS), "fr" if i % 3 == 0 else "en") for i in range(60)]
+    short = [(1000 + i, prose(rng, rng.randrange(3, 8), FR if i % 2 else WORDS), None) for i in range(60)]
+    spans = {"cyrillic": (0x430, 0x44F), "greek": (0x3B1, 0x3C9), "chinese": (0x4E00, 0x9000)}
+    other = [" ".join("".join(chr(rng.randint(*s)) for _ in range(rng.randrange(2, 9))) for _ in range(n)) for s in spans.values() for n in (3, 20, 60, 200) for _ in range(12)]
+    other += ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar",
+              "Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由在尊严和权利上一律平等"]
+    rows_ = known + short + [(2000 + i, t, None) for i, t in enumerate(other)]
+    df = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows_], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in langid.keep(df).collect()}
+    assert got == {i for i, *_ in known + short}
+
+
 def test_bundling_is_binding():
     e = langid.Encoder()
     codes, counts = e.count("Ab, ab!")
