@@ -6,7 +6,8 @@ occurs, and subtrees that recur in at least ``MIN_PAGES`` pages and ``SHARE``
 of the host's pages are deleted.  Exact copies of a page count once, and
 headings and paragraphs inside the article are never taken for template, so
 copies of an article do not delete it.  Elements that are boilerplate by their
-meaning (menus, forms, scripts, notices, comments and so on) go too.
+meaning (menus, forms, scripts, notices, comments and so on) go too; inside the
+article only a class of a container says so, never an id.
 
 The text is that of the richest ``article`` or ``main`` element, else of the
 element that holds most paragraph text, else of the body.  Character references
@@ -52,7 +53,10 @@ CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 #: An opening tag ends an open element of these tags, up to the scope's tags.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-KEPT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+KEPT = HEADINGS | frozenset("p blockquote pre".split())
+#: Words that a class of a boilerplate container may hold besides DROP_WORDS.
+PARTS = frozenset("area bar block box button buttons container icons inner link links list posts wrap wrapper".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -145,12 +149,22 @@ def boilerplate(node: Node, inside: bool) -> bool:
     if not node.attrs:
         return False
     a = attributes(node)
-    words = set(re.split(r"[^a-z]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
-    if node.tag not in ("html", "body", "main", "article") and words & DROP_WORDS:
+    if node.tag not in ("html", "body", "main", "article") and named(node, a, inside):
         return True
     return "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "") in DROP_ROLES or "display:none" in a.get("style", "").replace(" ", "").lower()
 
 
+def named(node: Node, a: dict[str, str], inside: bool) -> bool:
+    """Whether class or id name boilerplate; ids of headings, paragraphs and sections name their subject."""
+    words = lambda text: set(re.split(r"[^a-z]+", text.lower())) - {""}
+    titled = node.tag == "section" and any(x.tag in HEADINGS for x in order(node))
+    if not inside:
+        return bool((words(a.get("class", "")) | (set() if titled or node.tag in KEPT else words(a.get("id", "")))) & DROP_WORDS)
+    if node.tag in KEPT or titled:
+        return False
+    return any(w & DROP_WORDS and w <= DROP_WORDS | PARTS for w in map(words, a.get("class", "").split()))
+
+
 def prune(root: Node, recurring: set[int]) -> None:
     """Deletes boilerplate and recurring subtrees."""
     work = [(root, False)]

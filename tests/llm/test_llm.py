@@ -429,6 +429,13 @@ def test_site_templates(spark):
     assert "alone" in got[92].text and got[3].n_chars == len(got[3].text)
 
 
+def test_slugs_are_no_boilerplate():
+    page = """<body><article><h2 id="related-work">Related work</h2><p class="notice">One</p><section id="notice-periods"><h3>Notice</h3><p>Two</p></section>
+<div class="social-science"><p>Three</p></div><section id="navigation"><p>Four</p></section><div class="share-buttons">Tweet</div><div class="post sidebar">Aside</div></article></body>"""
+    assert html_text.text_of(page, set()) == "Related work\nOne\nNotice\nTwo\nThree\nFour"
+    assert html_text.text_of('<body><h2 id="related-work">Title</h2><p>Text</p><div id="comments">Reader</div></body>', set()) == "Title\nText"
+
+
 # --- the pipeline -----------------------------------------------------------------------------
 
 
