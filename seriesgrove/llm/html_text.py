@@ -2,9 +2,11 @@
 
 Site templates: every element subtree of a page is hashed (tag, class, text and
 children); Spark counts, per host, in how many different pages a subtree
-occurs, and subtrees that recur in at least ``MIN_PAGES`` pages and ``SHARE``
-of the host's pages are deleted.  Exact copies of a page count once, and
-headings and paragraphs inside the article are never taken for template, so
+occurs, and subtrees that recur in many are deleted: in ``MIN_PAGES`` pages at
+least, and in ``SHARE`` of the host's pages or, on hosts of more than
+``1 / SHARE ** 2`` pages, in the square root of their number.  Exact copies of a
+page count once, and headings, paragraphs, list items and table parts inside the
+article, or what holds half of its text, are never taken for template, so
 copies of an article do not delete it.  Elements that are boilerplate by their
 meaning (menus, forms, scripts, notices, comments and so on) go too; inside the
 article only a class of a container says so, never an id.
@@ -14,6 +16,7 @@ element that holds most paragraph text, else of the body.  Character references
 are decoded, white space inside a block becomes one space, blocks are trimmed
 and joined by one newline in page order.
 
+Only subtrees that may be deleted and are no boilerplate anyhow are counted.
 Counts are pre-aggregated by (host, hash), so a host with a third of all pages
 is spread over its subtrees; a page receives only its own deletions.
 
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table, with_row_id
 
-MIN_PAGES, SHARE = 5, 0.3
+MIN_PAGES, SHARE = 5, 0.01
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template".split())
@@ -55,6 +58,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt"
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT = HEADINGS | frozenset("p blockquote pre".split())
+#: Inside the article these recur by chance.
+ITEMS = KEPT | frozenset("li dt dd tr td th thead tbody tfoot caption figcaption".split())
 #: Words that a class of a boilerplate container may hold besides DROP_WORDS.
 PARTS = frozenset("area bar block box button buttons container icons inner link links list posts wrap wrapper".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
@@ -165,28 +170,47 @@ def named(node: Node, a: dict[str, str], inside: bool) -> bool:
     return any(w & DROP_WORDS and w <= DROP_WORDS | PARTS for w in map(words, a.get("class", "").split()))
 
 
-def prune(root: Node, recurring: set[int]) -> None:
-    """Deletes boilerplate and recurring subtrees."""
-    work = [(root, False)]
+def kept_nodes(root: Node, recurring: set[int] | None) -> Iterator[tuple[Node, list[Node]]]:
+    """Nodes that are not boilerplate with their children that a template may delete; deletes boilerplate and, if given, recurring subtrees."""
+    if recurring is None or recurring:
+        weigh(order(root))
+    work = [(root, None)]  # with the article or main element around
     while work:
-        node, inside = work.pop()
-        inside = inside or node.tag in ("article", "main")
-        kept = []
+        node, around = work.pop()
+        if node.tag in ("article", "main") or ("main" in node.attrs and attributes(node).get("role") == "main"):
+            around = node
+        kept, open_ = [], []
         for x in node.items:
             if isinstance(x, str):
                 kept.append(x)
-            elif x.tag in BLOCK and x.tag not in ("html", "body", "article", "main") and x.key in recurring and not (inside and x.tag in KEPT):
                 continue
-            elif not boilerplate(x, inside):
+            may = x.tag in BLOCK and x.tag not in ("html", "body", "article", "main") and not (around and (x.tag in ITEMS or 2 * x.weight >= around.weight))
+            if may and recurring and x.key in recurring:
+                continue
+            if not boilerplate(x, around is not None):
                 kept.append(x)
-                work.append((x, inside))
+                work.append((x, around))
+                if may:
+                    open_.append(x)
         node.items = kept
+        yield node, open_
 
 
-def main_node(root: Node) -> Node:
-    nodes = order(root)
+def prune(root: Node, recurring: set[int]) -> None:
+    """Deletes boilerplate and recurring subtrees."""
+    for _ in kept_nodes(root, recurring):
+        pass
+
+
+def weigh(nodes: list[Node]) -> None:
+    """Sets ``weight``, the length of the text in each subtree."""
     for node in reversed(nodes):
         node.weight = sum(len(x.strip()) if isinstance(x, str) else x.weight for x in node.items)
+
+
+def main_node(root: Node) -> Node:
+    nodes = order(root)
+    weigh(nodes)
     for tags in (("article",), ("main",)):
         if found := [x for x in nodes if x.tag in tags or (tags == ("main",) and "main" in x.attrs and attributes(x).get("role") == "main")]:
             best = max(found, key=lambda x: x.weight)
@@ -245,7 +269,7 @@ def recurring(spark: SparkSession, pages: DataFrame, min_pages: int, share: floa
             for row, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 m = HOST.match(url or "")
                 nodes = hashed(parse(html))
-                found = {x.key for x in nodes if x.tag in BLOCK and x.tag not in ("html", "body", "article", "main")}
+                found = {x.key for _, open_ in kept_nodes(nodes[0], None) for x in open_}
                 ids.append(row)
                 hosts.append(m[1].lower() if m else "")
                 wholes.append(nodes[0].key - (1 << 63))
@@ -258,7 +282,7 @@ def recurring(spark: SparkSession, pages: DataFrame, min_pages: int, share: floa
     firsts = seen.groupBy("host", "page").agg(F.min("_row").alias("_row"))  # copies of a page count once
     hosts = firsts.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counted = seen.join(firsts.select("_row"), "_row", "left_semi").select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    often = counted.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= share * F.col("pages")).select("host", "key")
+    often = counted.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= F.least(share * F.col("pages"), F.sqrt("pages"))).select("host", "key")
     often = stored(spark, often, "templates")
     hits = seen.select("_row", "host", F.explode("keys").alias("key")).join(often, ["host", "key"])
     return stored(spark, hits.groupBy("_row").agg(F.collect_list("key").alias("keys")), "deletions")

@@ -429,6 +429,23 @@ def test_site_templates(spark):
     assert "alone" in got[92].text and got[3].n_chars == len(got[3].text)
 
 
+def test_rotating_templates_go(spark):
+    rng = random.Random(6)
+    page = "<html><body><div>{}</div><article><h1>{}</h1><div><p>{}</p><p>{}</p><table><tr><td>Yes</td><td>{}</td></tr></table></div></article></body></html>"
+    texts = {i: [prose(rng, 6), prose(rng, 30), prose(rng, 30)] for i in range(80)}
+    texts |= {100 + i: [prose(rng, 6), *texts[0][1:]] for i in range(8)}  # the same article under other headings
+    pages = [(i, f"http://big.example/{i}", page.format(f"<p>Notice number {i % 8} of the house.</p>", *t, i)) for i, t in texts.items()]
+    path = new_folder(spark, "test-rotating")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(path)
+    got = {r.page_id: r.text for r in html_text.extract(spark, spark.read.parquet(path)).collect()}
+    assert got == {i: "\n".join([*t, "Yes", str(i)]) for i, t in texts.items()}
+    bare = page.replace("article", "div")
+    pages = [(i, f"http://big.example/{i}", bare.format(f"<p>Notice number {i % 8} of the house.</p>", *t, i)) for i, t in texts.items() if i < 80]
+    path = new_folder(spark, "test-rotating")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(path)
+    assert not any("Notice" in r.text for r in html_text.extract(spark, spark.read.parquet(path)).collect())
+
+
 def test_slugs_are_no_boilerplate():
     page = """<body><article><h2 id="related-work">Related work</h2><p class="notice">One</p><section id="notice-periods"><h3>Notice</h3><p>Two</p></section>
 <div class="social-science"><p>Three</p></div><section id="navigation"><p>Four</p></section><div class="share-buttons">Tweet</div><div class="post sidebar">Aside</div></article></body>"""
