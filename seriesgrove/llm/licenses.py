@@ -4,8 +4,9 @@ A unit is a whole document, or one of its lines; units are canonicalised (case,
 punctuation, copyright lines, equivalent spellings), digested whole with
 SHA-256, and hash-joined to the digests of known licence texts, which go
 through the same steps.  A text is normalised once, by byte operations in Arrow
-batches.  The known table has one row per text in ``KNOWN`` plus
-those the caller adds; it is broadcast up to ``BROADCAST_ROWS`` rows and joined
+batches.  The known table has one row per text in ``KNOWN``, per whole licence in
+``license_texts`` (with and without its title and its appendix) and per title of
+the short licences in ``KNOWN``, plus those the caller adds; it is broadcast up to ``BROADCAST_ROWS`` rows and joined
 by shuffle beyond.
 
 Defined cases: null text is an empty unit and matches nothing; units that
@@ -17,6 +18,7 @@ same doc_id add up; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -86,6 +88,18 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ),
 )
 
+#: Whole licences, a file each, named by SPDX identifier.
+TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+#: What ends the terms; instructions follow.  The MPL's exhibits belong to its terms.
+TERMS_END = re.compile(r"^[ ]*(END OF TERMS AND CONDITIONS|ADDENDUM: How to use).*", re.M | re.S)
+#: Titles that whole licences in ``KNOWN`` bear; the MIT text there begins with the first.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib License (Zlib)", "The zlib/libpng License"),
+}
+
 #: Spellings that count as the same (whole words after lower-casing).
 SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licence", "license"),
@@ -107,6 +121,8 @@ COPYRIGHT = r"(^|\n)[^\na-z0-9]*(copyright|\(c\))[^\n]*|(^|\n)[^\n]*all rights r
 MARKS = (b"copyright", b"(c)", b"all rights reserved")
 #: Characters beyond ASCII that count as white space.
 SPACES = tuple(c.encode() for c in "©“”‘’–—")
+#: A line that starts with the copyright sign is a copyright line too.
+SIGNED = rb"(^|\n)[^\na-z0-9]*?" + SPACES[0] + rb"[^\n]*"
 #: ASCII other than letters, digits and the newline becomes a space; bytes.lower() has done the letters.
 TABLE = bytes(i if i >= 128 or i == 10 or chr(i).isalnum() else 32 for i in range(256))
 OUT = "unit string, digest binary, n long"
@@ -124,7 +140,9 @@ def canonical(text: str | None, units: str = "text") -> tuple[bytes, list[bytes]
     Copyright lines and punctuation go once; the lines and the whole text are
     both made from what is left.  ``units`` as in ``scan``.
     """
-    plain = (text or "").encode("utf-8", "surrogatepass").lower().replace(SPACES[0], b" ")
+    plain = (text or "").encode("utf-8", "surrogatepass").lower()
+    if SPACES[0] in plain:
+        plain = re.sub(SIGNED, b"\n", plain).replace(SPACES[0], b" ")
     if any(m in plain for m in MARKS):
         plain = re.sub(COPYRIGHT.encode(), b"\n", plain)
     plain = plain.translate(TABLE)
@@ -177,8 +195,23 @@ def scan(docs: DataFrame, known: DataFrame, units: str = "both") -> DataFrame:
     return rows.join(table_, "digest").groupBy("doc_id", "unit", "license").agg(F.sum("n").alias("n_units"))
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """Whole licences under each title and without one; those in files with and without what follows the terms."""
+    out = []
+    for name, text in KNOWN:
+        if name in TITLES and len(text) > 200:
+            bare = text.removeprefix(TITLES[name][0]).strip()
+            out += [(name, bare), *((name, f"{title}\n{bare}") for title in TITLES[name])]
+    for file in sorted(os.listdir(TEXTS)):
+        with open(os.path.join(TEXTS, file), encoding="utf-8") as f:
+            text = f.read().strip()
+        for t in (text, TERMS_END.sub("", text), re.sub(r"(?m)^([ ]*END OF TERMS AND CONDITIONS).*", r"\1", text, flags=re.S)):
+            out += [(file.removesuffix(".txt"), t), (file.removesuffix(".txt"), re.split(r"\n[ ]*\n", t, maxsplit=1)[1])]
+    return list(dict.fromkeys(out))
+
+
 def known_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license string, text string")
+    return spark.createDataFrame([*KNOWN, *whole_texts()], "license string, text string")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -333,6 +333,24 @@ def test_licenses(spark, none):
     assert mit and licenses.scan(none, licenses.known_texts(spark)).count() == 0
 
 
+def test_whole_licenses(spark):
+    import os
+
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and len(t) > 200).removeprefix("MIT License ")
+    isc = next(t for i, t in licenses.KNOWN if i == "ISC")
+    d, want = [(1, mit), (2, f"The MIT License (MIT)\n\n© 2020 Someone\n\n{mit}"), (3, f"ISC License\n{isc}"), (4, f"Other title\n{mit}")], {(1, "MIT"), (2, "MIT"), (3, "ISC")}
+    for n, file in enumerate(sorted(os.listdir(licenses.TEXTS))):
+        with open(os.path.join(licenses.TEXTS, file), encoding="utf-8") as f:
+            text = f.read()
+        d += [(10 * n + 10, text), (10 * n + 11, text.strip().split("\n\n", 1)[1].upper()), (10 * n + 12, text + " and more")]
+        want |= {(10 * n + 10, file[:-4]), (10 * n + 11, file[:-4])}
+    apache = next(t for i, t in d if i == 10)
+    d += [(900, apache[: apache.index("APPENDIX")]), (901, apache[: apache.index("END OF TERMS")])]
+    want |= {(900, "Apache-2.0"), (901, "Apache-2.0")}
+    got = licenses.scan(spark.createDataFrame(d, "doc_id long, text string"), licenses.known_texts(spark))
+    assert {(r.doc_id, r.license) for r in got.where("unit = 'text'").collect()} == want
+
+
 # --- token counts ----------------------------------------------------------------------
 
 
