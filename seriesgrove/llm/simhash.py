@@ -16,7 +16,8 @@ more than ``radius`` places is pruned whole, and a node that cannot exceed the
 radius is accepted whole.  A run that is longer than a block, or that lies
 across tasks, is cut into blocks; pairs of blocks of one run are searched too
 unless their shared bits rule them out, so a group of any size is neither
-gathered in one task nor cut off.  Tasks emit spanning links, not pairs.
+gathered in one task nor cut off.  A search holds at most ``STATES`` states of
+each level.  Tasks emit spanning links, not pairs.
 
 Defined cases: null text equals empty text (fingerprint 0, linked like any
 other); texts with fewer words than a shingle are one shingle; component_id is
@@ -46,7 +47,7 @@ WORDS, RADIUS = 3, 3
 STAGE_WORDS, SIMILARITY, BANDS, ROWS, STAGE_SEED = 5, 0.8, 25, 5, 11
 BLOCK = 1 << 14
 FAN = 8
-FRONT = 1 << 20  # search states held at once
+ASKED, STATES = 1 << 13, 1 << 16  # patterns that start a search together; search states of one level
 
 
 # --- fingerprints -----------------------------------------------------------
@@ -125,39 +126,47 @@ class Forest:
 
     def search(self, asked: np.ndarray, top: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Links of ``asked`` patterns, each to be looked up in top node ``top``: (index in asked, first, end) position ranges."""
-        for i in range(0, len(asked), 1 << 15):
-            q = np.arange(i, min(i + (1 << 15), len(asked)))
-            yield from self._down(asked, q, top[i : i + (1 << 15)], np.zeros(len(q), np.int64), np.zeros(len(q), np.uint64), 0, radius)
+        for i in range(0, len(asked), ASKED):
+            q = np.arange(i, min(i + ASKED, len(asked)), dtype=np.int32)
+            yield from self._down(asked, q, top[i : i + ASKED], np.zeros(len(q), np.uint8), np.zeros(len(q), np.uint64), 0, radius)
 
     def _down(self, asked, q, node, acc, seen, level, radius):  # noqa: ANN001, PLR0913
-        if len(q) > FRONT:
-            half = len(q) // 2
-            for part in (slice(0, half), slice(half, None)):
-                yield from self._down(asked, q[part], node[part], acc[part], seen[part], level, radius)
-            return
+        """One level of the walk: at most ``STATES`` states (``ASKED`` at the top), and no more below before it goes deeper."""
         first, end, shared, value = self.levels[level]
         mask = shared[node] & ~seen  # bits that no upper node has counted
         acc = acc + np.bitwise_count((asked[q] ^ value[node]) & mask)
         seen = seen | mask
-        open_bits = 64 - np.bitwise_count(seen).astype(np.int64)
-        whole = acc + open_bits <= radius
+        whole = acc + np.bitwise_count(~seen) <= radius
         if whole.any():
             yield q[whole], first[node[whole]], end[node[whole]]
         go = (acc <= radius) & ~whole
+        del mask, whole
         q, node, acc, seen = q[go], node[go], acc[go], seen[go]
         if not len(q):
             return
-        if level + 1 < len(self.levels):
-            kids = self.levels[level + 1][0]
-            a, b = np.searchsorted(kids, first[node]), np.searchsorted(kids, end[node])
-        else:
+        bottom = level + 1 == len(self.levels)
+        if bottom:
             a, b = first[node], end[node]
-        at, child = members(a, b)
-        if level + 1 < len(self.levels):
-            yield from self._down(asked, q[at], child, acc[at], seen[at], level + 1, radius)
         else:
-            near = np.bitwise_count(asked[q[at]] ^ self.bits[child]) <= radius
-            yield q[at][near], child[near], child[near] + 1
+            kids = self.levels[level + 1][0]
+            a, b = np.searchsorted(kids, first[node]), np.searchsorted(kids, end[node])
+        for part in pieces(b - a, STATES):
+            at, child = members(a[part], b[part])
+            if bottom:
+                near = np.bitwise_count(asked[q[part]][at] ^ self.bits[child]) <= radius
+                if near.any():
+                    yield q[part][at[near]], child[near], child[near] + 1
+            else:
+                yield from self._down(asked, q[part][at], child, acc[part][at], seen[part][at], level + 1, radius)
+
+
+def pieces(width: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive slices whose widths add up to ``most`` at most; a wider entry stands alone."""
+    upto, i = np.cumsum(width), 0
+    while i < len(width):
+        j = max(int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, side="right")), i + 1)
+        yield slice(i, j)
+        i = j
 
 
 def members(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +182,7 @@ def link_runs(bits: np.ndarray, start: np.ndarray, radius: int) -> np.ndarray:
     lab = np.arange(n)
     for q, first, end in tree.search(bits, tree_tops(tree), radius):
         at, member = members(first, end)
-        lab = roots(n, q[at], member, lab)
+        lab = roots(n, q[at].astype(np.int64), member, lab)
     return lab
 
 
@@ -212,27 +221,31 @@ def link(spark: SparkSession, fps: DataFrame, radius: int = RADIUS, block: int =
 
         serial = TaskContext.get().partitionId() << 24
 
-        def finish(band: np.ndarray, bits: np.ndarray, ends_open: tuple[bool, bool]) -> list[tuple]:
+        def finish(band: np.ndarray, bits: np.ndarray, ends_open: tuple[bool, bool]) -> Iterator[pa.RecordBatch]:
             nonlocal serial
             lead = (bits >> np.uint64(64 - width)).astype(np.int64)
             start = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (lead[1:] != lead[:-1])))
             lab = link_runs(bits, start, radius)
-            plain = back(bits, band)
             moved = np.flatnonzero(lab != np.arange(len(lab)))
-            out = [(0, int(x), int(y), None, None, None, None, None, None) for x, y in zip(plain[moved], plain[lab[moved]], strict=True)]
+            yield rows(a=back(bits[moved], band[moved]), b=back(bits[lab[moved]], band[moved]))
             edge = ([0] if ends_open[0] else []) + ([len(start) - 1] if ends_open[1] else [])
             for k in dict.fromkeys(edge):
-                a, b = start[k], start[k + 1] if k + 1 < len(start) else len(bits)
-                part = bits[a:b]
-                low, high = np.bitwise_and.reduce(part), np.bitwise_or.reduce(part)
+                i, j = start[k], start[k + 1] if k + 1 < len(start) else len(bits)
+                part = bits[i:j]
+                ends = [np.bitwise_and.reduce(part), np.bitwise_or.reduce(part)]
+                low, high = (np.array([x]).view(np.int64) for x in ends)
                 serial += 1
-                out.append((1, None, None, int(band[a]), int(lead[a]), part.view(np.int64).tolist(), int(low.view(np.int64)), int(high.view(np.int64)), serial))
-            return out
-
-        def rows(found: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*found, strict=True)) if found else [()] * 9
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
+                fps = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.array(part.view(np.int64)))
+                yield rows(band=[band[i]], lead=[lead[i]], fps=fps, low=low, high=high, block=[serial])
+
+        def rows(**known: object) -> pa.RecordBatch:
+            n = len(next(iter(known.values())))
+            kind = 1 if "block" in known else 0
+            cols = {"kind": pa.array(np.full(n, kind), pa.int32())}
+            for name, of in (("a", pa.int64()), ("b", pa.int64()), ("band", pa.int32()), ("lead", pa.int32()), ("fps", pa.list_(pa.int64())), ("low", pa.int64()), ("high", pa.int64()), ("block", pa.int64())):
+                x = known.get(name)
+                cols[name] = pa.nulls(n, of) if x is None else x if isinstance(x, pa.Array) else pa.array(x, of)
+            return pa.RecordBatch.from_pydict(cols)
 
         band, bits, first = np.zeros(0, np.int64), np.zeros(0, np.uint64), True
         for batch in batches:
@@ -243,36 +256,35 @@ def link(spark: SparkSession, fps: DataFrame, radius: int = RADIUS, block: int =
                 lead = bits[: block + 1] >> np.uint64(64 - width)
                 steps = np.flatnonzero((lead[1:] != lead[:-1]) | (band[1 : block + 1] != band[:block])) + 1
                 cut = int(steps[-1]) if len(steps) else block
-                yield rows(finish(band[:cut], bits[:cut], (first, not len(steps))))
+                yield from finish(band[:cut], bits[:cut], (first, not len(steps)))
                 band, bits, first = band[cut:], bits[cut:], not len(steps)
         if len(bits):
-            yield rows(finish(band, bits, (first, True)))
+            yield from finish(band, bits, (first, True))
 
     found = stored(spark, placed.select("band", "bits").mapInArrow(run, OUT), "gray")
-    blocks = found.where("kind = 1").select("band", "lead", "fps", "low", "high", "block")
-    other = blocks.select("band", "lead", *[F.col(c).alias(c + "2") for c in ("fps", "low", "high", "block")])
+    blocks = found.where("kind = 1").select("band", "lead", "low", "high", "block")
+    other = blocks.select("band", "lead", *[F.col(c).alias(c + "2") for c in ("low", "high", "block")])
     apart = F.bit_count(F.expr("(low ^ low2) & ~(low ^ high) & ~(low2 ^ high2)"))
-    pairs = blocks.join(other, ["band", "lead"]).where((F.col("block") < F.col("block2")) & (apart <= radius)).select("band", "fps", "fps2")
+    pairs = blocks.join(other, ["band", "lead"]).where((F.col("block") < F.col("block2")) & (apart <= radius)).select("band", "block", "block2")
+    # The pairs are names; each fetches its patterns, so the pairs of one run are searched by as many tasks as it has blocks.
+    bits = found.where("kind = 1").select("block", "fps")
+    pairs = pairs.join(bits, "block").join(bits.select(F.col("block").alias("block2"), F.col("fps").alias("fps2")).hint("shuffle_merge"), "block2")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for band, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64)
+            for i in range(batch.num_rows):
+                x, y = (batch.column(c)[i].values.to_numpy().view(np.uint64) for c in (1, 2))
                 tree, n = Forest(y, np.zeros(1, np.int64)), len(x)
                 lab = np.arange(n + len(y))
                 for q, first, end in tree.search(x, np.zeros(n, np.int64), radius):
                     at, member = members(first, end)
-                    lab = roots(len(lab), q[at], member + n, lab)
-                every = back(np.append(x, y), np.full(len(lab), band))
+                    lab = roots(len(lab), q[at].astype(np.int64), member + n, lab)
+                every = back(np.append(x, y), np.full(len(lab), batch.column(0)[i].as_py()))
                 moved = np.flatnonzero(lab != np.arange(len(lab)))
-                a.append(every[moved])
-                b.append(every[lab[moved]])
-            none = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(every[moved]), pa.array(every[lab[moved]])], names=["u", "v"])
 
     edges = found.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return components(spark, edges.unionByName(pairs.mapInArrow(cross, "u long, v long")))
+    return components(spark, edges.unionByName(pairs.select("band", "fps", "fps2").mapInArrow(cross, "u long, v long")))
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
