@@ -12,8 +12,11 @@ contaminated document therefore holds at least one of the k (no recall is
 lost).  Documents' shingle hashes are probed against these signatures; the
 candidate pairs are then verified by exact containment of the shingles' words.
 
-Only built-in functions.  Signatures are broadcast up to ``BROADCAST_ROWS``
-rows and shuffled beyond; so are the candidates.
+Only built-in functions.  Signatures, candidates and items are stored, and
+broadcast up to a size in bytes (``common.BROADCAST_BYTES``); beyond it they are
+shuffled, the signatures in ``SALTS`` copies, so that a shingle common to all
+documents is spread over as many tasks.  A document is probed once with each of
+its distinct shingles.
 
 Defined cases: null and empty texts have no shingles, so such items match
 nothing and such documents are clean; a repeated doc_id gives one row per item
@@ -26,10 +29,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, with_row_id
+from .common import fits, small, stored, table, with_row_id
 
 WORDS, SHARE = 5, 0.8
-BROADCAST_ROWS = 500_000
+SALTS = 16
 
 
 def words(text: str) -> F.Column:
@@ -59,9 +62,6 @@ def signatures(items: DataFrame, n: int, share: float) -> DataFrame:
     return sets.select("item_id", F.explode(F.slice("s", F.lit(1), miss + 1)).alias("h"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
 
 def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int = WORDS, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment), one row per contaminated pair."""
@@ -72,8 +72,13 @@ def pairs(spark: SparkSession, docs: DataFrame, items: DataFrame, n: int, share:
     sig = stored(spark, signatures(items, n, share), "signatures")
     rows = with_row_id(docs.select("doc_id", "text"))
     probed = shingle_hashes(rows.select("_row", words("text").alias("words")), n)
-    found = stored(spark, probed.join(small(sig), "h").select("_row", "item_id").distinct(), "candidates")
-    held = found.select("_row").distinct()
+    if fits(sig):
+        hits = probed.join(F.broadcast(sig), "h")
+    else:
+        salted = sig.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = probed.withColumn("salt", (F.pmod(F.xxhash64("_row"), F.lit(SALTS))).cast("int")).join(salted, ["h", "salt"])
+    found = stored(spark, hits.select("_row", "item_id").distinct(), "candidates")
+    held = stored(spark, found.select("_row").distinct(), "candidate-rows")
     texts = rows.join(small(held), "_row").withColumn("words", words("text")).select("_row", "doc_id", shingles(n).alias("have"))
     wanted = items.withColumn("words", words("text")).select("item_id", F.explode(shingles(n)).alias("s"))
     wanted = wanted.groupBy("item_id").agg(F.collect_set("s").alias("want"))
