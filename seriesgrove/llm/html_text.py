@@ -1,23 +1,32 @@
 """Operator 2: main text of HTML pages with site template removal.
 
-Site templates: every element subtree of a page is hashed (tag, class, text and
-children); Spark counts, per host, in how many different pages a subtree
-occurs, and subtrees that recur in many are deleted: in ``MIN_PAGES`` pages at
-least, and in ``SHARE`` of the host's pages or, on hosts of more than
-``1 / SHARE ** 2`` pages, in the square root of their number.  Exact copies of a
-page count once, and headings, paragraphs, list items and table parts inside the
-article, or what holds half of its text, are never taken for template, so
-copies of an article do not delete it.  Elements that are boilerplate by their
-meaning (menus, forms, scripts, notices, comments and so on) go too; inside the
-article only a class of a container says so, never an id.
+Site templates are found by hashes of element subtrees, which Spark counts per
+host, each in how many different pages it occurs; exact copies of a page count
+once.  A page has two kinds of them:
+
+* ``shell``: the subtrees beside the way from the root to the page's main
+  element, hashed by structure alone: the tags and classes above them, their own
+  and those of their children, runs of equal children as one, text only by its
+  presence.  So the menu, notices and footer around the varying part recur
+  although their words differ from page to page.
+* ``copy``: subtrees hashed with their whole text and children, anywhere but in
+  headings, paragraphs, lists, tables and their parts inside the article, or
+  what holds half of its text.
+
+A shell subtree goes if it recurs in ``SHELL_PAGES`` pages of the host at least,
+a copy in ``MIN_PAGES``, and either in ``SHARE`` of the host's pages or, on hosts
+of more than ``1 / SHARE ** 2`` pages, in the square root of their number.
+Elements that are boilerplate by their meaning (menus, forms, scripts, notices,
+comments and so on) go too, which is all there is to go by on hosts of few
+pages; inside the article only a class of a container says so, never an id.
 
 The text is that of the richest ``article`` or ``main`` element, else of the
 element that holds most paragraph text, else of the body.  Character references
 are decoded, white space inside a block becomes one space, blocks are trimmed
 and joined by one newline in page order.
 
-Only subtrees that may be deleted and are no boilerplate anyhow are counted.
-Counts are pre-aggregated by (host, hash), so a host with a third of all pages
+Only subtrees that may be deleted are counted, copies only if they are no
+boilerplate anyhow.  Counts are pre-aggregated by (host, hash), so a host with a third of all pages
 is spread over its subtrees; a page receives only its own deletions.
 
 Defined cases: null or empty html gives an empty text; a null or unparsable url
@@ -38,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table, with_row_id
 
-MIN_PAGES, SHARE = 5, 0.01
+MIN_PAGES, SHELL_PAGES, SHARE = 5, 3, 0.01
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template".split())
@@ -57,21 +66,23 @@ CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WHOLE = frozenset("html body article main".split())
 KEPT = HEADINGS | frozenset("p blockquote pre".split())
 #: Inside the article these recur by chance.
-ITEMS = KEPT | frozenset("li dt dd tr td th thead tbody tfoot caption figcaption".split())
+ITEMS = KEPT | frozenset("ul ol dl li dt dd table tr td th thead tbody tfoot caption figure figcaption".split())
 #: Words that a class of a boilerplate container may hold besides DROP_WORDS.
-PARTS = frozenset("area bar block box button buttons container icons inner link links list posts wrap wrapper".split())
+PARTS = frozenset("area bar block box button buttons container icons inner item link links list posts reader readers replies reply section thread user users wrap wrapper".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "key", "weight")
+    __slots__ = ("tag", "attrs", "items", "key", "weight", "shell")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.items, self.key, self.weight = tag, attrs, [], 0, 0
+        self.tag, self.attrs, self.items, self.key, self.weight, self.shell = tag, attrs, [], 0, 0, None
 
 
 def parse(text: str) -> Node:
@@ -135,16 +146,34 @@ def order(root: Node) -> list[Node]:
 
 
 def hashed(root: Node) -> list[Node]:
-    """All nodes with ``key`` set: equal for equal subtrees."""
+    """All nodes with ``key`` set, equal for equal subtrees, and ``shell`` for those around the main element, equal for equal structure and place."""
     import xxhash
 
-    nodes = order(root)
+    nodes, shape, up = order(root), {}, {}
     for node in reversed(nodes):
-        h = xxhash.xxh64(node.tag.encode())
-        h.update(attributes(node).get("class", "").encode() if "class" in node.attrs.lower() else b"")
+        name = node.tag.encode() + (b"." + attributes(node).get("class", "").encode() if "class" in node.attrs.lower() else b"")
+        h, g, last = xxhash.xxh64(name), xxhash.xxh64(name, 1), None
+        for x in node.items:
+            if isinstance(x, str):
+                h.update(b"\x00" + x.strip().encode("utf-8", "replace"))
+                mark = b"\x00" if x.strip() else None
+            else:
+                up[x] = node
+                h.update(b"\x01" + x.key.to_bytes(8, "little"))
+                mark = shape[x]
+            if mark is not None and mark != last:
+                g.update(mark)
+                last = mark
+        node.key, shape[node] = h.intdigest(), g.digest()
+    way = [main_node(root)]
+    while way[-1] in up:
+        way.append(up[way[-1]])
+    place = b""
+    for node, inner in zip(reversed(way), [*reversed(way[:-1])], strict=False):
+        place = xxhash.xxh64(place + node.tag.encode() + attributes(node).get("class", "").encode(), 1).digest()
         for x in node.items:
-            h.update(b"\x00" + x.strip().encode("utf-8", "replace") if isinstance(x, str) else b"\x01" + x.key.to_bytes(8, "little"))
-        node.key = h.intdigest()
+            if not isinstance(x, str) and x is not inner and x.tag not in WHOLE:
+                x.shell = xxhash.xxh64(place + shape[x], 1).intdigest()
     return nodes
 
 
@@ -161,7 +190,7 @@ def boilerplate(node: Node, inside: bool) -> bool:
 
 def named(node: Node, a: dict[str, str], inside: bool) -> bool:
     """Whether class or id name boilerplate; ids of headings, paragraphs and sections name their subject."""
-    words = lambda text: set(re.split(r"[^a-z]+", text.lower())) - {""}
+    words = lambda text: set(re.split(r"[^a-z]+", CAMEL.sub("-", text).lower())) - {""}
     titled = node.tag == "section" and any(x.tag in HEADINGS for x in order(node))
     if not inside:
         return bool((words(a.get("class", "")) | (set() if titled or node.tag in KEPT else words(a.get("id", "")))) & DROP_WORDS)
@@ -184,7 +213,9 @@ def kept_nodes(root: Node, recurring: set[int] | None) -> Iterator[tuple[Node, l
             if isinstance(x, str):
                 kept.append(x)
                 continue
-            may = x.tag in BLOCK and x.tag not in ("html", "body", "article", "main") and not (around and (x.tag in ITEMS or 2 * x.weight >= around.weight))
+            if recurring and x.shell in recurring:
+                continue
+            may = x.tag in BLOCK and x.tag not in WHOLE and not (around and (x.tag in ITEMS or 2 * x.weight >= around.weight))
             if may and recurring and x.key in recurring:
                 continue
             if not boilerplate(x, around is not None):
@@ -259,46 +290,65 @@ def text_of(html: str | None, recurring: set[int]) -> str:
     return "\n".join(blocks(main_node(root)))
 
 
-def recurring(spark: SparkSession, pages: DataFrame, min_pages: int, share: float) -> DataFrame:
-    """(_row, keys): hashes of template subtrees in the page, for pages that have any."""
+def subtrees(html: str) -> tuple[int, list[int], list[int]]:
+    """Hashes of a page: whole, shell and copies, as signed integers."""
+    nodes = hashed(parse(html))
+    shells = {x.shell for x in nodes if x.shell is not None}
+    copies = {x.key for _, open_ in kept_nodes(nodes[0], None) for x in open_}
+    signed = lambda keys: [k - (1 << 63) for k in sorted(keys)]
+    return nodes[0].key - (1 << 63), signed(shells), signed(copies)
+
+
+def host_of(url: str | None) -> str:
+    m = HOST.match(url or "")
+    return m[1].lower() if m else ""
+
+
+def templates(spark: SparkSession, pages: DataFrame, min_pages: int, share: float, shell_pages: int = SHELL_PAGES) -> tuple[DataFrame, DataFrame]:
+    """The subtrees of each page (_row, host, page, shells, copies) and those that are template of a host (host, key)."""
     rows = with_row_id(pages.select("page_id", "url", "html")).where("html is not null").select("_row", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long, longs = pa.int64(), pa.list_(pa.int64())
         for b in batches:
-            ids, hosts, wholes, keys = [], [], [], []
-            for row, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                m = HOST.match(url or "")
-                nodes = hashed(parse(html))
-                found = {x.key for _, open_ in kept_nodes(nodes[0], None) for x in open_}
-                ids.append(row)
-                hosts.append(m[1].lower() if m else "")
-                wholes.append(nodes[0].key - (1 << 63))
-                keys.append([k - (1 << 63) for k in found])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), pa.array(wholes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["_row", "host", "page", "keys"]
-            )
-
-    seen = stored(spark, rows.mapInArrow(run, "_row long, host string, page long, keys array<long>"), "subtrees")
+            found = [subtrees(html.as_py()) for html in b.column(2)]
+            cols = zip(*found, strict=True) if found else [()] * 3
+            keys = [pa.array(list(c), of) for c, of in zip(cols, (long, longs, longs), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([host_of(u) for u in b.column(1).to_pylist()], pa.string()), *keys], names=["_row", "host", "page", "shells", "copies"])
+
+    seen = stored(spark, rows.mapInArrow(run, "_row long, host string, page long, shells array<long>, copies array<long>"), "subtrees")
     firsts = seen.groupBy("host", "page").agg(F.min("_row").alias("_row"))  # copies of a page count once
     hosts = firsts.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counted = seen.join(firsts.select("_row"), "_row", "left_semi").select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    often = counted.where(F.col("n") >= min_pages).join(hosts, "host").where(F.col("n") >= F.least(share * F.col("pages"), F.sqrt("pages"))).select("host", "key")
-    often = stored(spark, often, "templates")
-    hits = seen.select("_row", "host", F.explode("keys").alias("key")).join(often, ["host", "key"])
+    marked = lambda c, shell: F.transform(c, lambda k: F.struct(F.lit(shell).alias("shell"), k.alias("key")))
+    each = seen.join(firsts.select("_row").hint("shuffle_hash"), "_row", "left_semi").select("host", F.explode(F.concat(marked("shells", True), marked("copies", False))).alias("k"))
+    counted = each.groupBy("host", "k.shell", "k.key").agg(F.count(F.lit(1)).alias("n"))
+    many = F.col("n") >= F.when(F.col("shell"), F.lit(shell_pages)).otherwise(F.lit(min_pages))
+    often = counted.where(many).join(hosts, "host").where(F.col("n") >= F.least(share * F.col("pages"), F.sqrt("pages"))).select("host", "key")
+    return seen, stored(spark, often, "templates")
+
+
+def recurring(spark: SparkSession, pages: DataFrame, min_pages: int, share: float, shell_pages: int = SHELL_PAGES) -> DataFrame:
+    """(_row, keys): hashes of template subtrees in the page, for pages that have any."""
+    seen, often = templates(spark, pages, min_pages, share, shell_pages)
+    hits = seen.select("_row", "host", F.explode(F.concat("shells", "copies")).alias("key")).join(often, ["host", "key"])
     return stored(spark, hits.groupBy("_row").agg(F.collect_list("key").alias("keys")), "deletions")
 
 
-def extract(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """page_id, url, text, n_chars for every page; ``pages`` must be a file scan."""
-    drop = recurring(spark, pages, min_pages, share)
-    rows = with_row_id(pages.select("page_id", "url", "html")).join(drop, "_row", "left").select("page_id", "url", "html", "keys")
+def extract(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, shell_pages: int = SHELL_PAGES) -> DataFrame:
+    """page_id, url, text, n_chars for every page, and n_template, the template subtrees found in it; ``pages`` must be a file scan."""
+    drop = recurring(spark, pages, min_pages, share, shell_pages)
+    # Deletions grow with the pages: shuffled at every size, never broadcast.
+    rows = with_row_id(pages.select("page_id", "url", "html")).join(drop.hint("shuffle_hash"), "_row", "left").select("page_id", "url", "html", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [text_of(h.as_py(), {k + (1 << 63) for k in ks.as_py() or ()}) for h, ks in zip(b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string())], names=["page_id", "url", "text"])
+            keys = [{k + (1 << 63) for k in ks or ()} for ks in b.column(3).to_pylist()]
+            found = [text_of(h.as_py(), ks) for h, ks in zip(b.column(2), keys, strict=True)]
+            n = pa.array([len(ks) for ks in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string()), n], names=["page_id", "url", "text", "n_template"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = rows.mapInArrow(run, "page_id long, url string, text string, n_template long")
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
