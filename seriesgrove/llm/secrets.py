@@ -7,18 +7,26 @@ first-order Markov model of random strings and one of ordinary identifiers
 exceeds ``MIN_RATIO`` and that have ``MIN_DISTINCT`` different characters, where
 they overlap no base span.
 
-Both models are transition counts, backed off to character counts, trained from labelled
-samples: ``random`` are strings made by a rule (digests in hex, base64 and
-upper-case letters and digits), ``ordinary`` are the runs of letters, digits
-and joiners in at most ``TRAIN_DOCS`` documents (least hash of doc_id) outside
-base matches.  The model is a table of alphabet x alphabet numbers, whatever
-the size of the corpus; it is inlined as a constant.
+Both models are transition counts, backed off to character counts, trained from
+labelled samples.  ``random`` are strings made by a rule: hex, base64, letters
+and digits in one or both cases, lower-case letters alone, and UUIDs.
+``ordinary`` are words and the identifiers that a rule makes of them
+(snake_case, camelCase, CONSTANTS, paths, numbered names, dates).  A run of
+letters counts as a word, its label, if it occurs in ``WORD_TEXTS`` different
+texts at least, of ``TRAIN_DOCS`` documents (least hash of doc_id) without their
+base matches; a secret that no pattern knows stands in one text and its copies
+and so does not train the ordinary model.  The model is a table of alphabet x
+alphabet numbers, whatever the size of the corpus; it is inlined as a constant.
+``MIN_RATIO`` is set on held-out samples of both labels; recall by form and
+false alarms are in the README.
 
 Only built-in functions.  A match's position is the summed length of all pieces
 (``split``) and matches before it: a running sum in code points over the few
 rows that matches make.
 
-Defined cases: null text equals empty text (no spans); repeated rows each give
+Defined cases: a corpus with too few recurring words to know what is ordinary
+(under ``MIN_TRANSITIONS`` transitions) gets base spans only; null text equals
+empty text (no spans); repeated rows each give
 a row; an empty table gives an empty result.
 """
 
@@ -42,32 +50,79 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-MIN_RUN, MIN_RATIO, MIN_DISTINCT = 16, 2.5, 8
+MIN_RUN, MIN_RATIO, MIN_DISTINCT = 16, 0.5, 8
 RUN = rf"[A-Za-z0-9+/_-]{{{MIN_RUN},}}"
-TRAIN_DOCS, TRAIN_RANDOM = 2000, 2000
+TRAIN_DOCS, TRAIN_RANDOM, WORD_TEXTS, WORD_GROUPS = 2000, 2000, 3, 64
+MIN_TRANSITIONS = 1000
 BACKOFF = 8.0
 
 
 def _counts(samples: DataFrame) -> dict[tuple[str, str], int]:
     """Transition counts of ``s``; at most alphabet x alphabet rows reach the driver."""
-    pairs = samples.where(F.length("s") > 1).select("s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i"))
-    pairs = pairs.select(F.substring("s", F.col("i"), F.lit(1)).alias("a"), F.substring("s", F.col("i") + 1, F.lit(1)).alias("b"))
-    return {(r.a, r.b): r["count"] for r in pairs.groupBy("a", "b").count().collect()}
+    chars = samples.where(F.length("s") > 1).select(F.split("s", "").alias("c"))
+    pairs = chars.select(F.explode(F.zip_with("c", F.slice("c", F.lit(2), F.size("c")), lambda a, b: F.concat(a, b))).alias("p")).where("p is not null")
+    known = F.substring("p", 1, 1).isin(*ALPHABET) & F.substring("p", 2, 1).isin(*ALPHABET)
+    return {(r.p[0], r.p[1]): r["count"] for r in pairs.groupBy("p").count().where(known).collect()}
+
+
+def random_samples(spark: SparkSession, n: int, seed: str = "seed") -> DataFrame:
+    """(form, s): strings labelled random, ``n`` of each form, by a rule."""
+    x = F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256)
+    rows = spark.range(n).select(x.alias("x"), F.sha2(x, 256).alias("y"))
+    many = F.regexp_replace(F.base64(F.unhex(F.concat("x", "y"))), "[+/=]", "")
+    lower = lambda bits: F.translate(bits, "0123456789abcdef", "qwzrtypkdhgabcde")  # noqa: E731  half of the letters
+    other = lambda bits: F.translate(bits, "0123456789abcdef", "fijlmnosuvxbcaeh")  # noqa: E731  the other half
+    letters = F.array_join(F.zip_with(F.split("x", ""), F.split("y", ""), lambda a, b: F.when(b < "8", lower(a)).otherwise(other(a))), "")
+    forms = {
+        "hex": F.substring("x", 1, 40),
+        "base64": F.regexp_replace(F.base64(F.unhex("x")), "=+$", ""),
+        "base62": F.substring(many, 1, 40),
+        "upper": F.substring(F.upper(many), 1, 40),
+        "lower_digits": F.substring(F.lower(many), 1, 40),
+        "lower": F.substring(letters, 1, 40),
+        "uuid": F.concat_ws("-", *[F.substring("x", i, k) for i, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]),
+    }
+    return rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("s")) for k, v in forms.items()])).alias("r")).select("r.form", "r.s")
+
+
+def ordinary_samples(rows: DataFrame) -> DataFrame:
+    """(form, s): words and the identifiers a rule makes of them, of ``rows`` with ``text``."""
+    text = F.col("text")
+    for p in (ASSIGN, ACCESS, HEX):
+        text = F.regexp_replace(text, p, " ")
+    plain = rows.select(F.xxhash64("text").alias("t"), F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z]{2,20}"), 0)).alias("w"))
+    words = plain.dropDuplicates(["t"]).select(F.explode("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORD_TEXTS)
+    # Words meet others by rank of their hashes, in small groups.
+    groups = words.withColumn("g", F.pmod(F.xxhash64("w"), F.lit(WORD_GROUPS))).groupBy("g").agg(F.array_sort(F.collect_set("w")).alias("ws"))
+    each = groups.select("ws", F.posexplode("ws").alias("i", "a"))
+    at = lambda k: F.get("ws", (F.col("i") * k + k) % F.size("ws"))
+    each = each.select("a", at(3).alias("b"), at(7).alias("c"), F.pmod(F.xxhash64("a"), F.lit(1000)).cast("string").alias("d"))
+    low = [F.lower(c) for c in "abc"]
+    forms = {
+        "word": F.col("a"),
+        "snake": F.concat_ws("_", *low),
+        "kebab": F.concat_ws("-", *low),
+        "camel": F.concat(low[0], F.initcap("b"), F.initcap("c")),
+        "constant": F.upper(F.concat_ws("_", "a", "b")),
+        "path": F.concat(F.lit("/"), F.concat_ws("/", *low)),
+        "numbered": F.concat(F.concat_ws("_", low[0], low[1]), F.lit("-"), "d"),
+        "dated": F.concat(low[0], F.lit("-20"), F.substring(F.concat("d", F.lit("24")), 1, 2), F.lit("-01-"), F.lpad(F.substring("d", 1, 2), 2, "0")),
+    }
+    return each.select(F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("s")) for k, v in forms.items()])).alias("r")).select("r.form", "r.s")
+
+
+def sampled(docs: DataFrame) -> DataFrame:
+    """(text) of the training documents."""
+    rows = with_row_id(docs.select("doc_id", "text"))
+    picked = rows.select("_row", F.xxhash64("doc_id").alias("h")).orderBy("h", "_row").limit(TRAIN_DOCS).select("_row")
+    return rows.join(F.broadcast(picked), "_row", "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))  # TRAIN_DOCS rows
 
 
 def train(spark: SparkSession, docs: DataFrame) -> list[float]:
     """Row-major log-likelihood ratios of transitions, random over ordinary."""
-    rows = with_row_id(docs.select("doc_id", "text"))
-    picked = rows.select("_row", F.xxhash64("doc_id").alias("h")).orderBy("h", "_row").limit(TRAIN_DOCS).select("_row")
-    text = F.coalesce("text", F.lit(""))
-    for p in (ASSIGN, ACCESS, HEX):
-        text = F.regexp_replace(text, p, " ")
-    sample = rows.join(F.broadcast(picked), "_row", "left_semi")  # TRAIN_DOCS rows
-    ordinary = sample.select(F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_-]{3,}"), 0)).alias("s"))
-    seed = spark.range(TRAIN_RANDOM).select(F.sha2(F.concat(F.lit("seed"), F.col("id").cast("string")), 256).alias("x"))
-    forms = F.array(F.substring("x", 1, 40), F.regexp_replace(F.base64(F.unhex("x")), "=+$", ""), F.upper(F.regexp_replace(F.base64(F.unhex("x")), "[+/=]", "")))
-    made = seed.select(F.explode(forms).alias("s"))
-    up, down = _counts(made), _counts(ordinary)
+    up, down = _counts(random_samples(spark, TRAIN_RANDOM)), _counts(ordinary_samples(sampled(docs)))
+    if sum(down.values()) < MIN_TRANSITIONS:
+        return [-1.0] * len(ALPHABET) ** 2
 
     def logs(n: dict[tuple[str, str], int]) -> list[list[float]]:
         seen = {b: sum(n.get((a, b), 0) for a in ALPHABET) for b in ALPHABET}
@@ -83,37 +138,37 @@ def train(spark: SparkSession, docs: DataFrame) -> list[float]:
 
 
 def ratio(s: str, model: list[float]) -> F.Column:
-    """Mean log-likelihood ratio per transition of column ``s``."""
+    """Mean log-likelihood ratio per transition of column ``s``; the string is split once, so the work is linear in its length."""
     table_ = F.from_json(F.lit(json.dumps(model)), "array<double>")
-    code = lambda c: F.instr(F.lit(ALPHABET), c) - 1
-    step = lambda acc, i: F.struct(
-        (acc["sum"] + F.when(i == 1, 0.0).otherwise(F.get(table_, acc["last"] * len(ALPHABET) + code(F.substring(F.col(s), i, F.lit(1)))))).alias("sum"),
-        code(F.substring(F.col(s), i, F.lit(1))).alias("last"),
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    add = lambda acc, c: F.struct(
+        (acc["sum"] + F.when(acc["last"] < 0, 0.0).otherwise(F.get(table_, acc["last"] * len(ALPHABET) + c))).alias("sum"), c.alias("last")
     )
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda acc: acc["sum"] / (F.length(s) - 1))
+    return F.aggregate(codes, F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("last")), add, lambda acc: acc["sum"] / (F.length(s) - 1))
 
 
-def _found(rows: DataFrame, kind: int, pattern: str, group: int = 0) -> DataFrame:
-    """(_row, kind, s, e, m): every match of the pattern with its code points; m is the asked group."""
-    rows = rows.where(F.col("text").rlike(pattern))
-    cols = [F.split("text", pattern, -1).alias("p"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("f"), F.regexp_extract_all("text", F.lit(pattern), group).alias("m")]
-    rows = rows.select("_row", *cols)
-    each = F.arrays_zip(F.transform("p", F.char_length).alias("p"), F.transform("f", F.char_length).alias("f"), F.col("m").alias("m"))
-    rows = rows.select("_row", F.posexplode(each).alias("i", "x")).select("_row", "i", "x.p", "x.f", "x.m")
-    end = F.sum(F.col("p") + F.coalesce("f", F.lit(0))).over(Window.partitionBy("_row").orderBy("i"))
-    rows = rows.withColumn("e", end).where("m is not null")
-    return rows.select("_row", F.lit(kind).alias("kind"), (F.col("e") - F.col("f")).alias("s"), "e", "m")
+def _matches(pattern: str, group: int) -> F.Column:
+    """All pieces of ``text`` between matches with the match that follows (null after the last): lengths in code points and the asked group."""
+    whole, length = F.regexp_extract_all("text", F.lit(pattern), 0), F.char_length
+    found = F.zip_with(F.split("text", pattern, -1), whole, lambda p, m: F.struct(length(p).alias("p"), length(m).alias("f"), m.alias("m")))
+    if group:
+        found = F.zip_with(found, F.regexp_extract_all("text", F.lit(pattern), group), lambda x, m: F.struct(x["p"].alias("p"), x["f"].alias("f"), m.alias("m")))
+    return F.when(F.col("text").rlike(pattern), found)
 
 
 def find(spark: SparkSession, docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """One row per document: _row, doc_id, spans (array of kind, s, e in order)."""
     model = train(spark, docs) if model is None else model
     rows = with_row_id(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    base = _found(rows, 0, ASSIGN, 2).where(F.char_length("m") >= 8).unionByName(_found(rows, 1, ACCESS)).unionByName(_found(rows, 2, HEX))
+    every = [_matches(p, g) for p, g in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0), (RUN, 0))]  # one scan for all kinds
+    each = rows.select("_row", F.posexplode(F.array(*every)).alias("kind", "found")).where("found is not null").select("_row", "kind", F.posexplode("found").alias("i", "x"))
+    end = F.sum(F.col("x.p") + F.coalesce("x.f", F.lit(0))).over(Window.partitionBy("_row", "kind").orderBy("i"))
+    each = each.withColumn("e", end).where("x.m is not null")
+    each = each.select("_row", "kind", (F.col("e") - F.col("x.f")).alias("s"), "e", F.col("x.m").alias("m"))
     varied = F.size(F.array_distinct(F.split("m", ""))) >= MIN_DISTINCT  # a repeated character is not random
-    extra = _found(rows, 3, RUN).where(varied & (ratio("m", model) > MIN_RATIO))
-    spans = stored(spark, base.unionByName(extra).select("_row", "kind", "s", "e"), "spans")
+    random = F.when(varied, ratio("m", model) > MIN_RATIO)
+    found = each.where(F.when(F.col("kind") == 0, F.char_length("m") >= 8).when(F.col("kind") == 3, random).otherwise(F.lit(True)))
+    spans = stored(spark, found.select("_row", "kind", "s", "e"), "spans")
     w = Window.partitionBy("_row").orderBy("s")
     before = F.max(F.when(F.col("kind") < 3, F.col("e"))).over(w.rangeBetween(Window.unboundedPreceding, 0))
     after = F.min(F.when(F.col("kind") < 3, F.col("s"))).over(w.rangeBetween(0, Window.unboundedFollowing))
