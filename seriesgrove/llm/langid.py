@@ -8,11 +8,14 @@ between its vector and the prototype.
 
 Texts are lower-cased whole; runs of other characters count as one space, also
 at both ends.  Bundling is linear, so a training task adds up n-gram counts and
-sends one vector per language; prototypes (languages x ``DIM`` numbers, at most
-``MAX_LANGS`` languages, else an error) go to the prediction tasks.  These need
-only the products of n-grams with prototypes, which they keep; the length of a
-document's vector is taken as its expected value, ``sqrt(DIM)`` times the
-length of its counts.
+sends one vector per language.  Prototypes stand in a stored table, sorted by
+language and cut into blocks of ``LANG_BLOCK`` languages; a block (``LANG_BLOCK``
+x ``DIM`` numbers at most, 16 MB) goes to the prediction tasks.  With one block, the usual
+case, that is one pass; with more, each block gives every document its best
+language there, and the best of the blocks wins, so any number of languages
+works in the same memory.  Prediction needs only the products of n-grams with
+prototypes, which a task keeps; the length of a document's vector is taken as
+its expected value, ``sqrt(DIM)`` times the length of its counts.
 
 Unrelated n-grams give a cosine with a standard deviation of 1 / sqrt(DIM),
 0.011, whatever the length of the text.  ``keep`` asks for ``MIN_SCORE``, 4.5
@@ -35,10 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table, with_row_id
 
 DIM, GRAM, SEED = 8192, 3, 7
-MAX_LANGS = 4096
+LANG_BLOCK = 512
+LAST_LETTER = 0x33479  # end of the last block of letters in Unicode 17; what lies beyond is none
 LETTERS = 1 << 12  # letter vectors kept by a task
 CHUNK = 512  # n-gram vectors built at once
 CACHE = 1 << 22  # products kept by a task
@@ -50,7 +54,7 @@ class Encoder:
     """Counts n-grams of texts and turns counts into vectors."""
 
     def __init__(self) -> None:
-        self.letter = np.array([chr(i).isalpha() for i in range(0x30000)])
+        self.letter = np.array([chr(i).isalpha() for i in range(LAST_LETTER + 2)])
         self.vectors: dict[int, np.ndarray] = {}
 
     def count(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -123,8 +127,8 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
-def train(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Prototypes (unit length) from documents that are not held out and have a label."""
+def train(docs: DataFrame) -> DataFrame:
+    """(lang, v): prototypes from documents that are not held out and have a label; stored."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,14 +155,44 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
     parts = rows.mapInArrow(run, "lang string, v array<double>")
     each = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     whole = each.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    found = whole.limit(MAX_LANGS + 1).collect()
-    if len(found) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    return {r.lang: np.array(r.v) / max(np.linalg.norm(r.v), 1e-12) for r in sorted(found, key=lambda r: r.lang)}
-
-
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` with lang_pred, score and n_grams (different n-grams) added."""
+    return stored(docs.sparkSession, whole, "prototypes")
+
+
+def blocks(prototypes: DataFrame, size: int = LANG_BLOCK) -> Iterator[dict[str, np.ndarray]]:
+    """The prototypes, scaled to unit length, in order of language, at most ``size`` at a time; none at all is one empty block."""
+    last, first = None, True
+    while True:
+        rows = prototypes if last is None else prototypes.where(F.col("lang") > last)
+        got = {r.lang: np.array(r.v) / max(np.linalg.norm(r.v), 1e-12) for r in rows.orderBy("lang").limit(size).collect()}
+        if got or first:
+            yield got
+        if len(got) < size:
+            return
+        last, first = max(got), False
+
+
+def predict(docs: DataFrame, prototypes: DataFrame | dict[str, np.ndarray], size: int = LANG_BLOCK) -> DataFrame:
+    """``docs`` (a file scan) with lang_pred, score and n_grams (different n-grams) added."""
+    every = iter([prototypes] if isinstance(prototypes, dict) else blocks(prototypes, size))
+    one, two = next(every), next(every, None)
+    if two is None:
+        return predict_block(docs, one)
+    spark, parts = docs.sparkSession, []
+    rows = with_row_id(docs.select("doc_id", "text")).select("_row", "text")
+    for block in (b for part in ([one, two], every) for b in part):
+        parts.append(stored(spark, predict_block(rows, block).drop("text"), "best-of-block"))
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
+    # The least of these has the highest score; a tie goes to the language that sorts first.
+    rank = F.struct((F.col("lang_pred") == "und").alias("a"), (-F.col("score")).alias("b"), F.col("lang_pred").alias("c"))
+    best = scored.groupBy("_row").agg(F.min(rank).alias("m"), F.max("score").alias("score"), F.max("n_grams").alias("n_grams"))
+    best = best.select("_row", F.col("m.c").alias("lang_pred"), "score", "n_grams")
+    return with_row_id(docs).join(best.hint("shuffle_hash"), "_row").drop("_row")
+
+
+def predict_block(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+    """``predict`` with the prototypes of one block."""
     langs = sorted(prototypes)
     matrix = np.array([prototypes[x] for x in langs]).reshape(len(langs), DIM)
     schema = docs.schema
