@@ -188,7 +188,8 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write(spark, table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
-    files = archives.select("file").repartition(F.col("file"))
+    # A range for each archive: a number that is asked for isn't coalesced, so every archive is read by a task of its own.
+    files = archives.select("file").repartitionByRange(max(archives.count(), 1), "file")
     rows = stored(spark, read(files).drop("payload"), "records")
     page = lambda c: F.col(c)["fields"]["page-id"].cast("long")
     return assemble(rows).select(
