@@ -14,7 +14,8 @@ vocabulary, whose path is a parameter; the driver reads it and sends it to the
 tasks.  Files carry their task attempt's name, and only those in the committed
 manifest are read, so lost executors and retries do no harm.
 
-Defined cases: null and empty texts have 0 tokens; tokens after the last
+Defined cases: a vocabulary that holds the end-of-document id, or ids that
+don't fit the width, is a ValueError; null and empty texts have 0 tokens; tokens after the last
 separator of a file are a document of their own only if ``open_end`` is set;
 repeated rows each give a row; empty files and tables give no rows.
 """
@@ -37,6 +38,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 EOD = 50256
 BLOCK_TOKENS = 1 << 20
+TASK_BYTES = 128 << 20  # read by a task of the scan beyond one wave of tasks
 SUPER = 256  # blocks per group in the prefix scan
 
 
@@ -52,6 +54,9 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, vocabulary:
     with open(vocabulary, "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())  # a vocabulary file: under 2 MB
     kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
+    ids = [int(line.split()[1]) for line in raw.value.splitlines() if line]
+    if EOD in ids or max(ids, default=0) >= 1 << 8 * width or EOD >= 1 << 8 * width:
+        raise ValueError(f"the vocabulary holds the end-of-document id {EOD} or an id that {width} bytes can't hold")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, name, done, out = encoding(raw.value).encode_ordinary, own_file(folder, ".tok"), 0, None
@@ -73,7 +78,10 @@ def scan(spark: SparkSession, files: DataFrame, width: int = 2, eod: int = EOD,
     """(path, ord, n_tokens) for every document in ``files`` (path, length)."""
     kind, step = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width], block_tokens * width
     blocks = files.where("length > 0").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {step}"))))
-    blocks = blocks.repartition("path", "blk")
+    total = files.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")).first()  # two numbers
+    some = max(spark.sparkContext.defaultParallelism, (total["bytes"] or 0) // TASK_BYTES)
+    tasks = max(1, min(some, total["files"] + (total["bytes"] or 0) // step))
+    blocks = blocks.repartition(tasks, "path", "blk")  # a number that is asked for isn't coalesced
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
