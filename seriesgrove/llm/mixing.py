@@ -12,7 +12,11 @@ cumulative slot counts, and a slot's time is the van der Corput point (bit
 reversal) of its number, which spreads every source evenly over time.  Slots
 are ranked per source by time; rank r reads block r mod blocks, in epoch
 r div blocks, and the join with the blocks' pieces gives the words taken.  The
-last slot of a source is cut to the words still missing.
+last slot of a source is cut to the words still missing.  ``sequence`` gives the
+mix in the order of slots, ``mix`` the slot at which each document begins.
+
+Sources are rows of one task, which sorts them a few times and spills what
+exceeds its memory: meant for names of collections, up to some ten million.
 
 Ranks and stream positions are prefix sums over two levels (inside hash
 buckets, then over bucket totals), each level about the square root of the
@@ -81,7 +85,23 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
-    """One row per document: _row, doc_id, source, size, source_size, target, taken."""
+    """One row per document: _row, doc_id, source, size, source_size, target, taken, first_slot (place in the mix of the first words taken, null if none)."""
+    rows, used = planned(spark, docs, block, repeats)
+    taken = used.groupBy("_row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    rows = rows.join(taken.hint("merge"), "_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    return rows.select("_row", "doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
+
+
+def sequence(spark: SparkSession, docs: DataFrame, block: int = BLOCK, repeats: int = REPEATS) -> DataFrame:
+    """The mix itself: slot, at (place in the slot's block), doc_id, source, start (first word, from 0), words; read in order of slot and at."""
+    rows, used = planned(spark, docs, block, repeats)
+    return used.join(rows.select("_row", "doc_id", "source", F.col("at").alias("_at")), "_row").select(
+        "slot", (F.col("low") % block).alias("at"), "doc_id", "source", (F.col("low") - F.col("_at")).alias("start"), "words"
+    )
+
+
+def planned(spark: SparkSession, docs: DataFrame, block: int, repeats: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with their place in their source's stream, and the pieces of them that slots take (_row, slot, low, words)."""
     size = F.coalesce(F.regexp_count("text", F.lit(f"[^{WS}]+")), F.lit(0)).cast("long")
     base = with_row_id(docs.select("doc_id", "source", "text")).select("_row", "doc_id", "source", size.alias("size"))
     base = stored(spark, base.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes")
@@ -97,13 +117,13 @@ def mix(spark: SparkSession, docs: DataFrame, block: int = BLOCK, repeats: int =
         "_row", "no", "blk", F.greatest("at", F.col("blk") * block).alias("low"), F.least(F.col("at") + F.col("size"), (F.col("blk") + 1) * block).alias("high")
     )
     last = F.expr("goal - epoch * source_size")  # in stream positions of that epoch
-    used = pieces.join(schedule(sources).hint("merge"), ["no", "blk"]).select("_row", F.greatest(F.least("high", last) - F.col("low"), F.lit(0)).alias("w"))
-    taken = used.groupBy("_row").agg(F.sum("w").alias("taken"))
-    return rows.join(taken.hint("merge"), "_row", "left").select("_row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    words = F.least("high", last) - F.col("low")
+    used = pieces.join(schedule(sources).hint("merge"), ["no", "blk"]).select("_row", F.col("time").alias("slot"), "low", words.alias("words"))
+    return rows, used.where("words > 0")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 QUERIES = {"op3_mix_sources": op3_mix_sources}
@@ -125,4 +145,25 @@ p AS (SELECT d.doc_id, d.source, d.size, s.source_size, s.target, floor(s.target
    FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
 mixed AS (SELECT doc_id, source, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE
    (goal // source_size) * size + greatest(least(low + size, goal % source_size) - low, 0) END::BIGINT AS taken FROM p)"""
-ORACLE = {"op3_mix_sources": "WITH " + MIX_SQL.replace("{docs}", "documents") + "\nSELECT doc_id, size, source_size, target, taken FROM mixed"}
+#: The schedule, slot by slot.
+SLOT_SQL = r"""
+b AS (SELECT p.*, dense_rank() OVER (ORDER BY source ASC NULLS LAST) - 1 AS no FROM p),
+n0 AS (SELECT no, any_value(source_size) AS source_size, any_value(goal) AS goal, (any_value(source_size) + 1023) // 1024 AS blocks FROM b GROUP BY no),
+n1 AS (SELECT *, CASE WHEN source_size > 0 THEN (goal // source_size) * blocks + (goal % source_size + 1023) // 1024 ELSE 0 END AS slots FROM n0),
+n AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first,
+   length(bin(greatest((sum(slots) OVER ())::BIGINT - 1, 1))) AS bits FROM n1),
+t AS (SELECT no, blocks, goal, source_size, list_sum(list_transform(range(bits), lambda k: ((i >> k) & 1) << (bits - 1 - k)))::BIGINT AS time
+   FROM (SELECT *, unnest(range(first, first + slots::BIGINT)) AS i FROM n)),
+u AS (SELECT *, row_number() OVER (PARTITION BY no ORDER BY time) - 1 AS rank FROM t),
+x AS (SELECT *, unnest(range(low // 1024, (low + size - 1) // 1024 + 1)) AS blk FROM b WHERE size > 0),
+first_taken AS (SELECT x.doc_id, x.no, x.low, x.size, min(u.time) AS first_slot FROM x JOIN u ON u.no = x.no AND u.rank % u.blocks = x.blk
+   WHERE least(x.low + x.size, (x.blk + 1) * 1024, u.goal - (u.rank // u.blocks) * u.source_size) > greatest(x.low, x.blk * 1024) GROUP BY ALL)"""
+ORACLE = {
+    "op3_mix_sources": "WITH "
+    + MIX_SQL.replace("{docs}", "documents").replace("SELECT doc_id, source, size, source_size, target, CASE", "SELECT doc_id, source, size, low, source_size, target, CASE")
+    + ","
+    + SLOT_SQL
+    + "\nSELECT m.doc_id, m.size, m.source_size, m.target, m.taken, f.first_slot FROM mixed m"
+    + "\nLEFT JOIN first_taken f ON m.doc_id IS NOT DISTINCT FROM f.doc_id AND m.low = f.low AND m.size = f.size"
+    + "\n  AND f.no = (SELECT any_value(b.no) FROM b WHERE b.source IS NOT DISTINCT FROM m.source)"
+}
