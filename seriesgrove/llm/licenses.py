@@ -6,8 +6,8 @@ SHA-256, and hash-joined to the digests of known licence texts, which go
 through the same steps.  A text is normalised once, by byte operations in Arrow
 batches.  The known table has one row per text in ``KNOWN``, per whole licence in
 ``license_texts`` (with and without its title and its appendix) and per title of
-the short licences in ``KNOWN``, plus those the caller adds; it is broadcast up to ``BROADCAST_ROWS`` rows and joined
-by shuffle beyond.
+the short licences in ``KNOWN``, plus those the caller adds; its digests are stored, broadcast up to a
+size in bytes (``common.BROADCAST_BYTES``) and joined by shuffle beyond.
 
 Defined cases: null text is an empty unit and matches nothing; units that
 canonicalise to nothing match nothing; a document may match several licences
@@ -27,9 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-
-BROADCAST_ROWS = 100_000
+from .common import small, stored, table
 
 #: Published licence texts and standard notices (SPDX identifier, text).
 KNOWN: tuple[tuple[str, str], ...] = (
@@ -119,18 +117,24 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
 COPYRIGHT = r"(^|\n)[^\na-z0-9]*(copyright|\(c\))[^\n]*|(^|\n)[^\n]*all rights reserved[^\n]*"
 #: What a text must hold for ``COPYRIGHT`` to match.
 MARKS = (b"copyright", b"(c)", b"all rights reserved")
-#: Characters beyond ASCII that count as white space.
-SPACES = tuple(c.encode() for c in "©“”‘’–—")
+#: Characters beyond ASCII that count as white space, beside the copyright sign.
+BEYOND = "“”‘’–—\u00a0\u00ab\u00bb\u00b7\u2010\u2011\u201a\u201e\u2022\u2026\u202f\u2039\u203a\u3000\ufeff"
+SPACES = tuple(c.encode() for c in "©" + BEYOND)
 #: A line that starts with the copyright sign is a copyright line too.
 SIGNED = rb"(^|\n)[^\na-z0-9]*?" + SPACES[0] + rb"[^\n]*"
 #: ASCII other than letters, digits and the newline becomes a space; bytes.lower() has done the letters.
 TABLE = bytes(i if i >= 128 or i == 10 or chr(i).isalnum() else 32 for i in range(256))
+PADDED = tuple((f" {a} ".encode(), f" {b} ".encode()) for a, b in SPELLINGS)
 OUT = "unit string, digest binary, n long"
 
 
 def _spelled(padded: bytes) -> bytes:
-    for a, b in SPELLINGS:
-        padded = padded.replace(f" {a} ".encode(), f" {b} ".encode())
+    for _ in range(2):  # neighbours share a space, so every other one is left for the second time
+        before = padded
+        for a, b in PADDED:
+            padded = padded.replace(a, b)
+        if padded == before:
+            break
     return padded
 
 
@@ -146,8 +150,9 @@ def canonical(text: str | None, units: str = "text") -> tuple[bytes, list[bytes]
     if any(m in plain for m in MARKS):
         plain = re.sub(COPYRIGHT.encode(), b"\n", plain)
     plain = plain.translate(TABLE)
-    for c in SPACES[1:]:
-        plain = plain.replace(c, b" ")
+    if not plain.isascii():
+        for c in SPACES[1:]:
+            plain = plain.replace(c, b" ")
     whole, lines = b"", []
     if units != "line":
         whole = _spelled(b" " + b" ".join(plain.split()) + b" ").strip()
@@ -188,9 +193,7 @@ def digests(known: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, known: DataFrame, units: str = "both") -> DataFrame:
     """(doc_id, unit, license, n_units): units equal to a known text.  units: text, line or both."""
-    table_ = digests(known)
-    if known.count() <= BROADCAST_ROWS:
-        table_ = F.broadcast(table_)
+    table_ = small(stored(docs.sparkSession, digests(known), "digests"))
     rows = unit_digests(docs.select("doc_id", "text"), units)
     return rows.join(table_, "digest").groupBy("doc_id", "unit", "license").agg(F.sum("n").alias("n_units"))
 
@@ -221,8 +224,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_canonical(c: str) -> str:
     c = f"translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ©', 'abcdefghijklmnopqrstuvwxyz ')"
     c = f"regexp_replace({c}, '{COPYRIGHT}', chr(10), 'g')"
-    c = rf"' ' || trim(regexp_replace({c}, '[\x00-\x2F\x3A-\x60\x7B-\x7F“”‘’–—]+', ' ', 'g')) || ' '"
-    for a, b in SPELLINGS:
+    c = rf"' ' || trim(regexp_replace({c}, '[\x00-\x2F\x3A-\x60\x7B-\x7F{BEYOND}]+', ' ', 'g')) || ' '"
+    for a, b in SPELLINGS * 2:
         c = f"replace({c}, ' {a} ', ' {b} ')"
     return f"trim({c})"
 
