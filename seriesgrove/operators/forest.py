@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DuplicateRowError, MissingDependencyModalityError, UnsupportedModalityError
-from ..schemas import MODALITIES
-
-MAX_DEPTH = 8
+from ..schemas import IMAGING, MODALITIES
+from ..storage import row_offsets, stored
 
 
 def parse_query(query: str) -> list[str]:
@@ -23,40 +22,55 @@ def parse_query(query: str) -> list[str]:
     return [m for m in MODALITIES if m in asked]
 
 
+def is_root() -> Column:
+    return F.col("modality").isin("CT", "MR") | ((F.col("modality") == "PT") & F.col("ref").isNull())
+
+
 class SeriesForest:
     """Lazily planned queries over an index with columns uid, pid, modality, ref.
 
     An empty reference counts as none.  Of several rows with one uid the last
-    (by ``order``) counts.  Paths come from a bounded unrolled join from the
-    roots down; a level without rows costs nothing at run time.
+    (by ``order``) counts.  Paths grow from the roots down, one join per level;
+    every level is stored, and the first empty one ends them, so paths have any
+    length and no level is computed twice.  A node that is on its own path
+    already ends that path.
     """
 
-    def __init__(self, index: DataFrame, order: str | None = None, max_depth: int = MAX_DEPTH):
+    def __init__(self, index: DataFrame, order: str | None = None):
         rows = index.withColumn("ref", F.nullif(F.col("ref").cast("string"), F.lit("")).cast(dict(index.dtypes)["uid"]))
         if order is not None:
             last = Window.partitionBy("uid").orderBy(F.col(order).desc())
             rows = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1")
         self.nodes = rows.select("uid", "pid", "modality", "ref")
-        self.max_depth = max_depth
+        self._paths: DataFrame | None = None
 
     def roots(self) -> DataFrame:
-        return self.nodes.where(F.col("modality").isin("CT", "MR") | ((F.col("modality") == "PT") & F.col("ref").isNull()))
+        return self.nodes.where(is_root())
 
     def edges(self) -> DataFrame:
         parent = self.nodes.select(F.col("uid").alias("ref"), F.col("modality").alias("parent_modality"))
         return self.nodes.where("ref is not null").join(parent, "ref").select("uid", "modality", F.col("ref").alias("parent"), "parent_modality")
 
     def paths(self) -> DataFrame:
-        """pid, root, path (array of uid, modality), one row per root-to-node prefix."""
+        """pid, root, path (array of uid, modality), one row per root-to-node prefix; found once and kept."""
+        if self._paths is None:
+            self._paths = self._grow()
+        return self._paths
+
+    def _grow(self) -> DataFrame:
+        spark = self.nodes.sparkSession
+        nodes = stored(spark, self.nodes, "nodes")
         step = F.struct("uid", "modality")
-        level = self.roots().select("pid", F.col("uid").alias("root"), F.array(step).alias("path"), F.col("uid").alias("_at"))
-        down = self.nodes.where("ref is not null").select(F.col("ref").alias("_at"), step.alias("_next"))
+        level = nodes.where(is_root()).select("pid", F.col("uid").alias("root"), F.array(step).alias("path"), F.col("uid").alias("_at"))
+        down = nodes.where("ref is not null").select(F.col("ref").alias("_at"), step.alias("_next"))
+        level = stored(spark, level, "level")
         out = level
-        for _ in range(self.max_depth - 1):
+        while True:
             grown = level.join(down, "_at").where(~F.exists("path", lambda p: p["uid"] == F.col("_next.uid")))
-            level = grown.select("pid", "root", F.array_append("path", F.col("_next")).alias("path"), F.col("_next.uid").alias("_at"))
+            level = stored(spark, grown.select("pid", "root", F.array_append("path", F.col("_next")).alias("path"), F.col("_next.uid").alias("_at")), "level")
+            if level.isEmpty():
+                return out.drop("_at")
             out = out.unionByName(level)
-        return out.drop("_at")
 
     def query(self, query: str) -> DataFrame:
         """pid, members: distinct queried-modality paths."""
@@ -120,12 +134,40 @@ def duplicate_rows(index: DataFrame, keys: list[str], name: str = "n") -> DataFr
 
 def numbered(samples: DataFrame, patient: str, tie: str, first: int = 0) -> DataFrame:
     """Samples in order of the lower-case patient, numbered with four digits or more."""
-    at = F.row_number().over(Window.orderBy(F.lower(F.col(patient).cast("string")), tie)) - 1 + first
-    return samples.withColumn("sample_number", F.when(at < 10000, F.lpad(at.cast("string"), 4, "0")).otherwise(at.cast("string")))
+    rows = row_offsets(samples, [F.lower(F.col(patient).cast("string")), F.col(tie)], "_at")
+    at = F.col("_at") + first
+    return rows.withColumn("sample_number", F.when(at < 10000, F.lpad(at.cast("string"), 4, "0")).otherwise(at.cast("string"))).drop("_at")
+
+
+def by_patient(roots: DataFrame) -> DataFrame:
+    """pid, roots (array of uid, modality): the roots of each patient, ordered by patient."""
+    listed = F.array_sort(F.collect_list(F.struct("uid", "modality"))).alias("roots")
+    return roots.groupBy("pid").agg(listed).orderBy("pid")
+
+
+def query_text(modalities: list[str] | None = None) -> str:
+    """The query string of a list of modalities; none asks for everything."""
+    return ",".join(modalities) if modalities else "*"
+
+
+def missing_series(asked: DataFrame, loaded: DataFrame, key: str = "series") -> DataFrame:
+    """Asked series that were not loaded."""
+    return asked.join(loaded.select(key).distinct(), key, "left_anti")
+
+
+def loaded_series(asked: DataFrame, loaded: DataFrame, key: str = "series") -> DataFrame:
+    """Asked series that were loaded."""
+    return asked.join(loaded.select(key).distinct(), key, "left_semi")
 
 
 def reference_series(members: DataFrame, sample: str, modality: str, pos: str) -> DataFrame:
     """The sample's reference series: CT before MR before PT, then the first."""
     rank = F.array_position(F.array(F.lit("CT"), F.lit("MR"), F.lit("PT")), F.col(modality))
     top = Window.partitionBy(sample).orderBy(rank, pos)
-    return members.where(F.col(modality).isin("CT", "MR", "PT")).withColumn("_n", F.row_number().over(top)).where("_n = 1").drop("_n")
+    return members.where(F.col(modality).isin(*IMAGING)).withColumn("_n", F.row_number().over(top)).where("_n = 1").drop("_n")
+
+
+def extra_reference_series(members: DataFrame, sample: str, modality: str, pos: str) -> DataFrame:
+    """Further series of the reference series' modality, which a sample leaves aside."""
+    first = reference_series(members, sample, modality, pos).select(sample, F.col(modality).alias("_m"), F.col(pos).alias("_p"))
+    return members.join(first, sample).where((F.col(modality) == F.col("_m")) & (F.col(pos) != F.col("_p"))).drop("_m", "_p")

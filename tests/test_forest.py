@@ -61,3 +61,29 @@ def test_index_from_instances(spark):
     assert (got["p1"].ReferencedSeriesUID, got["p1"].ReferencedModality) == ("c1", "CT")
     assert (got["g1"].ReferencedSeriesUID, got["g1"].ReferencedModality) == ("c1", "CT")
     assert got["r1"].ReferencedModality == "CT;PT"
+
+
+def test_deep_chains_and_cycles(spark):
+    chain = [("n0", "P", "CT", None)] + [(f"n{i}", "P", "PT" if i % 2 else "CT", f"n{i - 1}") for i in range(1, 40)]
+    chain = [(u, p, "SEG" if i else "CT", r) for i, (u, p, _, r) in enumerate(chain)]
+    cycle = [("q", "Q", "MR", "s"), ("r", "Q", "SEG", "q"), ("s", "Q", "SEG", "r")]
+    t = SeriesForest(spark.createDataFrame(chain + cycle, "uid string, pid string, modality string, ref string"))
+    sizes = sorted(len(r.path) for r in t.paths().collect())
+    assert sizes == sorted([*range(1, 41), 1, 2, 3])
+    assert [len(r.members) for r in t.query("*").collect() if r.pid == "P"] == [40]
+
+
+def test_sample_numbers(spark):
+    rows = [(p, i) for i, p in enumerate(["b", "A", "a", "C", "c", "b"])]
+    df = spark.createDataFrame(rows, "pid string, root int").repartition(3)
+    got = {(r.pid, r.root): r.sample_number for r in forest.numbered(df, "pid", "root", 1).collect()}
+    want = {x: f"{n:04d}" for n, x in enumerate(sorted(rows, key=lambda x: (x[0].lower(), x[1])), 1)}
+    assert got == want and forest.numbered(df.limit(0), "pid", "root").count() == 0
+
+
+def test_patients_and_extra_series(spark, tree):
+    assert [(r.pid, [x.uid for x in r.roots]) for r in forest.by_patient(tree.roots()).collect()] == [("P", ["c1", "m1", "p2"])]
+    members = spark.createDataFrame([("s", "MR", 1), ("s", "CT", 2), ("s", "CT", 3), ("s", "SEG", 4), ("t", "PT", 1)], "sample string, modality string, pos int")
+    assert {(r.sample, r.pos) for r in forest.reference_series(members, "sample", "modality", "pos").collect()} == {("s", 2), ("t", 1)}
+    assert [(r.sample, r.pos) for r in forest.extra_reference_series(members, "sample", "modality", "pos").collect()] == [("s", 3)]
+    assert forest.query_text(["CT", "SEG"]) == "CT,SEG" and forest.query_text() == "*"
