@@ -59,3 +59,59 @@ class OverlappingMasksError(EngineError, ValueError):
 
 class IndexSchemaMismatchError(EngineError):
     pass
+
+
+class RTSTRUCTAttributeError(EngineError):
+    pass
+
+
+class ROIContourError(EngineError):
+    pass
+
+
+class SegmentationError(EngineError):
+    """A segmentation that cannot be read."""
+
+
+class SegmentDuplicateError(SegmentationError):
+    pass
+
+
+class SegmentDataMissingError(SegmentationError):
+    pass
+
+
+class SegmentationTypeUnsupportedError(SegmentationError):
+    pass
+
+
+class SegmentReferenceIndicesError(SegmentationError):
+    pass
+
+
+class SegmentationValidationError(SegmentationError):
+    pass
+
+
+class NoSegmentationImagesError(EngineError):
+    pass
+
+
+class MissingROIsError(EngineError):
+    pass
+
+
+class CrawlResultsNotAvailableError(EngineError):
+    pass
+
+
+class ExistingExtractorError(EngineError):
+    pass
+
+
+class WriterIndexError(EngineError):
+    pass
+
+
+class MaskSavingStrategyError(EngineError, ValueError):
+    pass

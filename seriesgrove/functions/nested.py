@@ -15,6 +15,21 @@ def json_path(path: str) -> str:
     return "$." + path
 
 
+def steps(path: str) -> list[tuple[str | None, str | None, int | None]]:
+    """The steps of a header path as (name, tag of eight hex digits, index), one of them set."""
+    out: list[tuple[str | None, str | None, int | None]] = []
+    for m in re.finditer(r"\(([0-9A-Fa-f]{4}),([0-9A-Fa-f]{4})\)|\[(\d+)\]|([^.\[\]()]+)|(\.)|(.)", path):
+        if m[6]:
+            raise ValueError(f"{path!r} is no header path")
+        if m[1]:
+            out.append((None, (m[1] + m[2]).upper(), None))
+        elif m[3]:
+            out.append((None, None, int(m[3])))
+        elif m[4]:
+            out.append((m[4], None, None))
+    return out
+
+
 def lookup(column: str, path: str) -> Column:
     """The text at a dot path of a JSON column; null when missing."""
     return F.get_json_object(column, json_path(path))

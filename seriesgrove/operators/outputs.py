@@ -3,25 +3,34 @@
 from __future__ import annotations
 
 import json
+import time
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import IndexSchemaMismatchError
+from .. import storage
+from ..errors import IndexSchemaMismatchError, WriterIndexError
 
 
 def upsert_index(existing: DataFrame, new: DataFrame, key: str = "filepath", merge_columns: bool = True) -> DataFrame:
     """New rows replace existing ones of the same key; columns are the sorted union, all text, missing ones empty."""
     if not merge_columns and set(existing.columns) != set(new.columns):
         raise IndexSchemaMismatchError(f"{sorted(existing.columns)} against {sorted(new.columns)}")
-    text = lambda d: d.select(*[F.col(c).cast("string").alias(c) for c in d.columns])
+    text = lambda d: d.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in d.columns])
     both = text(existing).join(text(new).select(key), key, "left_anti").unionByName(text(new), allowMissingColumns=True)
-    rest = sorted(c for c in both.columns if c != key)
-    return both.select(key, *rest).na.fill("")
+    return filled(both, key)
+
+
+def filled(rows: DataFrame, key: str) -> DataFrame:
+    """The key, then the other columns by name, missing values empty."""
+    rest = sorted(c for c in rows.columns if c != key)
+    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in (key, *rest)])
 
 
 def simplified(index: DataFrame, columns: list[str]) -> DataFrame:
-    return index.select(*[F.col(c) if c in index.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    """The asked columns, missing ones null, in order of the file path."""
+    out = index.select(*[F.col(c) if c in index.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    return out.orderBy("filepath") if "filepath" in columns else out
 
 
 def duplicate_targets(plan: DataFrame, target: str, source: str) -> DataFrame:
@@ -47,3 +56,58 @@ def dataset_manifest(modalities: list[str], roi_keys: list[str], n_training: int
     channels = {str(i): m for i, m in enumerate(m for m in ("CT", "MR") if m in modalities)}
     labels: dict = {"background": 0} | {k: region_labels(i, len(roi_keys)) if regions else i + 1 for i, k in enumerate(roi_keys)}
     return json.dumps({"channel_names": channels, "labels": labels, "numTraining": n_training, "file_ending": ".nii.gz"})
+
+
+class IndexStore:
+    """An index table that several writers upsert: versions below a folder, one writer at a time.
+
+    A writer creates the lock file, which the file system lets only one do,
+    writes the next version whole, and removes the lock.  Readers take the
+    last whole version, so they never see half of one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, wait: float = 60.0):
+        self.spark, self.path, self.wait = spark, path.rstrip("/"), wait
+
+    def versions(self) -> list[int]:
+        fs = storage.hadoop(self.spark, self.path)
+        root = storage.hadoop_path(self.spark, self.path)
+        if not fs.exists(root):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(root)]
+        whole = [n for n in names if n.startswith("v") and fs.exists(storage.hadoop_path(self.spark, f"{self.path}/{n}/_SUCCESS"))]
+        return sorted(int(n[1:]) for n in whole)
+
+    def read(self) -> DataFrame | None:
+        found = self.versions()
+        return self.spark.read.parquet(f"{self.path}/v{found[-1]:06d}") if found else None
+
+    def upsert(self, new: DataFrame, key: str = "filepath", merge_columns: bool = True) -> DataFrame:
+        """New rows replace those of the same key; returns the new version."""
+        fs, lock = storage.hadoop(self.spark, self.path), storage.hadoop_path(self.spark, f"{self.path}/_lock")
+        until = time.monotonic() + self.wait
+        while True:
+            try:
+                fs.create(lock, False).close()
+                break
+            except Exception as e:
+                if time.monotonic() > until:
+                    raise WriterIndexError(f"{self.path}/_lock is held by another writer") from e
+                time.sleep(0.2)
+        try:
+            found = self.versions()
+            old = self.read()
+            text = new.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in new.columns])
+            rows = upsert_index(old, text, key, merge_columns) if old is not None else filled(text, key)
+            at = (found[-1] if found else 0) + 1
+            rows.write.mode("overwrite").parquet(f"{self.path}/v{at:06d}")
+            for v in found[:-1]:  # the version before stays for those who read it
+                fs.delete(storage.hadoop_path(self.spark, f"{self.path}/v{v:06d}"), True)
+            return self.read()
+        finally:
+            fs.delete(lock, False)
+
+    def to_csv(self, folder: str) -> None:
+        rows = self.read()
+        if rows is not None:
+            rows.write.mode("overwrite").option("header", True).csv(folder)

@@ -1,49 +1,99 @@
 """Dense volumes in rows: packing, resampling, rotation, contours, shape statistics.
 
-A volume row is (series, size, spacing, origin, voxels) with float32 voxels in
-z, y, x order.  One volume is one row, so a task never holds more than a batch
-of ``spark.sql.execution.arrow.maxRecordsPerBatch`` volumes.
+A volume row has size, spacing, origin, direction (row-major) and float32 voxels
+in z, y, x order, and any other columns.  One volume is one row; tasks pass
+volumes on in batches of ``BATCH_BYTES`` at most, or one volume.  A volume that
+a function fails on keeps its row, with ``error`` set.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-VOLUME = "series string, size array<int>, spacing array<double>, origin array<double>, voxels binary"
+VOLUME = "series string, size array<int>, spacing array<double>, origin array<double>, direction array<double>, voxels binary"
+IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
+BATCH_BYTES = 32 << 20
 
 
 def array_of(voxels: bytes, size: list[int]) -> np.ndarray:
     return np.frombuffer(voxels, "<f4").reshape(tuple(size)[::-1])
 
 
+def batched(rows: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Data frames of rows whose ``voxels`` or ``content`` add up to ``BATCH_BYTES`` at most, one row at least."""
+    at = [i for i, n in enumerate(names) if n in ("voxels", "content")]
+    held, size = [], 0
+    for r in rows:
+        mine = sum(len(r[i]) for i in at if isinstance(r[i], bytes))
+        if held and size + mine > BATCH_BYTES:
+            yield pd.DataFrame(held, columns=names)
+            held, size = [], 0
+        held.append(r)
+        size += mine
+    if held:
+        yield pd.DataFrame(held, columns=names)
+
+
 def pack(rows: DataFrame, key: str, values: str, size: tuple[int, int, int], spacing: tuple = (1.0, 1.0, 1.0)) -> DataFrame:
+    """Volume rows of flat arrays."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n = len(b)
-            yield pd.DataFrame(
-                {"series": b[key].astype(str), "size": [list(size)] * n, "spacing": [list(spacing)] * n, "origin": [[0.0] * 3] * n, "voxels": [np.asarray(v, "<f4").tobytes() for v in b[values]]}
-            )
+            made = ((str(k), list(size), list(spacing), [0.0] * 3, list(IDENTITY), np.asarray(v, "<f4").tobytes()) for k, v in zip(b[key], b[values], strict=True))
+            yield from batched(made, ["series", "size", "spacing", "origin", "direction", "voxels"])
 
     return rows.select(key, values).mapInPandas(run, VOLUME)
 
 
-def map_volumes(rows: DataFrame, f: Callable[[np.ndarray, tuple, tuple], tuple[np.ndarray, tuple, tuple]]) -> DataFrame:
-    """Applies f(array, spacing, origin) to every volume: the hook for user transforms."""
+def map_rows(rows: DataFrame, f: Callable[[dict], dict], kind: str = "TransformError") -> DataFrame:
+    """Replaces columns of every volume row without an error by what f(row) gives; what f raises becomes the row's ``error``."""
+    if "error" not in rows.columns:
+        rows = rows.withColumn("error", F.lit(None).cast("string"))
+    names = rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
+        def each(b: pd.DataFrame) -> Iterator[tuple]:
             for r in b.itertuples(index=False):
-                a, spacing, origin = f(array_of(r.voxels, r.size), tuple(r.spacing), tuple(r.origin))
-                out.append((r.series, list(a.shape[::-1]), list(spacing), list(origin), a.astype("<f4").tobytes()))
-            yield pd.DataFrame(out, columns=["series", "size", "spacing", "origin", "voxels"])
+                row = dict(zip(names, r, strict=True))
+                if not isinstance(row["error"], str):
+                    try:
+                        row = row | f(row)
+                    except Exception as e:  # noqa: BLE001  a bad volume is data here
+                        row["error"] = f"{kind}: {type(e).__name__}: {e}"
+                yield tuple(row[n] for n in names)
+
+        for b in batches:
+            yield from batched(each(b), names)
+
+    return rows.mapInPandas(run, T.StructType(rows.schema.fields))
+
+
+def map_volumes(rows: DataFrame, f: Callable[[np.ndarray, tuple, tuple], tuple[np.ndarray, tuple, tuple]]) -> DataFrame:
+    """Applies f(array, spacing, origin) to every volume: the hook for user transforms."""
+
+    def one(r: dict) -> dict:
+        a, spacing, origin = f(array_of(r["voxels"], r["size"]), tuple(r["spacing"]), tuple(r["origin"]))
+        return {"size": list(a.shape[::-1]), "spacing": [float(x) for x in spacing], "origin": [float(x) for x in origin], "voxels": a.astype("<f4").tobytes()}
 
-    return rows.mapInPandas(run, VOLUME)
+    return map_rows(rows, one)
+
+
+def map_images(rows: DataFrame, f: Callable[..., np.ndarray], *, keep_geometry: bool = True, **options: object) -> DataFrame:
+    """Applies any callable(array, **options) that gives an array; unless ``keep_geometry`` the grid becomes the unit grid."""
+
+    def call(a: np.ndarray, spacing: tuple, origin: tuple) -> tuple[np.ndarray, tuple, tuple]:
+        out = np.asarray(f(a, **options))
+        if keep_geometry and out.shape != a.shape:
+            raise ValueError("the result has another size, so the geometry can't be kept")
+        return (out, spacing, origin) if keep_geometry else (out, (1.0,) * 3, (0.0,) * 3)
+
+    return map_volumes(rows, call)
 
 
 def _kernel(sigma: float) -> np.ndarray:
@@ -138,7 +188,7 @@ def rotate(rows: DataFrame, centre: tuple[float, float, float], angles: tuple[fl
 
 
 def summarise(rows: DataFrame) -> DataFrame:
-    """series, nx, ny, nz, v_min, v_max, v_mean."""
+    """series, nx, ny, nz, v_min, v_max, v_mean of the volumes without an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -147,21 +197,160 @@ def summarise(rows: DataFrame) -> DataFrame:
             stat = lambda f: [round(float(f(x, dtype=np.float64) if f is np.mean else f(x)), 4) for x in a]  # noqa: B023, E731
             yield pd.DataFrame({"series": b["series"], "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2], "v_min": stat(np.min), "v_max": stat(np.max), "v_mean": stat(np.mean)})
 
-    return rows.mapInPandas(run, "series string, nx int, ny int, nz int, v_min double, v_max double, v_mean double")
+    whole = rows.where("error is null") if "error" in rows.columns else rows
+    return whole.select("series", "size", "voxels").mapInPandas(run, "series string, nx int, ny int, nz int, v_min double, v_max double, v_mean double")
+
+
+def fingerprint(rows: DataFrame) -> DataFrame:
+    """Per volume: hash, size, n_voxels, spacing, origin, direction, dtype and min, max, sum, mean, std, variance (sample) of the values; dense, without a row per voxel."""
+    kept = [c for c in ("sample_number", "series", "sub_series", "modality", "image_id") if c in rows.columns]
+    stats = "v_min double, v_max double, v_sum double, v_mean double, v_std double, v_var double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b[[*kept, "size", "spacing", "origin", "direction", "hash", "n_voxels", "dtype"]].copy()
+            a = [np.frombuffer(v, "<f4").astype(np.float64) for v in b["voxels"]]
+            some = lambda f, least=1: [float(f(x)) if len(x) >= least else None for x in a]  # noqa: B023, E731
+            out["v_min"], out["v_max"], out["v_sum"], out["v_mean"] = some(np.min), some(np.max), some(np.sum), some(np.mean)
+            out["v_std"], out["v_var"] = some(lambda x: np.std(x, ddof=1), 2), some(lambda x: np.var(x, ddof=1), 2)
+            yield out
+
+    whole = rows.where("error is null") if "error" in rows.columns else rows
+    n = F.aggregate("size", F.lit(1).cast("long"), lambda acc, x: acc * x)
+    whole = whole.select(*kept, "size", "spacing", "origin", "direction", F.sha1("voxels").alias("hash"), n.alias("n_voxels"), F.lit("float32").alias("dtype"), "voxels")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.drop("voxels").schema)
+    return whole.mapInPandas(run, f"{kinds}, {stats}")
+
+
+# --- geometry -------------------------------------------------------------------
+
+
+def geometry(rows: DataFrame) -> Column:
+    """size, origin, spacing and direction of a volume row as one struct."""
+    return F.struct("size", "origin", "spacing", "direction")
+
+
+def to_index(points: np.ndarray, origin: list[float], spacing: list[float], direction: list[float], continuous: bool = False) -> np.ndarray:
+    """Index points (x, y, z) of physical points, rounded half up unless ``continuous``."""
+    at = np.linalg.solve(np.array(direction, float).reshape(3, 3), (points - np.array(origin, float)).T).T / np.array(spacing, float)
+    return at if continuous else np.floor(at + 0.5)
+
+
+def to_physical(index: np.ndarray, origin: list[float], spacing: list[float], direction: list[float]) -> np.ndarray:
+    return np.asarray(index, float) * np.array(spacing, float) @ np.array(direction, float).reshape(3, 3).T + np.array(origin, float)
+
+
+def crop_box(rows: DataFrame, low: str = "box_min", high: str = "box_max") -> DataFrame:
+    """Crops every volume to the box in its columns (x, y, z arrays, maximum exclusive); the origin moves to the box's minimum.
+
+    A box that leaves the image is an error in the row.
+    """
+
+    def one(r: dict) -> dict:
+        a, lo, hi = array_of(r["voxels"], r["size"]), [int(v) for v in r[low]], [int(v) for v in r[high]]
+        if any(not 0 <= i < j <= n for i, j, n in zip(lo, hi, r["size"], strict=True)):
+            raise ValueError(f"box {lo} to {hi} leaves the image of size {list(r['size'])}")
+        out = a[lo[2] : hi[2], lo[1] : hi[1], lo[0] : hi[0]]
+        return {"size": list(out.shape[::-1]), "origin": to_physical(np.array(lo), r["origin"], r["spacing"], r["direction"]).tolist(), "voxels": np.ascontiguousarray(out).tobytes()}
+
+    return map_rows(rows, one, "CropError")
+
+
+def like(rows: DataFrame, how: str = "linear", outside: float = 0.0, ref: str = "ref") -> DataFrame:
+    """Resamples every volume to the grid in its struct column ``ref`` (as ``geometry`` makes it); null leaves it as it is."""
+
+    def one(r: dict) -> dict:
+        g = r[ref]
+        if g is None:
+            return {}
+        g = g if isinstance(g, dict) else g.asDict() if hasattr(g, "asDict") else dict(zip(("size", "origin", "spacing", "direction"), g, strict=True))
+        points = to_physical(grid(tuple(g["size"])), g["origin"], g["spacing"], g["direction"])
+        at = to_index(points, r["origin"], r["spacing"], r["direction"], continuous=True)
+        mode = "nearest" if r.get("kind") == "mask" else how
+        a = sample(array_of(r["voxels"], r["size"]), at, mode, outside).reshape(tuple(g["size"])[::-1])
+        return {k: list(g[k]) for k in ("size", "origin", "spacing", "direction")} | {"voxels": a.astype("<f4").tobytes()}
+
+    return map_rows(rows, one)
+
+
+def bias_correct(rows: DataFrame, levels: int = 3, rounds: int = 20, bins: int = 64) -> DataFrame:
+    """Removes a smooth multiplicative field from MR volumes; others, and volumes without positive values, stay as they are.
+
+    In the manner of N4: the log-intensity histogram is sharpened by
+    deconvolution, and the difference to the sharpened values is smoothed by a
+    wide Gaussian, wide first and narrower by level, and taken off.
+    """
+
+    def one(r: dict) -> dict:
+        if "modality" in r and r["modality"] != "MR":
+            return {}
+        a = array_of(r["voxels"], r["size"]).astype(np.float64)
+        inside = a > 0
+        if not inside.any():
+            return {}
+        return {"voxels": np.where(inside, a / np.exp(bias_field(np.log(np.where(inside, a, 1)), inside, levels, rounds, bins)), a).astype("<f4").tobytes()}
+
+    return map_rows(rows, one)
+
+
+def bias_field(log: np.ndarray, inside: np.ndarray, levels: int, rounds: int, bins: int) -> np.ndarray:
+    """The smooth part of log intensities, with mean 0 inside."""
+    field = np.zeros_like(log)
+    for level in range(levels):
+        sigma = tuple(max(n / 4 / 2**level, 1.0) if n > 1 else 0.0 for n in log.shape[::-1])
+        weight = np.maximum(smooth(inside.astype(float), sigma), 1e-6)
+        for _ in range(rounds):
+            rest = smooth(np.where(inside, log - field - sharpened(log - field, inside, bins), 0.0), sigma) / weight
+            field += rest
+            if np.abs(rest[inside]).mean() < 1e-3:
+                break
+        field -= field[inside].mean()
+    return field
+
+
+def sharpened(v: np.ndarray, inside: np.ndarray, bins: int, width: float = 0.15, noise: float = 0.01) -> np.ndarray:
+    """The expected value of each voxel before a blur of the histogram by a Gaussian of full width ``width``."""
+    low, high = v[inside].min(), v[inside].max()
+    if high - low < 1e-9:
+        return v
+    step = (high - low) / (bins - 1)
+    n = 2 * bins
+    count = np.histogram((v[inside] - low) / step, bins=bins, range=(-0.5, bins - 0.5))[0].astype(float)
+    at = np.minimum(np.arange(n), n - np.arange(n)) * step
+    blur = np.exp(-4 * np.log(2) * (at / width) ** 2)
+    f = np.fft.fft(blur / blur.sum())
+    sharp = np.fft.ifft(np.fft.fft(np.pad(count, (0, n - bins))) * np.conj(f) / (np.abs(f) ** 2 + noise)).real.clip(0)
+    centre = low + np.arange(n) * step
+    centre[bins + bins // 2 :] -= n * step  # positions below the least bin
+    up = np.fft.ifft(np.fft.fft(sharp * centre) * f).real
+    down = np.fft.ifft(np.fft.fft(sharp) * f).real
+    expected = np.where(down > 1e-9 * max(down.max(), 1e-300), up / np.where(down == 0, 1, down), centre)[:bins]
+    return np.interp(v, low + np.arange(bins) * step, expected)
 
 
 # --- contours -------------------------------------------------------------------
 
 
 def fill_polygon(xy: np.ndarray, nx: int, ny: int) -> np.ndarray:
-    """Even-odd fill of voxel centres; (ny, nx)."""
-    x, y = np.meshgrid(np.arange(nx), np.arange(ny))
-    inside = np.zeros((ny, nx), bool)
+    """Even-odd fill of voxel centres, those on the outline included; (ny, nx).
+
+    Each edge marks, on the rows it crosses, the columns left of it; parities
+    are summed once from the right.
+    """
+    cross, edge = np.zeros((ny, nx + 1), np.int64), np.zeros((ny, nx), bool)
     for (x0, y0), (x1, y1) in zip(xy, np.roll(xy, -1, axis=0), strict=True):
-        if y0 != y1:
-            cross = (y0 > y) != (y1 > y)
-            inside ^= cross & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
-    return inside
+        low, high = min(y0, y1), max(y0, y1)
+        if low == high:
+            if low == np.rint(low) and 0 <= low < ny:
+                edge[int(low), max(int(np.ceil(min(x0, x1))), 0) : max(int(np.floor(max(x0, x1))) + 1, 0)] = True
+            continue
+        y = np.arange(max(int(np.ceil(low)), 0), min(int(np.floor(high)) + 1, ny))
+        x = (x1 - x0) * (y - y0) / (y1 - y0) + x0
+        open_ = y < high
+        np.add.at(cross, (y[open_], np.clip(np.ceil(x[open_]), 0, nx).astype(int)), 1)
+        on = (np.abs(x - np.rint(x)) < 1e-9) & (np.rint(x) >= 0) & (np.rint(x) < nx)
+        edge[y[on], np.rint(x[on]).astype(int)] = True
+    return (cross[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:] % 2 == 1) | edge
 
 
 def contour_mask(contours: list, size: tuple[int, int, int], tolerance: float = 1e-3) -> np.ndarray:
@@ -218,6 +407,35 @@ def label_components(mask: np.ndarray) -> int:
         lab = new
 
 
+def farthest(points: np.ndarray) -> float:
+    """The greatest squared distance of two points, exactly.
+
+    A point can be an end of it only if it is the last of its line along every
+    axis; the rest are dropped, what is left is ordered by distance from the
+    centre, and pairs that can't reach the best distance so far are not tried.
+    """
+    p = points
+    for axis in range(3):
+        if len(p) < 3:
+            break
+        other = [i for i in range(3) if i != axis]
+        order = np.lexsort((p[:, axis], p[:, other[1]], p[:, other[0]]))
+        p = p[order]
+        new = np.append(True, (np.diff(p[:, other], axis=0) != 0).any(axis=1))
+        p = p[new | np.append(new[1:], True)]
+    if len(p) < 2:
+        return 0.0
+    r = np.sqrt(((p - p.mean(axis=0)) ** 2).sum(axis=1))
+    order = np.argsort(-r, kind="stable")
+    p, r, best = p[order], r[order], 0.0
+    for i in range(len(p)):
+        if (r[i] + r[0]) ** 2 < best:
+            break
+        n = np.searchsorted(-r, r[i] - np.sqrt(best), side="right")  # those with r >= sqrt(best) - r[i]
+        best = max(best, float(((p[i] - p[: max(n, 1)]) ** 2).sum(axis=1).max()))
+    return best
+
+
 def shape_statistics(mask: DataFrame, size: tuple[int, int, int], spacing: tuple = (1.0, 1.0, 1.0)) -> DataFrame:
     """Per (series, channel): components, Feret diameter, elongation, flatness, ellipsoid diameters.
 
@@ -239,7 +457,7 @@ def shape_statistics(mask: DataFrame, size: tuple[int, int, int], spacing: tuple
                 other[tuple(edge)] = False
                 inner &= other
         shell = p[~inner[at[:, 2], at[:, 1], at[:, 0]]]
-        far = max((float(((shell[i] - shell) ** 2).sum(axis=1).max()) for i in range(len(shell))), default=0.0)
+        far = farthest(shell)
         e = np.sort(np.linalg.eigvalsh(np.cov(p.T, bias=True) if len(p) > 1 else np.zeros((3, 3))).clip(0))
         ratio = lambda a, b: float(np.sqrt(a / b)) if b > 1e-12 else 0.0
         volume = len(at) * float(np.prod(spacing))

@@ -14,14 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..errors import InvalidDicomError
-from .dicom_tags import NAMES, TAGS, keys_of
+from .dicom_tags import BASE, BY_MODALITY, COMPUTED, NAMES, TAGS
 from .files import find_dicoms
 
 LONG = frozenset(("OB", "OW", "OF", "OD", "OL", "SQ", "UC", "UN", "UR", "UT"))
 UNDEFINED = 0xFFFFFFFF
+STOPPED = -1  # where the walk ends when it meets the pixels
 ITEM, ITEM_END, SEQUENCE_END = 0xFFFEE000, 0xFFFEE00D, 0xFFFEE0DD
 PIXELS = TAGS["PixelData"][0]
+HEAD = 1 << 17  # bytes of a file that are read for its header at first
 NUMBERS = {"US": "<H", "SS": "<h", "UL": "<I", "SL": "<i", "FL": "<f", "FD": "<d"}
 
 
@@ -44,7 +47,7 @@ def _walk(data: bytes, at: int, end: int, explicit: bool, pixels: bool) -> tuple
         if tag in (ITEM_END, SEQUENCE_END):
             return out, at + 8
         if tag == PIXELS and not pixels:
-            return out, end
+            return out, STOPPED
         if explicit and group != 0xFFFE:
             vr = data[at + 4 : at + 6].decode("ascii", "replace")
             if vr in LONG:
@@ -55,6 +58,9 @@ def _walk(data: bytes, at: int, end: int, explicit: bool, pixels: bool) -> tuple
             vr = TAGS[NAMES[tag]][1] if tag in NAMES else "UN"
             length, at = struct.unpack_from("<I", data, at + 4)[0], at + 8
         name = NAMES.get(tag, f"{tag:08X}")
+        if tag == PIXELS and length == UNDEFINED:  # encapsulated frames, which are not decoded
+            out[name] = None
+            return out, end
         if vr == "SQ" or length == UNDEFINED:
             out[name], at = _sequence(data, at, end if length == UNDEFINED else at + length, explicit, length == UNDEFINED)
             continue
@@ -80,8 +86,12 @@ def _sequence(data: bytes, at: int, end: int, explicit: bool, open_: bool) -> tu
     return items, at if open_ else end
 
 
-def parse(data: bytes, pixels: bool = False) -> dict:
-    """Keyword to value: text, list of texts, number, or list of items."""
+def parse(data: bytes, pixels: bool = False, complete: bool = True) -> dict | None:
+    """Keyword to value: text, list of texts, number, or list of items.
+
+    Without ``complete`` the data is the start of a file: None if the header may
+    go on beyond it.
+    """
     if not isinstance(data, bytes | bytearray | memoryview):
         raise InvalidDicomError(f"cannot read {type(data).__name__}")
     data = bytes(data)
@@ -98,7 +108,9 @@ def parse(data: bytes, pixels: bool = False) -> dict:
         explicit = meta.get("TransferSyntaxUID", "") != "1.2.840.10008.1.2"
     elif data[4:6].isalpha() is False:
         explicit = False
-    body, _ = _walk(data, at, len(data), explicit, pixels)
+    body, stop = _walk(data, at, len(data), explicit, pixels)
+    if not complete and stop != STOPPED:
+        return None
     if not body:
         raise InvalidDicomError("no data elements")
     return meta | body
@@ -159,18 +171,75 @@ def references(h: dict) -> tuple[str, list[str], list[str]]:
         return _first(h.get("ReferencedImageSequence")).get("ReferencedSOPInstanceUID", ""), sops, []
     if kind == "RTPLAN":
         return "", [x.get("ReferencedSOPInstanceUID", "") for x in h.get("ReferencedStructureSetSequence") or []], []
+    if kind == "SR":
+        series = [s for e in h.get("CurrentRequestedProcedureEvidenceSequence") or [] for s in e.get("ReferencedSeriesSequence") or []]
+        uids = sorted({s["SeriesInstanceUID"] for s in series if s.get("SeriesInstanceUID")})
+        return ";".join(uids), sorted({x.get("ReferencedSOPInstanceUID", "") for s in series for x in s.get("ReferencedSOPSequence") or []}), []
     return "", [], []
 
 
+def dose_references(h: dict) -> tuple[str, str, str]:
+    """The first referenced plan, structure set and series of a dose, empty if there is none."""
+    of = lambda k: text(_first(h.get(k)).get("ReferencedSOPInstanceUID"))
+    return of("ReferencedRTPlanSequence"), of("ReferencedStructureSetSequence"), of("ReferencedImageSequence")
+
+
+def plan_reference(h: dict) -> str:
+    """The first structure set that a plan refers to."""
+    return text(_first(h.get("ReferencedStructureSetSequence")).get("ReferencedSOPInstanceUID"))
+
+
+def _shared(h: dict, sequence: str) -> dict:
+    return _first(_first(h.get("SharedFunctionalGroupsSequence")).get(sequence))
+
+
+def segment_spacing(h: dict) -> list[float] | str:
+    m = _shared(h, "PixelMeasuresSequence")
+    gap = m.get("SpacingBetweenSlices") or m.get("SliceThickness")
+    return [*map(float, m["PixelSpacing"][:2]), float(gap)] if isinstance(m.get("PixelSpacing"), list) and gap else ""
+
+
+def segment_direction(h: dict) -> list[float] | str:
+    d = _shared(h, "PlaneOrientationSequence").get("ImageOrientationPatient")
+    return [float(x) for x in d] if isinstance(d, list) else ""
+
+
+COMPUTED |= {
+    "SEG": {
+        "SegSpacing": segment_spacing, "SegDirection": segment_direction, "ROINames": lambda h: references(h)[2],
+        "ROIDescriptions": lambda h: [x.get("SegmentDescription", "") for x in h.get("SegmentSequence") or []],
+        "ReferencedSeriesUID": lambda h: references(h)[0], "ReferencedSOPUIDs": lambda h: references(h)[1],
+    },
+    "RTSTRUCT": {
+        "ReferencedSeriesUID": lambda h: references(h)[0], "ReferencedSOPUIDs": lambda h: references(h)[1], "ROINames": lambda h: references(h)[2], "NumROIs": lambda h: len(references(h)[2]),
+    },
+    "RTDOSE": {"ReferencedSeriesUID": lambda h: dose_references(h)[2], "ReferencedSeriesSOPUIDs": lambda h: [x for x in dose_references(h)[:2] if x]},
+    "RTPLAN": {"ReferencedSOPUIDs": lambda h: [x for x in [plan_reference(h)] if x]},
+    "SR": {"ReferencedSeriesUID": lambda h: [x for x in references(h)[0].split(";") if x], "ReferencedSOPUIDs": lambda h: references(h)[1]},
+}
+
+
 def text(v: object) -> str:
     return "" if v is None else f"[{', '.join(map(str, v))}]" if isinstance(v, list) else str(v)
 
 
 def project(h: dict, extra: tuple[str, ...] = ()) -> dict[str, str]:
-    """The modality's header fields as text, missing ones empty, in sorted order."""
+    """The modality's header and computed fields as text, missing ones and those that can't be computed empty, in sorted order."""
     if "Modality" not in h:
         raise ValueError("the header has no Modality")
-    return {k: text(h.get(k)) for k in sorted({*keys_of(text(h["Modality"])), *extra})}
+    kind = text(h["Modality"]).upper()
+    out = {k: text(h.get(k)) for k in {*BASE, *BY_MODALITY.get(kind, ()), *extra}}
+    for k, f in COMPUTED.get(kind, {}).items():
+        try:
+            out[k] = text(f(h))
+        except Exception:  # noqa: BLE001  a field that can't be computed is empty
+            out[k] = ""
+    return dict(sorted(out.items()))
+
+
+def name_of(tag: str) -> str:
+    """The name a parsed header has for a tag of eight hex digits."""
+    return NAMES.get(int(tag, 16), tag.upper())
 
 
 COLUMNS = ("PatientID", "StudyInstanceUID", "SeriesInstanceUID", "SOPInstanceUID", "Modality", "AcquisitionNumber", "FrameOfReferenceUID")
@@ -179,22 +248,43 @@ ROWS = (
 )
 
 
-def parse_rows(files: DataFrame) -> DataFrame:
-    """Instance rows of (path, content); unreadable files keep their path and an error."""
+def parse_rows(files: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Instance rows of (path, content), or of (path) alone, whose heads are then read; unreadable files keep their path and an error.
+
+    ``extra`` names header fields besides the modality's.
+    """
+    held = "content" in files.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for path, content in zip(b["path"], b["content"], strict=True):
+            for path, content in zip(b["path"], b["content"] if held else [None] * len(b), strict=True):
                 try:
-                    h = parse(content)
+                    h = parse(content) if held else read_header(path)
                     ref, sops, rois = references(h)
-                    out.append((path, *(text(h.get(c)) for c in COLUMNS), ref, sops, rois, project(h), None))
+                    out.append((path, *(text(h.get(c)) for c in COLUMNS), ref, sops, rois, project(h, ("SOPInstanceUID", *extra)), None))
                 except Exception as e:  # noqa: BLE001  a bad file is data here
                     out.append((path, *[None] * len(COLUMNS), None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", *COLUMNS, "ReferencedSeriesUID", "ReferencedSOPUIDs", "ROINames", "hdr", "error"])
 
-    return files.select("path", "content").mapInPandas(run, ROWS)
+    return files.select("path", *(["content"] if held else [])).mapInPandas(run, ROWS)
+
+
+def read_header(path: str, head: int = HEAD) -> dict:
+    """The header of a file, read from its first ``head`` bytes, and from more only if it doesn't end there."""
+    data = storage.read_bytes(path, head)
+    while True:
+        whole = len(data) < head
+        try:
+            found = parse(data, complete=whole)
+        except InvalidDicomError:
+            if whole:
+                raise
+            found = None
+        if found is not None:
+            return found
+        head *= 8
+        data = storage.read_bytes(path, head)
 
 
 def encode_rows(rows: DataFrame, header: Callable[[Row], dict]) -> DataFrame:
@@ -217,6 +307,6 @@ def read_tags(instances: DataFrame, tags: list[str], truncate: int = 5, default:
     return instances.select("path", *[(truncate_uid(pick(t), truncate) if t.endswith("UID") else pick(t)).alias(t) for t in tags])
 
 
-def crawl(spark: SparkSession, directory: str) -> DataFrame:
-    """Instance rows of all DICOM files below a directory."""
-    return parse_rows(find_dicoms(spark, directory))
+def crawl(spark: SparkSession, directory: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Instance rows of all DICOM files below a directory; of the files only their heads are read."""
+    return parse_rows(find_dicoms(spark, directory).select("path"), extra)

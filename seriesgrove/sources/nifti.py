@@ -33,15 +33,21 @@ def encode(voxels: np.ndarray, spacing: tuple = (1, 1, 1), origin: tuple = (0, 0
     return gzip.compress(bytes(h) + np.ascontiguousarray(voxels).astype(voxels.dtype.newbyteorder("<")).tobytes(), level, mtime=0)
 
 
-def decode(data: bytes) -> tuple[np.ndarray, tuple, tuple]:
-    """(z, y, x) array, spacing, origin."""
+def decode_image(data: bytes) -> tuple[np.ndarray, tuple, tuple, tuple]:
+    """(z, y, x) array, spacing, origin, direction (row-major)."""
     raw = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     nx, ny, nz = struct.unpack_from("<3h", raw, 42)
     name = {v: k for k, v in CODES.items()}[struct.unpack_from("<h", raw, 70)[0]]
     at = int(struct.unpack_from("<f", raw, 108)[0])
     affine = np.array(struct.unpack_from("<12f", raw, 280)).reshape(3, 4) * np.array([[-1], [-1], [1]])
+    spacing = struct.unpack_from("<3f", raw, 80)
     voxels = np.frombuffer(raw, np.dtype(name).newbyteorder("<"), nx * ny * nz, at).reshape(nz, ny, nx)
-    return voxels, struct.unpack_from("<3f", raw, 80), tuple(affine[:, 3])
+    return voxels, spacing, tuple(affine[:, 3]), tuple((affine[:, :3] / np.array(spacing)).ravel())
+
+
+def decode(data: bytes) -> tuple[np.ndarray, tuple, tuple]:
+    """(z, y, x) array, spacing, origin."""
+    return decode_image(data)[:3]
 
 
 def encode_rows(rows: DataFrame, values: str, shape: tuple[int, int, int], dtype: str = "float32") -> DataFrame:
@@ -66,35 +72,29 @@ def roundtrip(rows: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return found.withColumn("total", F.round("total", 4))
 
 
-def write(rows: DataFrame, root: str, existing: str = "fail") -> DataFrame:
-    """Writes (target, content) below ``root``; returns the index rows (filepath, status).
+#: What an image's own statistics are called; they never come from supplied metadata.
+FINGERPRINT = ("hash", "size", "n_voxels", "spacing", "origin", "direction", "dtype", "v_min", "v_max", "v_sum", "v_mean", "v_std", "v_var")
 
-    existing: fail, skip or overwrite.  A file appears under its name only when
-    complete, so a task may be repeated.
-    """
-    import os
-
-    if existing not in ("fail", "skip", "overwrite"):
-        raise ValueError(f"unknown mode {existing!r}")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+def read_images(files: DataFrame, metadata: str | None = None, mask: bool = False) -> DataFrame:
+    """Volume rows of saved images in (path), with what else ``files`` has; supplied metadata loses fingerprint keys, and ``mask.`` keys for masks.
 
-        attempt = TaskContext.get().taskAttemptId()
-        for b in batches:
-            out = []
-            for target, content in zip(b["target"], b["content"], strict=True):
-                path = os.path.join(root, target)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                if os.path.exists(path) and existing != "overwrite":
-                    if existing == "fail":
-                        raise FileExistsError(path)
-                    out.append((target, "skipped"))
-                    continue
-                with open(f"{path}.{attempt}.part", "wb") as f:
-                    f.write(content)
-                os.replace(f"{path}.{attempt}.part", path)
-                out.append((target, "written"))
-            yield pd.DataFrame(out, columns=["filepath", "status"])
-
-    return rows.select("target", "content").mapInPandas(run, "filepath string, status string")
+    A file that can't be read is a row with an error; a mask that isn't stored
+    as unsigned bytes has a warning.
+    """
+    from .. import storage
+    from ..operators import volumes
+
+    grid = {"size": "array<int>", "spacing": "array<double>", "origin": "array<double>", "direction": "array<double>", "voxels": "binary", "dtype": "string", "warning": "string"}
+    rows = files.select("*", *[F.lit(None).cast(k).alias(c) for c, k in grid.items()])
+
+    def one(r: dict) -> dict:
+        a, spacing, origin, direction = decode_image(storage.read_bytes(r["path"]))
+        warning = f"a mask stored as {a.dtype}" if mask and a.dtype != np.uint8 else None
+        return {"size": list(a.shape[::-1]), "spacing": list(map(float, spacing)), "origin": list(map(float, origin)), "direction": list(map(float, direction)),
+                "voxels": a.astype("<f4").tobytes(), "dtype": str(a.dtype), "warning": warning}
+
+    out = volumes.map_rows(rows, one, "LoadError")
+    if metadata:
+        out = out.withColumn(metadata, F.map_filter(metadata, lambda k, v: ~(k.isin(*FINGERPRINT) | (F.startswith(k, F.lit("mask.")) if mask else F.lit(False)))))
+    return out

@@ -57,6 +57,12 @@ def hadoop(spark: SparkSession, path: str) -> Any:  # noqa: ANN401
     return hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system's scheme, so that tasks open what the driver means."""
+    at = hadoop_path(spark, path)
+    return str(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()).rstrip("/")  # noqa: SLF001
+
+
 # --- files in tasks -------------------------------------------------------------
 
 
