@@ -90,3 +90,60 @@ def index_to_point(index: Column, origin: Column, spacing: Column) -> Column:
 def resampled_size(size: Column, old: Column, new: Column) -> Column:
     """Size at a new spacing; 0 keeps the axis; half rounds to even."""
     return each(lambda n, a, b: F.when(b == 0, n).otherwise(F.rint(n * a / F.nullif(b, F.lit(0.0))).cast("long")), size, old, new)
+
+
+# --- vectors, boundaries and directed grids -----------------------------------------
+
+
+def vec3(x: float | Column, y: float | Column, z: float | Column) -> Column:
+    """A vector of three doubles."""
+    return vec(*[(F.lit(v) if isinstance(v, int | float) else v).cast("double") for v in (x, y, z)])
+
+
+def parse_vec3(text: Column) -> Column:
+    """``a,b,c`` as a vector of three doubles, null unless it is three numbers."""
+    parts = F.transform(F.split(text, ","), lambda p: p.try_cast("double"))
+    return F.when((F.size(parts) == 3) & F.forall(parts, lambda p: p.isNotNull()), vec(*[F.get(parts, F.lit(k)) for k in range(3)]))
+
+
+def boundaries(size: Column, origin: Column | None = None) -> Column:
+    """The box of a whole image from index 0, or from its origin in world coordinates (sizes stay voxel counts)."""
+    low = origin if origin is not None else each(lambda n: F.lit(0).cast("int"), size)
+    return box(low, each(lambda a, n: a + n, low, size))
+
+
+def centroid_box(centroid: Column, desired: int | None = None) -> Column:
+    """A cube about a centroid's index (x, y, z)."""
+    return expand_to_cube(box(centroid, centroid), desired)
+
+
+def _inverse(direction: Column) -> list[list[Column]]:
+    """The rows of a 3 x 3 matrix's inverse, by cofactors."""
+    m = [[F.get(direction, F.lit(3 * i + j)) for j in range(3)] for i in range(3)]
+    minor = lambda i, j: m[(i + 1) % 3][(j + 1) % 3] * m[(i + 2) % 3][(j + 2) % 3] - m[(i + 1) % 3][(j + 2) % 3] * m[(i + 2) % 3][(j + 1) % 3]
+    det = sum((m[0][j] * minor(0, j) for j in range(1, 3)), m[0][0] * minor(0, 0))
+    return [[minor(j, i) / det for j in range(3)] for i in range(3)]
+
+
+def directed_index(point: Column, origin: Column, spacing: Column, direction: Column, continuous: bool = False) -> Column:
+    """Index (z, y, x) of a physical point on a grid with a direction; rounded half up unless ``continuous``."""
+    off = [point[a] - origin[a] for a in AXES]
+    at = [(row[0] * off[0] + row[1] * off[1] + row[2] * off[2]) / spacing[a] for row, a in zip(_inverse(direction), AXES, strict=True)]
+    at = at if continuous else [F.floor(i + 0.5).cast("long") for i in at]
+    return F.struct(at[2].alias("z"), at[1].alias("y"), at[0].alias("x"))
+
+
+def directed_point(index: Column, origin: Column, spacing: Column, direction: Column) -> Column:
+    """The physical point (x, y, z) of an index on a grid with a direction."""
+    step = [index[a] * spacing[a] for a in AXES]
+    return vec(*[origin[a] + sum((F.get(direction, F.lit(3 * i + j)) * step[j] for j in range(1, 3)), F.get(direction, F.lit(3 * i)) * step[0]) for i, a in enumerate(AXES)])
+
+
+def cropped_origin(box_: Column, origin: Column, spacing: Column, direction: Column) -> Column:
+    """Where the origin moves when an image is cropped to a box."""
+    return directed_point(box_["min"], origin, spacing, direction)
+
+
+def is_ordered(b: Column) -> Column:
+    """Whether a box's minimum doesn't exceed its maximum, axis after axis (lexicographically)."""
+    return F.struct(*[b["min"][a] for a in AXES]) <= F.struct(*[b["max"][a] for a in AXES])

@@ -82,6 +82,12 @@ def natural_sort_key(value: Column) -> Column:
     return F.transform(runs, lambda t: F.when(t.rlike(r"^\d+$"), F.lpad(t, 20, "0")).otherwise(F.lower(t)))
 
 
+def captured(value: Column, *patterns: tuple[str, int]) -> Column:
+    """The first of several (pattern, group) captures that isn't empty; the last may be."""
+    found = [F.regexp_extract(value, p, g) for p, g in patterns]
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in found[:-1]], found[-1])
+
+
 def full_match(value: Column, pattern: Column | str, ignore_case: bool = True) -> Column:
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     return F.rlike(value, F.concat(F.lit("(?i)" if ignore_case else ""), F.lit(r"\A(?:"), p, F.lit(r")\z")))

@@ -28,6 +28,11 @@ def group_series(instances: DataFrame) -> DataFrame:
     return grouped.select("SeriesInstanceUID", "SubSeries", "m.*", "instances")
 
 
+def instance_counts(instances: DataFrame) -> DataFrame:
+    """Distinct SOPs per series, over its subseries."""
+    return instances.groupBy("SeriesInstanceUID").agg(F.count_distinct("SOPInstanceUID").alias("n_instances"))
+
+
 def frame_map(series: DataFrame) -> DataFrame:
     return series.groupBy("FrameOfReferenceUID").agg(F.count_distinct("SeriesInstanceUID").alias("n_series"), F.min("SeriesInstanceUID").alias("first_series"))
 

@@ -52,6 +52,27 @@ def region_labels(index: int, n: int) -> list[int]:
     return [v for v in range(1, 2**n) if v >> index & 1]
 
 
+def label_rows(names: DataFrame, name: str) -> DataFrame:
+    """(name, label): distinct names in order, labelled from 1; region names are a few."""
+    listed = names.agg(F.array_sort(F.collect_set(name)).alias("n"))
+    return listed.select(F.posexplode("n").alias("i", name)).select(name, (F.col("i") + 1).cast("long").alias("label"))
+
+
+def region_label_rows(names: DataFrame, name: str) -> DataFrame:
+    """(name, labels): the values of a region mask in which each name takes part."""
+    listed = names.agg(F.array_sort(F.collect_set(name)).alias("n"))
+    rows = listed.select(F.size("n").alias("k"), F.posexplode("n").alias("i", name))
+    values = F.filter(F.sequence(F.lit(1), F.expr("shiftleft(1, k) - 1")), lambda v: F.expr("1").bitwiseAND(F.call_function("shiftright", v, F.col("i"))) == 1)
+    return rows.select(name, F.array_join(F.transform(values, lambda v: v.cast("string")), ",").alias("labels"))
+
+
+def channel_rows(modalities: DataFrame, modality: str) -> DataFrame:
+    """(channel, modality): CT, then MR, of those that occur, numbered from 0."""
+    held = modalities.agg(F.collect_set(modality).alias("m"))
+    wanted = F.filter(F.array(F.lit("CT"), F.lit("MR")), lambda x: F.array_contains("m", x))
+    return held.select(F.posexplode(wanted).alias("channel", modality)).select(F.col("channel").cast("long").alias("channel"), modality)
+
+
 def dataset_manifest(modalities: list[str], roi_keys: list[str], n_training: int, regions: bool = False) -> str:
     channels = {str(i): m for i, m in enumerate(m for m in ("CT", "MR") if m in modalities)}
     labels: dict = {"background": 0} | {k: region_labels(i, len(roi_keys)) if regions else i + 1 for i, k in enumerate(roi_keys)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import OverlappingMasksError, TooManyComponentsError
@@ -104,10 +104,10 @@ def covariance(mask: DataFrame) -> DataFrame:
 
 def slices(voxels: DataFrame, axis: str, every: int) -> DataFrame:
     """Every n-th slice, normalised per series to 0..255."""
-    w = Window.partitionBy("series")
-    span = F.max("value").over(w) - F.min("value").over(w)
-    scaled = voxels.withColumn("shade", F.when(span > 0, (F.col("value") - F.min("value").over(w)) / span * 255).otherwise(0.0))
-    return scaled.where(F.col(axis) % every == 0)
+    ends = voxels.groupBy("series").agg(F.min("value").alias("_low"), F.max("value").alias("_high"))  # a row per series
+    span = F.col("_high") - F.col("_low")
+    scaled = voxels.where(F.col(axis) % every == 0).join(ends, "series")
+    return scaled.withColumn("shade", F.when(span > 0, (F.col("value") - F.col("_low")) / span * 255).otherwise(0.0)).drop("_low", "_high")
 
 
 def success_rate(results: DataFrame, ok: Column) -> DataFrame:

@@ -35,10 +35,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_images  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_images  # noqa: F401
+
     return dict(_ORACLE)
 
 
@@ -81,7 +85,7 @@ def sop_map(spark, sf):  # noqa: ANN001, ANN201
 
 @query("instance_count", f"WITH {V.LINES} SELECT sid AS series, count(DISTINCT sop) AS n_instances FROM line GROUP BY sid")
 def instance_count(spark, sf):  # noqa: ANN001, ANN201
-    return V.instances(spark, sf).groupBy(F.col("SeriesInstanceUID").alias("series")).agg(F.count_distinct("SOPInstanceUID").alias("n_instances"))
+    return crawl.instance_counts(V.instances(spark, sf)).withColumnRenamed("SeriesInstanceUID", "series")
 
 
 def _series(spark, sf):  # noqa: ANN001, ANN202
@@ -242,13 +246,13 @@ def reference_series_top1(spark, sf):  # noqa: ANN001, ANN201
 @query("missing_series_anti", "SELECT o_orderkey AS series FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def missing_series_anti(spark, sf):  # noqa: ANN001, ANN201
     held = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("series"))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("series")).join(held, "series", "left_anti")
+    return forest.missing_series(table(spark, sf, "orders").select(F.col("o_orderkey").alias("series")), held)
 
 
 @query("loaded_series_semi", "SELECT o_orderkey AS series FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def loaded_series_semi(spark, sf):  # noqa: ANN001, ANN201
     held = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("series"))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("series")).join(held, "series", "left_semi")
+    return forest.loaded_series(table(spark, sf, "orders").select(F.col("o_orderkey").alias("series")), held)
 
 
 # --- regions -----------------------------------------------------------------
@@ -394,8 +398,7 @@ def flatten_props(spark, sf):  # noqa: ANN001, ANN201
 
 @query("fuzzy_free_regex_group", r"SELECT page_id, coalesce(nullif(regexp_extract(url, '/([a-z]{2})/(\d+)', 1), ''), regexp_extract(url, '#(\w+)', 1)) AS part FROM pages")
 def regex_group(spark, sf):  # noqa: ANN001, ANN201
-    u = F.col("url")
-    return table(spark, sf, "pages").select("page_id", F.coalesce(F.nullif(F.regexp_extract(u, r"/([a-z]{2})/(\d+)", 1), F.lit("")), F.regexp_extract(u, r"#(\w+)", 1)).alias("part"))
+    return table(spark, sf, "pages").select("page_id", X.captured(F.col("url"), (r"/([a-z]{2})/(\d+)", 1), (r"#(\w+)", 1)).alias("part"))
 
 
 # --- volumes -----------------------------------------------------------------
@@ -583,20 +586,21 @@ def simplified_index(spark, sf):  # noqa: ANN001, ANN201
 
 @query("nnunet_labels", f"WITH {V.ROIS} SELECT roi, (row_number() OVER (ORDER BY roi))::BIGINT AS label FROM (SELECT DISTINCT roi FROM rois)")
 def nnunet_labels(spark, sf):  # noqa: ANN001, ANN201
-    names = V.rois(spark, sf).select("roi").distinct()
-    return names.select("roi", F.row_number().over(Window.orderBy("roi")).cast("long").alias("label"))
+    return outputs.label_rows(V.rois(spark, sf), "roi")
 
 
-@query("nnunet_region_labels", "SELECT i::BIGINT AS channel, string_agg(v::VARCHAR, ',' ORDER BY v) AS labels FROM range(4) a(i), range(1, 16) b(v) WHERE (v >> i) & 1 = 1 GROUP BY i")
+@query(
+    "nnunet_region_labels",
+    "WITH k AS (SELECT DISTINCT c_mktsegment AS roi FROM customer), n AS (SELECT roi, row_number() OVER (ORDER BY roi) - 1 AS i, count(*) OVER () AS k FROM k) "
+    "SELECT roi, string_agg(v::VARCHAR, ',' ORDER BY v) AS labels FROM n, range(1, 65536) b(v) WHERE v < (1::BIGINT << k) AND (v >> i) & 1 = 1 GROUP BY roi",
+)
 def nnunet_region_labels(spark, sf):  # noqa: ANN001, ANN201
-    rows = spark.range(4).select(F.col("id").alias("channel"), F.explode(F.sequence(F.lit(1), F.lit(15))).alias("v")).where(F.expr("shiftright(v, cast(channel as int)) & 1 = 1"))
-    return rows.groupBy("channel").agg(F.array_join(F.array_sort(F.collect_list("v")), ",").alias("labels"))
+    return outputs.region_label_rows(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("roi")), "roi")
 
 
 @query("nnunet_channels", f"WITH {V.SERIES} SELECT (row_number() OVER (ORDER BY m) - 1)::BIGINT AS channel, m AS modality FROM (SELECT DISTINCT m FROM series WHERE m IN ('CT','MR'))")
 def nnunet_channels(spark, sf):  # noqa: ANN001, ANN201
-    m = V.index(spark, sf).where(F.col("modality").isin("CT", "MR")).select("modality").distinct()
-    return m.select((F.row_number().over(Window.orderBy("modality")) - 1).cast("long").alias("channel"), "modality")
+    return outputs.channel_rows(V.index(spark, sf), "modality")
 
 
 @query("next_dataset_id", "SELECT c_nationkey, (SELECT min(i) FROM range(1, 1000) t(i) WHERE NOT list_contains(used, i))::BIGINT AS next_id FROM (SELECT c_nationkey, list(DISTINCT (c_custkey % 50 + 1)) AS used FROM customer GROUP BY c_nationkey)")
@@ -658,7 +662,10 @@ def synthetic_cross(spark, sf):  # noqa: ANN001, ANN201
 # --- files and arrays (no SQL form; see tests) ---------------------------------
 
 
-@query("dicom_roundtrip")
+@query(
+    "dicom_roundtrip",
+    "SELECT o_custkey::VARCHAR AS \"PatientID\", '1.2.' || o_orderkey AS \"SeriesInstanceUID\", '1.2.' || o_orderkey || '.1' AS \"SOPInstanceUID\", 'CT' AS \"Modality\", NULL::VARCHAR AS error FROM orders",
+)
 def dicom_roundtrip(spark, sf):  # noqa: ANN001, ANN201
     from ..sources import dicom
 
@@ -667,7 +674,7 @@ def dicom_roundtrip(spark, sf):  # noqa: ANN001, ANN201
     return dicom.parse_rows(made).select("PatientID", "SeriesInstanceUID", "SOPInstanceUID", "Modality", "error")
 
 
-@query("nifti_roundtrip")
+@query("nifti_roundtrip", "SELECT vec_id::VARCHAR AS series, len(embedding)::BIGINT AS n_voxels, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 4) AS total FROM embeddings")
 def nifti_roundtrip(spark, sf):  # noqa: ANN001, ANN201
     from ..sources import nifti
 
@@ -675,7 +682,7 @@ def nifti_roundtrip(spark, sf):  # noqa: ANN001, ANN201
     return nifti.roundtrip(v, (4, 4, 4))
 
 
-@query("polygon_fill")
+@query("polygon_fill", "SELECT p_partkey::VARCHAR AS series, ((p_size % 8 + 1) * (p_size % 8 + 1))::BIGINT AS n_voxels FROM part")
 def polygon_fill(spark, sf):  # noqa: ANN001, ANN201
     from ..operators import volumes
 
@@ -686,7 +693,18 @@ def polygon_fill(spark, sf):  # noqa: ANN001, ANN201
     return filled.where("error is null").groupBy("series").agg(F.count(F.lit(1)).alias("n_voxels"))
 
 
-@query("resample_linear")
+#: A Gaussian of the scale, cut at three of it, with the edge value continued, then every other voxel along x and y.
+RESAMPLED = (
+    V.VOX + ", o AS (SELECT o, exp(-0.5::DOUBLE * (o / 2.0) ** 2) AS g FROM range(-6, 7) t(o)), k AS (SELECT o, g / (SELECT sum(g) FROM o) AS w FROM o), "
+    "w AS (SELECT p, greatest(least(2 * p + o, 3), 0) AS i, sum(w) AS w FROM k, range(2) q(p) GROUP BY ALL), "
+    "r AS (SELECT v.series, a.p AS x, b.p AS y, v.z, sum(v.value * a.w * b.w)::FLOAT AS value FROM vox v JOIN w a ON v.x = a.i JOIN w b ON v.y = b.i GROUP BY ALL)"
+)
+
+
+@query(
+    "resample_linear",
+    f"WITH {RESAMPLED} SELECT series::VARCHAR AS series, 2 AS nx, 2 AS ny, 4 AS nz, round(min(value)::DOUBLE, 4) AS v_min, round(max(value)::DOUBLE, 4) AS v_max, round(avg(value::DOUBLE), 4) AS v_mean FROM r GROUP BY series",
+)
 def resample_linear(spark, sf):  # noqa: ANN001, ANN201
     from ..operators import volumes
 
@@ -694,15 +712,38 @@ def resample_linear(spark, sf):  # noqa: ANN001, ANN201
     return volumes.summarise(volumes.resample(v, (2.0, 2.0, 1.0)))
 
 
-@query("connected_components")
+#: Every voxel of a mask reaches its face neighbours; a component counts at its first voxel.
+REACH = (
+    V.MASK + ", m AS (SELECT series, channel, x + 4 * y + 16 * z AS i, x, y, z FROM mask), "
+    "e AS (SELECT a.series, a.channel, a.i, b.i AS j FROM m a JOIN m b ON a.series = b.series AND a.channel = b.channel AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1), "
+    "reach AS (SELECT series, channel, i, i AS j FROM m UNION SELECT r.series, r.channel, r.i, e.j FROM reach r JOIN e ON r.series = e.series AND r.channel = e.channel AND r.j = e.i)"
+)
+
+
+@query(
+    "connected_components",
+    f"WITH RECURSIVE {REACH}, least AS (SELECT series, channel, i, min(j) AS j FROM reach GROUP BY ALL) "
+    "SELECT series::VARCHAR AS series, channel, count_if(i = j)::BIGINT AS n_components FROM least GROUP BY series, channel",
+)
 def connected_components(spark, sf):  # noqa: ANN001, ANN201
     from ..operators import volumes
 
     return volumes.shape_statistics(V.masks(spark, sf), (4, 4, 4)).select("series", "channel", "n_components")
 
 
-@query("feret")
+@query(
+    "feret",
+    f"WITH {V.MASK} SELECT a.series::VARCHAR AS series, a.channel, round(sqrt(max((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 4) AS feret "
+    "FROM mask a JOIN mask b ON a.series = b.series AND a.channel = b.channel GROUP BY a.series, a.channel",
+)
 def feret(spark, sf):  # noqa: ANN001, ANN201
     from ..operators import volumes
 
-    return volumes.shape_statistics(V.masks(spark, sf), (4, 4, 4)).select("series", "channel", r4("feret").alias("feret"), r4("elongation").alias("elongation"), r4("flatness").alias("flatness"))
+    return volumes.shape_statistics(V.masks(spark, sf), (4, 4, 4)).select("series", "channel", r4("feret").alias("feret"))
+
+
+@query("shape_ratios")
+def shape_ratios(spark, sf):  # noqa: ANN001, ANN201
+    from ..operators import volumes
+
+    return volumes.shape_statistics(V.masks(spark, sf), (4, 4, 4)).select("series", "channel", r4("elongation").alias("elongation"), r4("flatness").alias("flatness"))
