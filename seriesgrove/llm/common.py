@@ -2,61 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_folder, release, scratch, stored
+
+__all__ = ["components", "fits", "new_folder", "release", "scratch", "small", "stored", "table", "with_row_id", "without"]
+
 #: The ASCII white space of the contracts, as a character class body.
 WS = "\\x20\\x09-\\x0D"
 
 #: Tables of more stored bytes are joined by shuffling.
 BROADCAST_BYTES = 32 << 20
 
-_local_scratch: list[str] = []
-_made: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
-
-    Only a local session that has none (a test) gets a folder of its own, which
-    goes with the process; on a cluster it is a RuntimeError, since executors
-    don't see each other's disks.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if shared:
-        return shared.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _local_scratch:
-        folder = tempfile.mkdtemp(prefix="seriesgrove-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _local_scratch.append("file://" + folder)
-    return _local_scratch[0]
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    _made.append(f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}")
-    return _made[-1]
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the intermediate tables and files of this process; call it when the results are written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def fits(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
     """Whether the stored table ``df`` takes ``most`` bytes of files or less."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most  # noqa: SLF001
@@ -67,17 +30,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df) else df
 
 
-def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again.
-
-    Cuts lineage so that a lost executor costs a re-read, and gives the
-    optimizer exact sizes, so that it broadcasts only what it knows is small.
-    """
-    path = new_folder(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_row_id(df: DataFrame, name: str = "_row") -> DataFrame:
     """Adds a row identity that tells repeated rows apart.
 

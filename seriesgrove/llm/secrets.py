@@ -195,5 +195,30 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_secret_scan": op7_secret_scan}
-ORACLE: dict[str, str] = {}
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 7's result that SQL can express: counts and digest of the base spans."""
+    return op7_secret_scan(spark, sf_dir).drop("spans")
+
+
+def _oracle() -> str:
+    kinds = ((0, ASSIGN, 2, 8), (1, ACCESS, 0, 16), (2, HEX, 0, 32))
+    found = "\nUNION ALL ".join(
+        f"SELECT doc_id, {k} AS kind, {least} AS least, string_split_regex(text, {q}) AS p, regexp_extract_all(text, {q}, 0) AS f, regexp_extract_all(text, {q}, {g}) AS m FROM t"
+        for k, pattern, g, least in kinds
+        for q in ["'" + pattern.replace("'", "''") + "'"]
+    )
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k AS ({found}),
+e AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM k WHERE len(f) > 0),
+s AS (SELECT doc_id, kind, least, m[i] AS m, length(f[i]) AS n,
+  list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS s FROM e),
+b AS (SELECT doc_id, kind, s::BIGINT AS s, (s + n)::BIGINT AS e FROM s WHERE length(m) >= least),
+a AS (SELECT doc_id, count_if(kind = 0) AS a, count_if(kind = 1) AS b, count_if(kind = 2) AS c,
+  string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans FROM b GROUP BY doc_id)
+SELECT t.doc_id, coalesce(a.a, 0)::BIGINT AS n_assign, coalesce(a.b, 0)::BIGINT AS n_access, coalesce(a.c, 0)::BIGINT AS n_hex, sha256(coalesce(a.spans, '')) AS base_sha256
+FROM t LEFT JOIN a ON a.doc_id IS NOT DISTINCT FROM t.doc_id"""
+
+
+QUERIES = {"op7_secret_scan": op7_secret_scan, "secret_base_spans": secret_base_spans}
+ORACLE = {"secret_base_spans": _oracle()}

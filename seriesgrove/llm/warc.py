@@ -204,4 +204,15 @@ def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_warc_roundtrip": op9_warc_roundtrip}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op9_warc_roundtrip": r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS original, count(*) OVER (PARTITION BY html) AS k,
+  array_to_string(list_transform(string_split(d, ''), lambda c: right(bin(16 + instr('0123456789abcdef', c) - 1), 4)), '') AS bits FROM p),
+r AS (SELECT *, k > 1 AND original IS NOT NULL AND page_id IS DISTINCT FROM original AS again FROM g)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(5), lambda j: (substring(bits, (i * 5 + j + 1)::INT, 1) = '1')::INT << (4 - j)))::INT, 1)), '') AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN original END AS refers_to,
+  trim(regexp_replace(url, '\s+', ' ', 'g')) AS url, true AS has_request FROM r"""
+}
