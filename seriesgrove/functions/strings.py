@@ -76,6 +76,24 @@ def header_value(key: str, value: Column) -> Column:
     return F.when(~empty, out)
 
 
+def convert_datetimes(header: Column) -> Column:
+    """A header map with dates, times and durations in ISO form or as numbers, by key; what can't be read stays as it is."""
+    time_ = lambda v: iso_time(dicom_time_micros(v))
+
+    def one(k: Column, v: Column) -> Column:
+        read = F.when(k.isin(*DURATIONS), v.try_cast("double").cast("string")).when(k.contains("Date"), F.date_format(dicom_date(v), "yyyy-MM-dd")).when(k.contains("Time"), time_(v))
+        return F.coalesce(read, v)
+
+    return F.transform_values(header, one)
+
+
+def iso_time(micros: Column) -> Column:
+    """HH:MM:SS of microseconds since midnight."""
+    s = F.floor(micros / 1_000_000).cast("long")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.when(micros.isNotNull(), F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s / 60) % 60), two(s % 60)))
+
+
 def natural_sort_key(value: Column) -> Column:
     """An array key: digit runs padded, the rest in lower case."""
     runs = F.regexp_extract_all(value, F.lit(r"\d+|\D+"), 0)

@@ -35,13 +35,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_images  # noqa: F401  registers its queries
+    from . import catalog_files, catalog_images  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_images  # noqa: F401
+    from . import catalog_files, catalog_images  # noqa: F401
 
     return dict(_ORACLE)
 

@@ -108,7 +108,8 @@ class NNUNetPipeline:
         images = images.where(F.col("modality").isin(*CHANNELS)).withColumn("DirType", F.lit("images")).withColumn("SampleID", F.concat_ws("_", "sample_number", channel))
         labels = best.where("error is null").withColumn("DirType", F.lit("labels")).withColumn("SampleID", F.col("sample_number")).withColumn("kind", F.lit("mask"))
         labels = labels.withColumn("meta", F.transform_keys("roi_names", lambda k, _: F.concat(F.lit("roi_matches."), k))).drop("roi_names")
-        out = images.unionByName(labels, allowMissingColumns=True).unionByName(failed, allowMissingColumns=True)
+        unread = rows.where("is_reference and error is not null").select("sample_number", "series", "error", "is_reference", F.lit("image").alias("kind"))
+        out = images.unionByName(labels, allowMissingColumns=True).unionByName(failed, allowMissingColumns=True).unionByName(unread, allowMissingColumns=True)
         out = out.withColumn("is_reference", F.coalesce("is_reference", F.lit(False)))
         return out.withColumnsRenamed({"sample_number": "SampleNumber", "series": "SeriesInstanceUID", "modality": "Modality"})
 

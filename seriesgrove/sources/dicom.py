@@ -303,7 +303,7 @@ def read_tags(instances: DataFrame, tags: list[str], truncate: int = 5, default:
     """path and the asked header fields; UIDs keep their last ``truncate`` characters."""
     from ..functions.strings import truncate_uid
 
-    pick = lambda t: F.coalesce(F.element_at("hdr", F.lit(t)), F.lit(default))
+    pick = lambda t: F.coalesce(F.nullif(F.element_at("hdr", F.lit(t)), F.lit("")), F.lit(default))
     return instances.select("path", *[(truncate_uid(pick(t), truncate) if t.endswith("UID") else pick(t)).alias(t) for t in tags])
 
 
