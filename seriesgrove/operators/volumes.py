@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import spread
+
 VOLUME = "series string, size array<int>, spacing array<double>, origin array<double>, direction array<double>, voxels binary"
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 BATCH_BYTES = 32 << 20
@@ -469,4 +471,4 @@ def shape_statistics(mask: DataFrame, size: tuple[int, int, int], spacing: tuple
         )
 
     rows = mask.select(F.col("series").cast("string").alias("series"), F.col("channel").cast("int").alias("channel"), "z", "y", "x")
-    return rows.groupBy("series", "channel").applyInPandas(run, "series string, channel int, n_components long, feret double, elongation double, flatness double, diameters array<double>")
+    return spread(rows, "series", "channel").groupBy("series", "channel").applyInPandas(run, "series string, channel int, n_components long, feret double, elongation double, flatness double, diameters array<double>")

@@ -85,4 +85,4 @@ def act(spark: SparkSession, plan: DataFrame, action: str | FileAction, overwrit
                     out.append((source, target, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["source", "target", "status", "error"])
 
-    return storage.stored(spark, plan.select("source", "target").mapInPandas(run, "source string, target string, status string, error string"), "actions")
+    return storage.stored(spark, storage.spread(plan.select("source", "target"), "target").mapInPandas(run, "source string, target string, status string, error string"), "actions")

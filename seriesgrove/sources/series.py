@@ -157,7 +157,7 @@ def load_series(instances: DataFrame, load_subseries: bool = False, pet_image_ty
             out = (series, sub, None, None, None, None, None, None, None, f"LoadError: {type(e).__name__}: {e}")
         return pd.DataFrame([out], columns=NAMES)
 
-    return rows.groupBy("series", "sub_series").applyInPandas(run, IMAGE)
+    return storage.spread(rows, "series").groupBy("series", "sub_series").applyInPandas(run, IMAGE)
 
 
 def encode_slices(rows: DataFrame, header: Callable[[dict], list[dict]]) -> DataFrame:

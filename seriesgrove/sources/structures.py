@@ -128,7 +128,7 @@ def read_regions(files: DataFrame) -> DataFrame:
 
     series = [] if "SeriesInstanceUID" not in files.columns else ["SeriesInstanceUID"]
     rows = files.select("path", *(["content"] if held else []), (F.col(series[0]) if series else F.lit(None).cast("string")).alias("series"))
-    return rows.mapInPandas(run, REGION)
+    return storage.spread(rows, "path").mapInPandas(run, REGION)
 
 
 def region(regions: DataFrame, key: str | int | slice) -> DataFrame:
@@ -172,7 +172,7 @@ def masks(regions: DataFrame, matched: DataFrame, grids: DataFrame) -> DataFrame
     held = held.join(channels, "series").withColumn("channel", F.array_position("order", F.struct("key_pos", "image_id")).cast("int")).drop("order", "key_pos")
     rows = held.join(grids.select("series", "size", "origin", "spacing", "direction"), "series")
     rows = rows.withColumn("voxels", F.lit(b"").cast("binary")).withColumn("error", F.lit(None).cast("string"))
-    return volumes.map_rows(rows, draw, "MaskError").drop("contours", "frames")
+    return volumes.map_rows(storage.spread(rows, "series", "channel"), draw, "MaskError").drop("contours", "frames")
 
 
 def draw(r: dict) -> dict:

@@ -155,7 +155,7 @@ class Writer:
                 yield pd.DataFrame(out, columns=names)
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema)
-        done = storage.stored(spark, made.mapInPandas(publish, f"{kinds}, filepath string, status string"), "saved").drop("part")
+        done = storage.stored(spark, storage.spread(made, "target").mapInPandas(publish, f"{kinds}, filepath string, status string"), "saved").drop("part")
         storage.hadoop(spark, parts).delete(storage.hadoop_path(spark, parts), True)
         if self.index_path:
             self.index(done)

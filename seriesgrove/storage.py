@@ -42,6 +42,16 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys to as many tasks as the session's shuffles have.
+
+    For rows that are small but stand for much work (paths of files, contours
+    to be drawn): by their bytes they would be coalesced into one task; a number
+    that is asked for isn't.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes this process's intermediate tables; call it when the results are written."""
     while _made:
