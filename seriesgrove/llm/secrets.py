@@ -14,7 +14,7 @@ and digits in one or both cases, lower-case letters alone, and UUIDs.
 (snake_case, camelCase, CONSTANTS, paths, numbered names, dates).  A run of
 letters counts as a word, its label, if it occurs in ``WORD_TEXTS`` different
 texts at least, of ``TRAIN_DOCS`` documents (least hash of doc_id) without their
-base matches; a secret that no pattern knows stands in one text and its copies
+base matches, and is among the ``WORDS`` of least hash; a secret that no pattern knows stands in one text and its copies
 and so does not train the ordinary model.  The model is a table of alphabet x
 alphabet numbers, whatever the size of the corpus; it is inlined as a constant.
 ``MIN_RATIO`` is set on held-out samples of both labels; recall by form and
@@ -48,11 +48,12 @@ ASSIGN = (
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
+NO_HEX, NO_RUN = "(?<![0-9a-f])", "(?<![A-Za-z0-9+/_-])"  # a run matches from its start or not at all, so no place inside it is tried
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 MIN_RUN, MIN_RATIO, MIN_DISTINCT = 16, 0.5, 8
 RUN = rf"[A-Za-z0-9+/_-]{{{MIN_RUN},}}"
-TRAIN_DOCS, TRAIN_RANDOM, WORD_TEXTS, WORD_GROUPS = 2000, 2000, 3, 64
+TRAIN_DOCS, TRAIN_RANDOM, WORD_TEXTS, WORDS, WORD_GROUPS = 2000, 1000, 3, 4096, 64
 MIN_TRANSITIONS = 1000
 BACKOFF = 8.0
 
@@ -92,6 +93,7 @@ def ordinary_samples(rows: DataFrame) -> DataFrame:
         text = F.regexp_replace(text, p, " ")
     plain = rows.select(F.xxhash64("text").alias("t"), F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z]{2,20}"), 0)).alias("w"))
     words = plain.dropDuplicates(["t"]).select(F.explode("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORD_TEXTS)
+    words = words.orderBy(F.xxhash64("w"), "w").limit(WORDS)
     # Words meet others by rank of their hashes, in small groups.
     groups = words.withColumn("g", F.pmod(F.xxhash64("w"), F.lit(WORD_GROUPS))).groupBy("g").agg(F.array_sort(F.collect_set("w")).alias("ws"))
     each = groups.select("ws", F.posexplode("ws").alias("i", "a"))
@@ -160,7 +162,7 @@ def find(spark: SparkSession, docs: DataFrame, model: list[float] | None = None)
     """One row per document: _row, doc_id, spans (array of kind, s, e in order)."""
     model = train(spark, docs) if model is None else model
     rows = with_row_id(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    every = [_matches(p, g) for p, g in ((ASSIGN, 2), (ACCESS, 0), (HEX, 0), (RUN, 0))]  # one scan for all kinds
+    every = [_matches(p, g) for p, g in ((ASSIGN, 2), (ACCESS, 0), (NO_HEX + HEX, 0), (NO_RUN + RUN, 0))]  # one scan for all kinds
     each = rows.select("_row", F.posexplode(F.array(*every)).alias("kind", "found")).where("found is not null").select("_row", "kind", F.posexplode("found").alias("i", "x"))
     end = F.sum(F.col("x.p") + F.coalesce("x.f", F.lit(0))).over(Window.partitionBy("_row", "kind").orderBy("i"))
     each = each.withColumn("e", end).where("x.m is not null")
