@@ -14,6 +14,8 @@ WS = "\\x20\\x09-\\x0D"
 
 #: Tables of more stored bytes are joined by shuffling.
 BROADCAST_BYTES = 32 << 20
+#: Rows (a few numbers each) that a file of a small intermediate table holds, so that rounds over few rows don't write a tiny file per shuffle partition.
+FILE_ROWS = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,29 +55,35 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return with_row_id(docs).join(dropped.select("_row").hint("shuffle_hash"), "_row", "left_anti").drop("_row")
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has about ``rows`` rows, in a partition for each ``FILE_ROWS`` of them, or in those it has if they are fewer."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (u, v: long).
 
     Contraction: in each round every node moves to the neighbour (or itself)
     with the least hash, and edges between the same pair merge.  Hashes change
     by the round, so even a chain shrinks by a constant share.  All state is in
-    stored tables; the driver sees only a count per round.  Minimum by node is
+    stored tables, in files in proportion to their rows; the driver sees only a count per round.  Minimum by node is
     pre-aggregated before the shuffle, so a hub does not gather its neighbours.
     """
     links = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     links = stored(spark, links, "links")
     maps: list[DataFrame] = []
-    while not links.isEmpty():
+    while n := links.count():
         salt = len(maps)
         ends = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("h"), F.col(c).alias("n"))
         best = ends.groupBy("u").agg(F.min(order("v")).alias("m"))
-        moved = stored(spark, best.select(F.col("u").alias("node"), F.least(order("u"), F.col("m"))["n"].alias("root")), "moved")
+        moved = best.select(F.col("u").alias("node"), F.least(order("u"), F.col("m"))["n"].alias("root"))
+        moved = stored(spark, sized(moved, 2 * n), "moved")
         maps.append(moved)
         left = moved.select(F.col("node").alias("u"), F.col("root").alias("a"))
         right = moved.select(F.col("node").alias("v"), F.col("root").alias("b"))
         new = links.join(left, "u").join(right, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        links = stored(spark, new.distinct(), "links")
+        links = stored(spark, sized(new.distinct(), n), "links")
     if not maps:
         return spark.createDataFrame([], "node long, root long")
     out = maps[0]
