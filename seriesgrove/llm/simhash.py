@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, stored, table, with_row_id, without
@@ -325,52 +325,69 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def candidates(spark: SparkSession, keys: DataFrame) -> DataFrame:
-    """(a, b) with a < b, of ``keys`` (_row, keys): rows that share a band key, as spanning links.
-
-    Rows are range-partitioned and sorted by (key, the next band's key), so a
-    key's run may lie across tasks.  A row is linked to the first row of its
-    run, to the first that shares both keys, and to the one before it; tasks
-    report their outer runs, which are linked to each other.
+    """(a, b) with a < b, of ``keys`` (_row, doc_id, keys): rows that share a band key, as spanning links.
+
+    Rows are ordered by (key, the next band's key, hash of doc_id, row).  A row is
+    linked to the first row of its key, to the first that shares both keys, and
+    to the one before it with the same key.  Tasks hold ranges of that order, so
+    runs may lie across them: of a task's first run only the rows are told, and
+    they are linked when the tasks' outer rows (four for each task) have shown
+    where the run begins.  The links don't depend on where the ranges are cut.
     """
     turn = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.get("keys", (i + 1) % BANDS).alias("next")))
-    placed = keys.select("_row", F.explode(turn).alias("t")).select("t.key", "t.next", "_row")
-    placed = placed.repartitionByRange("key", "next", "_row").sortWithinPartitions("key", "next", "_row")
+    order = ["key", "next", "ord", "_row"]
+    placed = keys.select("_row", F.xxhash64("doc_id").alias("ord"), F.explode(turn).alias("t")).select("t.key", "t.next", "ord", "_row")
+    placed = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    names = ["kind", "key", "next", "ord", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(key: np.ndarray, a: np.ndarray, b: np.ndarray, edge: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), edge)), pa.array(key), pa.array(a), pa.array(b)], names=["edge", "key", "a", "b"])
+        def rows(kind: int, key: np.ndarray, nxt: np.ndarray, ord_: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind), pa.int32()), *map(pa.array, (key, nxt, ord_, a, b))], names=names)
 
-        last, ends = None, []  # the row before: key, next, row, first row of the run and of both keys
+        last = head = begun = None  # the row before; the task's first row; the first rows of the present run of the key and of both keys
         for batch in batches:
-            key, nxt, row = (c.to_numpy() for c in batch.columns)
+            key, nxt, ord_, row = (c.to_numpy() for c in batch.columns)
             if not len(row):
                 continue
-            if last is None:
-                ends.append((key[0], row[0]))
-                last = (key[0], nxt[0], row[0], row[0], row[0])
+            every = np.stack([key, nxt, ord_, row])
+            fresh = last is None
+            if fresh:
+                head, last, begun = every[:, 0], every[:, 0], (every[:, 0], every[:, 0])
             new = np.append(key[0] != last[0], key[1:] != key[:-1])
             part = new | np.append(nxt[0] != last[1], nxt[1:] != nxt[:-1])
             at = np.arange(len(row))
 
-            def first(starts: np.ndarray, before: int, at: np.ndarray = at, row: np.ndarray = row) -> np.ndarray:
+            def first(starts: np.ndarray, before: np.ndarray, at: np.ndarray = at, every: np.ndarray = every) -> np.ndarray:
                 since = np.maximum.accumulate(np.where(starts, at, -1))
-                return np.where(since < 0, before, row[since])
+                return np.where(since < 0, before[:, None], every[:, since])
 
-            whole, both = first(new, last[3]), first(part, last[4])
-            prior = np.where(new, row, np.append(last[2], row[:-1]))
-            pairs = np.stack([np.concatenate([whole, both, prior]), np.concatenate([row] * 3)])
+            whole, both = first(new, begun[0]), first(part, begun[1])
+            open_key = key == head[0]
+            open_both = open_key & (nxt == head[1])
+            prior = np.where(new, row, np.append(last[3], row[:-1]))
+            pairs = np.stack([np.concatenate([whole[3][~open_key], both[3][~open_both], prior]), np.concatenate([row[~open_key], row[~open_both], row])])
             pairs = np.unique(np.sort(pairs[:, pairs[0] != pairs[1]], axis=0), axis=1)
-            yield rows(np.zeros(pairs.shape[1], np.int64), pairs[0], pairs[1], False)
-            last = (key[-1], nxt[-1], row[-1], whole[-1], both[-1])
+            none = np.zeros(pairs.shape[1], np.int64)
+            yield rows(0, none, none, none, pairs[0], pairs[1])
+            for kind, held in ((1, open_key), (2, open_both)):
+                if held.any():
+                    yield rows(kind, key[held], nxt[held], ord_[held], row[held], row[held])
+            last, begun = every[:, -1], (whole[:, -1], both[:, -1])
         if last is not None:
-            ends.append((last[0], last[3]))
-            out = np.array(ends, dtype=np.int64)
-            yield rows(out[:, 0], out[:, 1], out[:, 1], True)
-
-    found = stored(spark, placed.mapInArrow(run, "edge boolean, key long, a long, b long"), "bands")
-    edges = found.where("edge")  # two rows for each task
-    over = edges.groupBy("key").agg(F.min("a").alias("m")).join(edges, "key").where("m <> b").select(F.col("m").alias("a"), "b")
-    return found.where("not edge").select("a", "b").unionByName(over).distinct()
+            for kind, x in ((3, head), (4, begun[0]), (4, begun[1]), (5, last)):
+                yield rows(kind, x[:1], x[1:2], x[2:3], x[3:], x[3:])
+
+    found = stored(spark, placed.mapInArrow(run, "kind int, key long, next long, ord long, a long, b long"), "bands")
+    ends = found.where("kind >= 3").select("kind", "key", "next", "ord", F.col("a").alias("first"))  # four rows for each task
+    of_key = ends.groupBy("key").agg(F.min(F.struct("next", "ord", "first"))["first"].alias("first"))
+    of_both = ends.groupBy("key", "next").agg(F.min(F.struct("ord", "first"))["first"].alias("first"))
+    by_key = found.where("kind = 1").select("key", "a").join(F.broadcast(of_key), "key").select("a", F.col("first").alias("b"))
+    by_both = found.where("kind = 2").select("key", "next", "a").join(F.broadcast(of_both), ["key", "next"]).select("a", F.col("first").alias("b"))
+    before = Window.orderBy("key", "next", "ord", "first", "kind")  # over two rows for each task
+    over = ends.where("kind <> 4").select("kind", "key", F.col("first").alias("a"), F.lag("key").over(before).alias("k"), F.lag("first").over(before).alias("b"))
+    over = over.where("kind = 3 and k = key").select("a", "b")
+    links = by_key.unionByName(by_both).unionByName(over).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.where("kind = 0").select("a", "b").unionByName(links).distinct()
 
 
 def similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -389,7 +406,7 @@ def similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["_row", "s"])
 
     keys = stored(spark, rows.mapInArrow(sketch, "_row long, doc_id long, keys array<long>"), "sketches")
-    pairs = stored(spark, candidates(spark, keys.select("_row", "keys")), "candidates")
+    pairs = stored(spark, candidates(spark, keys), "candidates")
     named = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
     held = rows.select("_row", "text").join(named.hint("shuffle_hash"), "_row", "left_semi")
     held = stored(spark, held.mapInArrow(sets, "_row long, s array<long>"), "shingles")

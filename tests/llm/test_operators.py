@@ -313,6 +313,34 @@ def test_run_over_many_blocks(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def test_candidates_do_not_depend_on_the_ranges(spark, monkeypatch):
+    """One key of a third of the rows, and others; the same links, by row and by doc_id, however the rows are cut."""
+    monkeypatch.setattr(simhash, "BANDS", 3)
+    rng = random.Random(71)
+    docs = [(i, 1000 + i, [7 if i % 3 == 0 else rng.randrange(40), 8 if i % 6 == 0 else rng.randrange(30), rng.randrange(20)]) for i in range(600)]
+    schema = "_row long, doc_id long, keys array<long>"
+    ord_ = {r.doc_id: r.o for r in spark.createDataFrame(docs, schema).select("doc_id", F.xxhash64("doc_id").alias("o")).collect()}
+    rows = sorted((k[b], k[(b + 1) % 3], ord_[d], i) for i, d, k in docs for b in range(3))
+    want, key_first, both_first = set(), {}, {}
+    for n, (k, x, _, i) in enumerate(rows):
+        links = [key_first.setdefault(k, i), both_first.setdefault((k, x), i)] + ([rows[n - 1][3]] if n and rows[n - 1][0] == k else [])
+        want |= {(min(i, j), max(i, j)) for j in links if i != j}
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "5", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            assert {(r.a, r.b) for r in simhash.candidates(spark, spark.createDataFrame(docs, schema)).collect()} == want, n
+        shuffled = docs[:]
+        rng.shuffle(shuffled)
+        other = {i: d for i, (_, d, _) in enumerate(shuffled)}
+        got = simhash.candidates(spark, spark.createDataFrame([(i, d, k) for i, (_, d, k) in enumerate(shuffled)], schema)).collect()
+        assert {frozenset((other[r.a] - 1000, other[r.b] - 1000)) for r in got} == {frozenset(p) for p in want}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 # --- the rest -----------------------------------------------------------------------------------
 
 
