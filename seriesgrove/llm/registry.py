@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, langid, licenses, mixing, secrets, simhash, token_counts, warc
+from . import decontaminate, exact_dedup, fim, html_text, langid, licenses, mixing, secrets, simhash, token_counts, warc
 
-MODULES = (licenses, html_text, mixing, exact_dedup, token_counts, decontaminate, secrets, langid, warc, simhash)
+MODULES = (licenses, html_text, mixing, exact_dedup, token_counts, decontaminate, secrets, langid, warc, simhash, fim)
 
 
 def queries() -> dict:

@@ -27,6 +27,7 @@ COLUMNS = {
     "op8_language_id": "doc_id held_out lang_pred score",
     "op9_warc_roundtrip": "page_id payload_bytes payload_digest record_type refers_to url has_request",
     "op10_simhash_groups": "doc_id fingerprint component_id",
+    "op12_fill_in_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
 }
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
