@@ -15,7 +15,7 @@ from seriesgrove.llm import common, decontaminate, html_text, langid, licenses,
 from seriesgrove.llm.common import new_folder
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark".split()
+TABLES = "documents pages benchmark conversations embeddings".split()
 COLUMNS = {
     "op1_license_scan": "doc_id unit license n_units",
     "op2_html_text": "page_id url text n_chars n_template",
@@ -27,6 +27,7 @@ COLUMNS = {
     "op8_language_id": "doc_id held_out lang_pred score",
     "op9_warc_roundtrip": "page_id payload_bytes payload_digest record_type refers_to url has_request",
     "op10_simhash_groups": "doc_id fingerprint component_id",
+    "op11_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
     "op12_fill_in_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
 }
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -58,7 +59,7 @@ def test_query(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     assert df.columns == COLUMNS[name].split()
     found = df.collect()
-    one_row_each = {"op1_license_scan": None, "op6_benchmark_leaks": None, "op2_html_text": "pages", "op9_warc_roundtrip": "pages"}.get(name, "documents")
+    one_row_each = {"op1_license_scan": None, "op6_benchmark_leaks": None, "op11_prefix_trie": None, "op2_html_text": "pages", "op9_warc_roundtrip": "pages"}.get(name, "documents")
     if one_row_each:
         assert len(found) == duck.execute(f"SELECT count(*) FROM {one_row_each}").fetchone()[0]
     if name in registry.oracle_sql():
