@@ -194,7 +194,7 @@ o AS (SELECT conv_id AS c, words, digest, row_number() OVER (PARTITION BY conv_i
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)),
 n AS (SELECT c, count(*) AS n, c - c % 20 AS base,
   xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
-    lambda x, s: xor(x // 256, (SELECT t FROM crc)[xor(x % 256, s) + 1])), 4294967295) % 4 AS h FROM o GROUP BY c),
+    lambda x, s: xor(x // 256, t[xor(x % 256, s) + 1])), 4294967295) % 4 AS h FROM o, crc GROUP BY c, t),
 k AS (SELECT n.c, n.h, n.base, n.n, least(n.h, coalesce(b.n, 0)) AS k FROM n LEFT JOIN n b ON b.c = n.base),
 r AS (SELECT k.c, o.p AS d, digest, words FROM k JOIN o ON o.c = k.base WHERE o.p <= k.k
   UNION ALL SELECT k.c, k.k + o.p - k.h, digest, words FROM k JOIN o ON o.c = k.c WHERE o.p > k.h),
