@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, fim, html_text, langid, licenses, mixing, prefix_trie, secrets, simhash, token_counts, warc
+from . import decontaminate, exact_dedup, fim, html_text, langid, licenses, mixing, multi_index, prefix_trie, secrets, simhash, token_counts, warc
 
-MODULES = (licenses, html_text, mixing, exact_dedup, token_counts, decontaminate, secrets, langid, warc, simhash, prefix_trie, fim)
+MODULES = (licenses, html_text, mixing, exact_dedup, token_counts, decontaminate, secrets, langid, warc, simhash, prefix_trie, fim, multi_index)
 
 
 def queries() -> dict:

@@ -29,6 +29,7 @@ COLUMNS = {
     "op10_simhash_groups": "doc_id fingerprint component_id",
     "op11_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
     "op12_fill_in_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op13_embedding_groups": "vec_id n_links component_id kept",
 }
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -59,7 +60,7 @@ def test_query(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     assert df.columns == COLUMNS[name].split()
     found = df.collect()
-    one_row_each = {"op1_license_scan": None, "op6_benchmark_leaks": None, "op11_prefix_trie": None, "op2_html_text": "pages", "op9_warc_roundtrip": "pages"}.get(name, "documents")
+    one_row_each = {"op1_license_scan": None, "op6_benchmark_leaks": None, "op11_prefix_trie": None, "op13_embedding_groups": "embeddings", "op2_html_text": "pages", "op9_warc_roundtrip": "pages"}.get(name, "documents")
     if one_row_each:
         assert len(found) == duck.execute(f"SELECT count(*) FROM {one_row_each}").fetchone()[0]
     if name in registry.oracle_sql():
