@@ -35,13 +35,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_files, catalog_images  # noqa: F401  register their queries
+    from . import catalog_files, catalog_images, catalog_shapes  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_files, catalog_images  # noqa: F401
+    from . import catalog_files, catalog_images, catalog_shapes  # noqa: F401
 
     return dict(_ORACLE)
 
@@ -726,9 +726,9 @@ REACH = (
     "SELECT series::VARCHAR AS series, channel, count_if(i = j)::BIGINT AS n_components FROM least GROUP BY series, channel",
 )
 def connected_components(spark, sf):  # noqa: ANN001, ANN201
-    from ..operators import volumes
+    from ..operators import shapes
 
-    return volumes.shape_statistics(V.masks(spark, sf), (4, 4, 4)).select("series", "channel", "n_components")
+    return shapes.Shapes(V.masks(spark, sf), side=3).count()
 
 
 @query(
@@ -742,8 +742,3 @@ def feret(spark, sf):  # noqa: ANN001, ANN201
     return volumes.shape_statistics(V.masks(spark, sf), (4, 4, 4)).select("series", "channel", r4("feret").alias("feret"))
 
 
-@query("shape_ratios")
-def shape_ratios(spark, sf):  # noqa: ANN001, ANN201
-    from ..operators import volumes
-
-    return volumes.shape_statistics(V.masks(spark, sf), (4, 4, 4)).select("series", "channel", r4("elongation").alias("elongation"), r4("flatness").alias("flatness"))
