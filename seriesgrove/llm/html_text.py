@@ -1,29 +1,37 @@
 """Operator 2: main text of HTML pages with site template removal.
 
+The text's scope is the richest ``article`` or ``main`` element, else the whole
+body: siblings that share an article between them all belong to it.  What is
+boilerplate by its meaning (menus, forms, scripts, notices, comments and so on)
+is set aside first, so that it can't decide what the article is; inside the
+article only a class of a container says so, never an id.
+
 Site templates are found by hashes of element subtrees, which Spark counts per
 host, each in how many different pages it occurs; exact copies of a page count
 once.  A page has two kinds of them:
 
-* ``shell``: the subtrees beside the way from the root to the page's main
-  element, hashed by structure alone: the tags and classes above them, their own
-  and those of their children, runs of equal children as one, text only by its
-  presence.  So the menu, notices and footer around the varying part recur
-  although their words differ from page to page.
-* ``copy``: subtrees hashed with their whole text and children, anywhere but in
-  headings, paragraphs, lists, tables and their parts inside the article, or
-  what holds half of its text.
+* ``shell``: the subtrees beside the way from the root to the core, the least
+  element that holds all running text of the scope (paragraphs, headings,
+  tables, quotes, and blocks of ``LONG`` characters of their own).  They are
+  hashed by structure alone: the tags and classes above them, their own and
+  those of their children, runs of equal children as one, text only by its
+  presence.  So a bar, line of links or byline around the article recurs although
+  its words differ from page to page; by definition it holds no running text, so
+  no page can lose its article by it.
+* ``copy``: subtrees of the scope hashed with their whole text and children, but
+  for headings, paragraphs, lists, tables and their parts inside an article, and
+  for what holds half of the scope's text.  Adverts inside the article and
+  notices among sibling blocks go by it.  If the copies of a page hold half of
+  its paragraphs' text or more, they are no template but the article itself,
+  printed several times by the site, and stay.
 
 A shell subtree goes if it recurs in ``SHELL_PAGES`` pages of the host at least,
 a copy in ``MIN_PAGES``, and either in ``SHARE`` of the host's pages or, on hosts
 of more than ``1 / SHARE ** 2`` pages, in the square root of their number.
-Elements that are boilerplate by their meaning (menus, forms, scripts, notices,
-comments and so on) go too, which is all there is to go by on hosts of few
-pages; inside the article only a class of a container says so, never an id.
+Hosts of one or two pages rest on tags and class words alone.
 
-The text is that of the richest ``article`` or ``main`` element, else of the
-element that holds most paragraph text, else of the body.  Character references
-are decoded, white space inside a block becomes one space, blocks are trimmed
-and joined by one newline in page order.
+Character references are decoded, white space inside a block becomes one space,
+blocks are trimmed and joined by one newline in page order.
 
 Only subtrees that may be deleted are counted, copies only if they are no
 boilerplate anyhow.  Counts are pre-aggregated by (host, hash), so a host with a third of all pages
@@ -47,7 +55,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table, with_row_id
 
-MIN_PAGES, SHELL_PAGES, SHARE = 5, 3, 0.01
+MIN_PAGES, SHELL_PAGES, SHARE, LONG = 5, 3, 0.01, 80
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template".split())
@@ -68,6 +76,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt"
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("html body article main".split())
 KEPT = HEADINGS | frozenset("p blockquote pre".split())
+#: Running text: what holds it is no shell.
+RUNNING = KEPT | frozenset("table ul ol dl figure".split())
 #: Inside the article these recur by chance.
 ITEMS = KEPT | frozenset("ul ol dl li dt dd table tr td th thead tbody tfoot caption figure figcaption".split())
 #: Words that a class of a boilerplate container may hold besides DROP_WORDS.
@@ -79,10 +89,11 @@ HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "key", "weight", "shell")
+    __slots__ = ("tag", "attrs", "items", "key", "weight", "words", "links", "shell", "gone", "around", "up")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.items, self.key, self.weight, self.shell = tag, attrs, [], 0, 0, None
+        self.tag, self.attrs, self.items, self.key, self.weight, self.words, self.links = tag, attrs, [], 0, 0, 0, 0
+        self.shell, self.gone, self.around, self.up = None, False, None, None
 
 
 def parse(text: str) -> Node:
@@ -145,11 +156,11 @@ def order(root: Node) -> list[Node]:
     return out
 
 
-def hashed(root: Node) -> list[Node]:
-    """All nodes with ``key`` set, equal for equal subtrees, and ``shell`` for those around the main element, equal for equal structure and place."""
+def hashed(nodes: list[Node], core: Node) -> None:
+    """Sets ``key``, equal for equal subtrees, and ``shell`` of those around the core, equal for equal structure and place."""
     import xxhash
 
-    nodes, shape, up = order(root), {}, {}
+    shape: dict[Node, bytes] = {}
     for node in reversed(nodes):
         name = node.tag.encode() + (b"." + attributes(node).get("class", "").encode() if "class" in node.attrs.lower() else b"")
         h, g, last = xxhash.xxh64(name), xxhash.xxh64(name, 1), None
@@ -158,23 +169,21 @@ def hashed(root: Node) -> list[Node]:
                 h.update(b"\x00" + x.strip().encode("utf-8", "replace"))
                 mark = b"\x00" if x.strip() else None
             else:
-                up[x] = node
                 h.update(b"\x01" + x.key.to_bytes(8, "little"))
                 mark = shape[x]
             if mark is not None and mark != last:
                 g.update(mark)
                 last = mark
         node.key, shape[node] = h.intdigest(), g.digest()
-    way = [main_node(root)]
-    while way[-1] in up:
-        way.append(up[way[-1]])
+    way = [core]
+    while way[-1].up is not None:
+        way.append(way[-1].up)
     place = b""
     for node, inner in zip(reversed(way), [*reversed(way[:-1])], strict=False):
         place = xxhash.xxh64(place + node.tag.encode() + attributes(node).get("class", "").encode(), 1).digest()
         for x in node.items:
             if not isinstance(x, str) and x is not inner and x.tag not in WHOLE:
                 x.shell = xxhash.xxh64(place + shape[x], 1).intdigest()
-    return nodes
 
 
 def boilerplate(node: Node, inside: bool) -> bool:
@@ -199,58 +208,76 @@ def named(node: Node, a: dict[str, str], inside: bool) -> bool:
     return any(w & DROP_WORDS and w <= DROP_WORDS | PARTS for w in map(words, a.get("class", "").split()))
 
 
-def kept_nodes(root: Node, recurring: set[int] | None) -> Iterator[tuple[Node, list[Node]]]:
-    """Nodes that are not boilerplate with their children that a template may delete; deletes boilerplate and, if given, recurring subtrees."""
-    if recurring is None or recurring:
-        weigh(order(root))
-    work = [(root, None)]  # with the article or main element around
-    while work:
-        node, around = work.pop()
-        if node.tag in ("article", "main") or ("main" in node.attrs and attributes(node).get("role") == "main"):
-            around = node
-        kept, open_ = [], []
+def survey(root: Node) -> tuple[list[Node], Node, Node]:
+    """All nodes, parents before children, the scope and the core; sets ``gone`` of boilerplate, ``around`` of nodes in an article or main element, and the weights of the rest."""
+    nodes = order(root)
+    for node in nodes:
+        if not node.gone and (node.tag in ("article", "main") or ("main" in node.attrs and attributes(node).get("role") == "main")):
+            node.around = node
         for x in node.items:
-            if isinstance(x, str):
-                kept.append(x)
-                continue
-            if recurring and x.shell in recurring:
-                continue
-            may = x.tag in BLOCK and x.tag not in WHOLE and not (around and (x.tag in ITEMS or 2 * x.weight >= around.weight))
-            if may and recurring and x.key in recurring:
-                continue
-            if not boilerplate(x, around is not None):
-                kept.append(x)
-                work.append((x, around))
-                if may:
-                    open_.append(x)
-        node.items = kept
-        yield node, open_
-
-
-def prune(root: Node, recurring: set[int]) -> None:
-    """Deletes boilerplate and recurring subtrees."""
-    for _ in kept_nodes(root, recurring):
-        pass
-
-
-def weigh(nodes: list[Node]) -> None:
-    """Sets ``weight``, the length of the text in each subtree."""
+            if not isinstance(x, str):
+                x.up, x.around = node, node.around
+                x.gone = node.gone or boilerplate(x, node.around is not None)
     for node in reversed(nodes):
-        node.weight = sum(len(x.strip()) if isinstance(x, str) else x.weight for x in node.items)
+        live = [x for x in node.items if isinstance(x, str) or not x.gone]
+        node.weight = sum(len(x.strip()) if isinstance(x, str) else x.weight for x in live)
+        inner = [x for x in live if not isinstance(x, str)]
+        node.words = node.weight if node.tag == "p" else sum(x.words for x in inner)
+        node.links = node.weight if node.tag == "a" else sum(x.links for x in inner)
+    live = [x for x in nodes if not x.gone]
+    scope = None
+    for tags in (("article",), ("main",)):
+        found = [x for x in live if x.tag in tags or (tags == ("main",) and x.around is x and x.tag != "article")]
+        best = max(found, key=lambda x: x.weight, default=None)
+        if best is not None and best.weight:
+            scope = best
+            break
+    if scope is not None:
+        return nodes, scope, scope
+    scope = next((x for x in live if x.tag == "body"), root)
+    rich = {x for x in live if 2 * x.links < x.weight and (x.tag in RUNNING or (x.tag in BLOCK and sum(len(y.strip()) for y in x.items if isinstance(y, str)) >= LONG))}
+    held = dict.fromkeys(rich, 1)
+    for node in reversed(nodes):
+        if node in held and node.up is not None:
+            held[node.up] = held.get(node.up, 0) + held[node]
+    core = scope
+    while core not in rich:
+        inner = [x for x in core.items if not isinstance(x, str) and not x.gone and held.get(x)]
+        if len(inner) != 1:
+            break
+        core = inner[0]
+    return nodes, scope, core.up if core in rich and core.up is not None and core is not scope else core
 
 
-def main_node(root: Node) -> Node:
-    nodes = order(root)
-    weigh(nodes)
-    for tags in (("article",), ("main",)):
-        if found := [x for x in nodes if x.tag in tags or (tags == ("main",) and "main" in x.attrs and attributes(x).get("role") == "main")]:
-            best = max(found, key=lambda x: x.weight)
-            if best.weight:
-                return best
-    held = [(sum(y.weight for y in x.items if not isinstance(y, str) and y.tag == "p"), x) for x in nodes if x.tag not in ("p", "#root")]
-    best = max(held, key=lambda x: x[0], default=(0, root))
-    body = next((x for x in nodes if x.tag == "body"), root)
-    return best[1] if best[0] * 2 > body.weight else body
+def copies_of(scope: Node) -> Iterator[Node]:
+    """The subtrees of the scope that may be deleted as copies, parents before children."""
+    work = [scope]
+    while work:
+        for x in work.pop().items:
+            if isinstance(x, str) or x.gone:
+                continue
+            if x.tag in BLOCK and x.tag not in WHOLE and 2 * x.weight < scope.weight and not (x.around and (x.tag in ITEMS or 2 * x.weight >= x.around.weight)):
+                yield x
+            work.append(x)
+
+
+def prune(scope: Node, nodes: list[Node], recurring: set[int]) -> None:
+    """Marks what a template deletes as gone."""
+    for x in nodes:
+        if x.shell in recurring:
+            x.gone = True
+    hits = [x for x in copies_of(scope) if x.key in recurring]
+    inside, words = set(), 0
+    for x in hits:  # of nested hits the outer one counts
+        up = x.up
+        while up is not None and up not in inside:
+            up = up.up
+        if up is None:
+            inside.add(x)
+            words += x.words
+    if not words or 2 * words < scope.words:
+        for x in inside:
+            x.gone = True
 
 
 def blocks(node: Node) -> list[str]:
@@ -275,7 +302,7 @@ def blocks(node: Node) -> list[str]:
             if edge:
                 flush()
                 work.append(None)
-            work.extend(reversed(x.items))
+            work.extend(y for y in reversed(x.items) if isinstance(y, str) or not y.gone)
     flush()
     return out
 
@@ -283,18 +310,19 @@ def blocks(node: Node) -> list[str]:
 def text_of(html: str | None, recurring: set[int]) -> str:
     if not html:
         return ""
-    root = parse(html)
+    nodes, scope, core = survey(parse(html))
     if recurring:
-        hashed(root)
-    prune(root, recurring)
-    return "\n".join(blocks(main_node(root)))
+        hashed(nodes, core)
+        prune(scope, nodes, recurring)
+    return "\n".join(blocks(scope))
 
 
 def subtrees(html: str) -> tuple[int, list[int], list[int]]:
     """Hashes of a page: whole, shell and copies, as signed integers."""
-    nodes = hashed(parse(html))
+    nodes, scope, core = survey(parse(html))
+    hashed(nodes, core)
     shells = {x.shell for x in nodes if x.shell is not None}
-    copies = {x.key for _, open_ in kept_nodes(nodes[0], None) for x in open_}
+    copies = {x.key for x in copies_of(scope)}
     signed = lambda keys: [k - (1 << 63) for k in sorted(keys)]
     return nodes[0].key - (1 << 63), signed(shells), signed(copies)
 

@@ -253,6 +253,61 @@ def test_repeats_inside_an_article_stay(spark):
     assert all(len(x) == 6 and x[2:] == ["Serves four people", "Price", str(i), f"own {i}"] for i, x in got.items())
 
 
+def texts_of(spark, pages):
+    return {r.page_id: r.text for r in html_text.extract(spark, table_of(spark, pages, "page_id long, url string, html string")).collect()}
+
+
+def test_posts_stay_below_longer_comments(spark):
+    rng = random.Random(7)
+    line = lambda k: " ".join(syllables(rng, 2) for _ in range(k))
+    post = {i: [line(12) for _ in range(3)] for i in range(8)}
+    paragraphs = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+    page = '<body><div class="post">{}</div><div class="comments">{}</div></body>'
+    pages = [(i, f"http://blog.example/{i}", page.format(paragraphs(x), paragraphs(line(30) for _ in range(6)))) for i, x in post.items()]
+    assert texts_of(spark, pages) == {i: "\n".join(x) for i, x in post.items()}
+    # Nor do they go where no class tells the comments.
+    pages = [(i, u, h.replace('"comments"', '"below"')) for i, u, h in pages]
+    assert all(t.startswith("\n".join(post[i])) and t.count("\n") == 8 for i, t in texts_of(spark, pages).items())
+
+
+def test_articles_split_over_siblings_stay_whole(spark):
+    rng = random.Random(8)
+    line = lambda k: " ".join(syllables(rng, 2) for _ in range(k))
+    parts = {i: [line(9), *[line(25) for _ in range(4)], line(11)] for i in range(8)}
+    page = '<body><div class="lead"><p>{0}</p></div><div class="x1"><p>Buy two and pay for one only here.</p></div><div class="story"><p>{1}</p><p>{2}</p><p>{3}</p></div><div class="more"><p>{4}</p><p>{5}</p></div></body>'
+    pages = [(i, f"http://news.example/{i}", page.format(*x)) for i, x in parts.items()]
+    assert texts_of(spark, pages) == {i: "\n".join(x) for i, x in parts.items()}
+    alone = texts_of(spark, [(1, "http://one.example/", page.format(*parts[0]))])
+    assert alone == {1: "\n".join([parts[0][0], "Buy two and pay for one only here.", *parts[0][1:]])}
+
+
+def test_adverts_inside_articles_go(spark):
+    """Whole copies in 12 pages of a site, counted here from the markup itself."""
+    rng = random.Random(9)
+    line = lambda k: " ".join(syllables(rng, 2) for _ in range(k))
+    adverts = [f'<div class="y{k}"><p>{line(6)}</p></div>' for k in range(3)]
+    texts = {i: [line(5), line(30), line(20)] for i in range(12)}
+    html = {i: f"<body><article><h1>{t[0]}</h1><p>{t[1]}</p>{adverts[i % 3]}<p>{t[2]}</p></article></body>" for i, t in texts.items()}
+    pages = [(i, f"http://ads.example/{i}", h) for i, h in html.items()]
+    counts = Counter(x for h in set(html.values()) for x in set(re.findall(r'<div class="y\d">.*?</div>', h)))
+    gone = {x for x, n in counts.items() if n >= 5}
+    assert gone == set() and all(len(t.split("\n")) == 4 for t in texts_of(spark, pages).values())
+    pages += [(100 + i, f"http://ads.example/more/{i}", f"<body><article><h1>{line(5)}</h1><p>{line(30)}</p>{adverts[0]}</article></body>") for i in range(2)]
+    got = texts_of(spark, pages)
+    counts.update({adverts[0]: 2})
+    gone = {x for x, n in counts.items() if n >= 5}
+    assert gone == {adverts[0]}
+    assert [i for i, t in sorted(got.items()) if len(t.split("\n")) == (4 if i < 100 else 3)] == [i for i in sorted(texts) if adverts[i % 3] not in gone]
+
+
+def test_an_article_printed_often_stays(spark):
+    rng = random.Random(10)
+    line = lambda k: " ".join(syllables(rng, 2) for _ in range(k))
+    body = "".join(f"<div><p>{line(20)}</p></div>" for _ in range(6))
+    pages = [(i, f"http://print.example/{i}", f"<body><p>{line(8)}</p>{body}</body>") for i in range(9)]
+    assert all(t.count("\n") == 6 for t in texts_of(spark, pages).values())
+
+
 def test_comments_go_whatever_the_case():
     for name in ("commentList", "CommentThread", "COMMENTS", "user-comments", "comments_section", "reader-comments"):
         assert html_text.text_of(f'<body><article><p>Text</p><div class="{name}"><p>Reader</p></div></article></body>', set()) == "Text", name
