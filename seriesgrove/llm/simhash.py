@@ -28,7 +28,8 @@ The near_dedup stage of the pipeline (``keep``) has a setting of its own:
 five-word shingles and Jaccard similarity of 0.8 or more, where 64-bit
 fingerprints lie about ten bits apart and no band of the index need agree.  It
 finds candidates by banded MinHash keys and drops a document only after an
-exact comparison of the shingle sets.
+exact comparison of the shingle sets.  All rows that share a band key are
+compared, unless they are in one component already.
 """
 
 from __future__ import annotations
@@ -40,12 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored, table, with_row_id, without
+from .common import components, small, stored, table, with_row_id, without
 
 WORDS, RADIUS = 3, 3
 #: The pipeline's stage: a pair of the least similarity shares no band key with probability (1 - 0.8 ** ROWS) ** BANDS, 0.00005.
 STAGE_WORDS, SIMILARITY, BANDS, ROWS, STAGE_SEED = 5, 0.8, 25, 5, 11
 BLOCK = 1 << 14
+RUN_ROWS, RUN_HASHES = 256, 1 << 18  # of a block in which long runs of the stage are compared
 FAN = 8
 ASKED, STATES = 1 << 13, 1 << 16  # patterns that start a search together; search states of one level
 
@@ -390,6 +392,92 @@ def candidates(spark: SparkSession, keys: DataFrame) -> DataFrame:
     return found.where("kind = 0").select("a", "b").unionByName(links).distinct()
 
 
+def jaccard(x: list[np.ndarray], y: list[np.ndarray], part: int = 1 << 14) -> np.ndarray:
+    """Similarities of two lists of sets of distinct hashes, by products of incidence matrices, ``part`` shared hashes at a time."""
+    (u, at), (v, to) = ((np.concatenate(z), np.repeat(np.arange(len(z)), [len(w) for w in z])) for z in (x, y))
+    both = np.intersect1d(u, v)
+    shared = np.zeros((len(x), len(y)))
+    for i in range(0, len(both), part):
+        seen = both[i : i + part]
+        marks = []
+        for h, r, n in ((u, at, len(x)), (v, to, len(y))):
+            k = np.minimum(np.searchsorted(seen, h), len(seen) - 1)
+            hit = seen[k] == h
+            m = np.zeros((n, len(seen)), np.float32)
+            m[r[hit], k[hit]] = 1
+            marks.append(m)
+        shared += marks[0] @ marks[1].T
+    size = lambda z: np.array([len(w) for w in z], float)
+    return shared / (size(x)[:, None] + size(y)[None] - shared)
+
+
+def links_in_runs(spark: SparkSession, keys: DataFrame, held: DataFrame, joined: DataFrame) -> DataFrame:
+    """(u, v): links between the components ``joined`` (_row, root) that rows with a common band key still have.
+
+    ``candidates`` compares a row of a long run with a few others.  Here the
+    rest is compared, exactly: in every run of more than three rows (fewer have
+    all been compared) that holds several components, each row outside of the
+    run's largest component meets all rows of other components.  So a run of
+    copies of one text costs nothing, whatever its length.  Runs are cut into
+    blocks in order of set size; blocks whose sizes rule out the similarity don't
+    meet, and pairs of blocks are dealt to tasks.  Links are told as spanning links of components.
+    """
+    tagged = keys.join(joined, "_row", "left").select("_row", F.coalesce("root", "_row").alias("root"), F.explode("keys").alias("key"))
+    runs = tagged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    runs = stored(spark, runs.where("n > 3 and low <> high").select("key"), "runs")
+    inside = stored(spark, tagged.join(small(runs), "key"), "inside")
+    largest = inside.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    sizes = held.select("_row", F.size("s").alias("n"))
+    order = ["key", "rest", "n", "_row"]
+    rows = inside.join(small(stored(spark, largest, "largest")), "key").join(sizes, "_row").select("key", (F.col("root") == F.col("main")).alias("rest"), "n", "_row", "root")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        serial, now, total, count = TaskContext.get().partitionId() << 32, None, 0, 0
+        for b in batches:
+            key, rest, n, row, root = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            block = np.zeros(len(row), np.int64)
+            for i, at in enumerate(zip(key.tolist(), rest.tolist(), strict=True)):
+                total += int(n[i])
+                count = count + 1 if at == now else RUN_ROWS + 1
+                if count > RUN_ROWS or total > RUN_HASHES:
+                    serial, now, total, count = serial + 1, at, int(n[i]), 1
+                block[i] = serial
+            yield pa.RecordBatch.from_arrays([pa.array(block), *b.columns], names=["block", *order[:3], "_row", "root"])
+
+    cuts = stored(spark, rows.mapInArrow(cut, "block long, key long, rest boolean, n int, _row long, root long"), "cuts")
+    blocks = cuts.groupBy("block").agg(F.first("key").alias("key"), F.first("rest").alias("rest"), F.min("n").alias("low"), F.max("n").alias("high"))
+    blocks = stored(spark, blocks, "blocks")
+    other = blocks.select("key", *[F.col(c).alias(c + "2") for c in ("block", "rest", "low", "high")])
+    met = (F.col("rest2") | (F.col("block") <= F.col("block2"))) & (F.col("high") >= SIMILARITY * F.col("low2") - 1e-9) & (F.col("high2") >= SIMILARITY * F.col("low") - 1e-9)
+    pairs = blocks.where("not rest").join(other, "key").where(met).select("block", "block2")
+    sets = cuts.join(held, "_row").groupBy("block").agg(F.collect_list(F.struct("root", "s")).alias("x"))  # RUN_ROWS at most, RUN_HASHES or one row
+    both = pairs.join(sets, "block").join(sets.select(F.col("block").alias("block2"), F.col("x").alias("y")).hint("shuffle_merge"), "block2")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                sides = []
+                for c in (0, 1):
+                    at = b.column(c)[i].values
+                    s = at.field("s")
+                    flat, ends = s.values.to_numpy(), s.offsets.to_numpy()
+                    sides.append((at.field("root").to_numpy(), [flat[p:q] for p, q in zip(ends, ends[1:], strict=False)]))
+                (u, x), (v, y) = sides
+                p, q = np.nonzero((jaccard(x, y) >= SIMILARITY - 1e-9) & (u[:, None] != v[None]))
+                if len(p):
+                    ends = np.unique(np.stack([np.minimum(u[p], v[q]), np.maximum(u[p], v[q])]), axis=1)
+                    nodes, at = np.unique(ends, return_inverse=True)
+                    at = at.reshape(ends.shape)
+                    label = roots(len(nodes), at[0], at[1])
+                    moved = np.flatnonzero(label != np.arange(len(nodes)))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["u", "v"])
+
+    return both.select("x", "y").mapInArrow(compare, "u long, v long")
+
+
 def similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(_row, doc_id, root) for every row of ``docs`` with a near copy: components of pairs whose Jaccard similarity reaches ``SIMILARITY``."""
     rows = with_row_id(docs.select("doc_id", "text")).select("_row", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -414,7 +502,13 @@ def similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     near = both.where(shared >= F.lit(SIMILARITY) * (F.size("x") + F.size("y") - shared) - 1e-9)
-    return components(spark, near.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "_row").join(keys.select("_row", "doc_id"), "_row")
+    first = stored(spark, components(spark, near.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "_row"), "first")
+    more = stored(spark, links_in_runs(spark, keys, held, first), "more")
+    merged = components(spark, more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    # Rows that the second step alone has linked are components of their own before it.
+    alone = merged.join(first.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("_row"), F.col("top").alias("root"))
+    whole = first.join(merged, "root", "left").select("_row", F.coalesce("top", "root").alias("root")).unionByName(alone)
+    return whole.join(keys.select("_row", "doc_id"), "_row")
 
 
 def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -371,6 +371,32 @@ def test_run_over_many_blocks(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+@pytest.mark.parametrize(("pairs", "own", "same"), [(400, 40, 12), (20, 40, 12), (300, 60, 37)])
+def test_mates_in_dense_families(spark, monkeypatch, pairs, own, same):
+    """Documents that share most of their text but lie below the similarity, each with one mate above it."""
+    monkeypatch.setattr(simhash, "RUN_ROWS", 64)
+    rng = random.Random(pairs)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    common, rows = [word() for _ in range(260)], []
+    for k in range(pairs):
+        first = [word() for _ in range(own)]
+        rows += [(2 * k, " ".join(common + first)), (2 * k + 1, " ".join(common + first[:same] + [word() for _ in range(own - same)]))]
+    sets = {i: set(simhash.stage_shingles(t.encode()).tolist()) for i, t in rows}
+    near = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert all(near(2 * k, 2 * k + 1) >= 0.8 for k in range(pairs)) and max(near(0, 2 * k) for k in range(1, pairs)) < 0.79
+    got = {r.doc_id: r.root for r in simhash.similar(spark, table_of(spark, rows, "doc_id long, text string")).collect()}
+    found = sum(got.get(2 * k, -1) == got.get(2 * k + 1, -2) for k in range(pairs))
+    assert found >= 0.99 * pairs
+    assert len({got[2 * k] for k in range(pairs) if 2 * k in got}) >= found  # families stay apart
+
+
+def test_jaccard_of_blocks():
+    rng = np.random.default_rng(2)
+    x, y = ([np.unique(rng.integers(0, 300, n)) for n in rng.integers(1, 200, k)] for k in (7, 9))
+    want = [[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in y] for a in x]
+    assert np.allclose(simhash.jaccard(x, y, 50), want) and np.allclose(simhash.jaccard(x, y), want)
+
+
 def test_candidates_do_not_depend_on_the_ranges(spark, monkeypatch):
     """One key of a third of the rows, and others; the same links, by row and by doc_id, however the rows are cut."""
     monkeypatch.setattr(simhash, "BANDS", 3)
