@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import spread
+from . import splines
 
 VOLUME = "series string, size array<int>, spacing array<double>, origin array<double>, direction array<double>, voxels binary"
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 BATCH_BYTES = 32 << 20
+INTERPOLATIONS = ("nearest", "linear", "bspline")
 
 
 def array_of(voxels: bytes, size: list[int]) -> np.ndarray:
@@ -104,6 +106,11 @@ def _kernel(sigma: float) -> np.ndarray:
     return k / k.sum()
 
 
+def reach(sigma: float) -> int:
+    """How far a smoothing looks."""
+    return len(_kernel(sigma)) // 2 if sigma > 0 else 0
+
+
 def smooth(a: np.ndarray, sigma: tuple[float, float, float]) -> np.ndarray:
     """Gaussian along x, y, z with the edge value continued; 0 leaves an axis."""
     for axis, s in zip((2, 1, 0), sigma, strict=True):
@@ -115,16 +122,28 @@ def smooth(a: np.ndarray, sigma: tuple[float, float, float]) -> np.ndarray:
     return a
 
 
-def sample(a: np.ndarray, points: np.ndarray, how: str = "linear", outside: float = 0.0) -> np.ndarray:
-    """Values at (n, 3) index points in x, y, z; points outside the grid give ``outside``."""
-    size = np.array(a.shape[::-1])
-    inside = ((points >= -0.5) & (points <= size - 0.5)).all(axis=1)
-    p = np.clip(points, 0, size - 1)
+def sample(a: np.ndarray, points: np.ndarray, how: str = "linear", outside: float = 0.0, size: tuple[int, int, int] | None = None, start: tuple[int, int, int] = (0, 0, 0)) -> np.ndarray:
+    """Values at (n, 3) index points in x, y, z by ``nearest``, ``linear`` or ``bspline`` (cubic); points outside the grid give ``outside``.
+
+    ``a`` may be the part of a grid of ``size`` that begins at ``start``; it must
+    hold what lies about the points, for ``bspline`` ``splines.HALO`` voxels more.
+    """
+    if how not in INTERPOLATIONS:
+        raise ValueError(f"the interpolation must be one of {', '.join(INTERPOLATIONS)}, not {how!r}")
+    whole, begin = np.array(size or a.shape[::-1]), np.array(start)
+    inside = ((points >= -0.5) & (points <= whole - 0.5)).all(axis=1)
+    if how == "bspline":
+        out = np.full(len(points), float(outside))
+        if inside.any():
+            out[inside] = splines.evaluate(splines.coefficients(a), points[inside] - begin)
+        return out
+    part = np.array(a.shape[::-1])
+    p = np.clip(np.clip(points, 0, whole - 1) - begin, 0, part - 1)
     if how == "nearest":
-        i = np.minimum(np.floor(p + 0.5).astype(int), size - 1)
+        i = np.minimum(np.floor(p + 0.5).astype(int), part - 1)
         return np.where(inside, a[i[:, 2], i[:, 1], i[:, 0]], outside)
-    low = np.minimum(np.floor(p).astype(int), np.maximum(size - 2, 0))
-    t, high = p - low, np.minimum(low + 1, size - 1)
+    low = np.minimum(np.floor(p).astype(int), np.maximum(part - 2, 0))
+    t, high = p - low, np.minimum(low + 1, part - 1)
     out = np.zeros(len(p))
     for dx in (0, 1):
         for dy in (0, 1):
@@ -176,10 +195,15 @@ def zoom(rows: DataFrame, factor: float, how: str = "linear") -> DataFrame:
     return map_volumes(rows, f)
 
 
+def euler(angles: tuple[float, float, float]) -> np.ndarray:
+    """The rotation about x, y, z by ``angles``: y first, then x, then z."""
+    (cx, cy, cz), (sx, sy, sz) = np.cos(angles), np.sin(angles)
+    return np.array([[cz, -sz, 0], [sz, cz, 0], [0, 0, 1]]) @ np.array([[1, 0, 0], [0, cx, -sx], [0, sx, cx]]) @ np.array([[cy, 0, sy], [0, 1, 0], [-sy, 0, cy]])
+
+
 def rotate(rows: DataFrame, centre: tuple[float, float, float], angles: tuple[float, float, float], how: str = "linear") -> DataFrame:
     """Euler rotation (radians about x, y, z) about an index."""
-    (cx, cy, cz), (sx, sy, sz) = np.cos(angles), np.sin(angles)
-    m = np.array([[cz, -sz, 0], [sz, cz, 0], [0, 0, 1]]) @ np.array([[1, 0, 0], [0, cx, -sx], [0, sx, cx]]) @ np.array([[cy, 0, sy], [0, 1, 0], [-sy, 0, cy]])
+    m = euler(angles)
 
     def f(a: np.ndarray, spacing: tuple, origin: tuple):  # noqa: ANN202
         s = np.array(spacing)
@@ -275,12 +299,13 @@ def like(rows: DataFrame, how: str = "linear", outside: float = 0.0, ref: str =
     return map_rows(rows, one)
 
 
-def bias_correct(rows: DataFrame, levels: int = 3, rounds: int = 20, bins: int = 64) -> DataFrame:
+def bias_correct(rows: DataFrame, levels: int = 4, rounds: int = 50, bins: int = 200) -> DataFrame:
     """Removes a smooth multiplicative field from MR volumes; others, and volumes without positive values, stay as they are.
 
-    In the manner of N4: the log-intensity histogram is sharpened by
-    deconvolution, and the difference to the sharpened values is smoothed by a
-    wide Gaussian, wide first and narrower by level, and taken off.
+    By N4: the log-intensity histogram is sharpened by deconvolution, and a cubic
+    B-spline fitted to the differences to the sharpened values is taken off, again
+    and again, until the field hardly changes; every level has twice the spline's
+    pieces along each axis.
     """
 
     def one(r: dict) -> dict:
@@ -295,19 +320,21 @@ def bias_correct(rows: DataFrame, levels: int = 3, rounds: int = 20, bins: int =
     return map_rows(rows, one)
 
 
-def bias_field(log: np.ndarray, inside: np.ndarray, levels: int, rounds: int, bins: int) -> np.ndarray:
-    """The smooth part of log intensities, with mean 0 inside."""
-    field = np.zeros_like(log)
+def bias_field(log: np.ndarray, inside: np.ndarray, levels: int = 4, rounds: int = 50, bins: int = 200, threshold: float = 1e-3) -> np.ndarray:
+    """The smooth part of log intensities, with mean 0 inside; a level ends when the field's ratio to the one before varies by less than ``threshold``."""
+    controls, spans = np.zeros((4, 4, 4)), (1, 1, 1)
     for level in range(levels):
-        sigma = tuple(max(n / 4 / 2**level, 1.0) if n > 1 else 0.0 for n in log.shape[::-1])
-        weight = np.maximum(smooth(inside.astype(float), sigma), 1e-6)
+        if level:
+            controls, spans = splines.refined(controls), tuple(2 * s for s in spans)
         for _ in range(rounds):
-            rest = smooth(np.where(inside, log - field - sharpened(log - field, inside, bins), 0.0), sigma) / weight
-            field += rest
-            if np.abs(rest[inside]).mean() < 1e-3:
+            left = log - splines.surface(controls, log.shape)
+            step = splines.approximate(left - sharpened(left, inside, bins), inside, spans)
+            controls = controls + step
+            change = np.exp(splines.surface(step, log.shape)[inside])
+            if change.std() <= threshold * change.mean():
                 break
-        field -= field[inside].mean()
-    return field
+    field = splines.surface(controls, log.shape)
+    return field - field[inside].mean()
 
 
 def sharpened(v: np.ndarray, inside: np.ndarray, bins: int, width: float = 0.15, noise: float = 0.01) -> np.ndarray:

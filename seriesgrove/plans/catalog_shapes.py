@@ -1,11 +1,11 @@
-"""Queries over the shape of masks: components across blocks, surfaces, principal axes."""
+"""Queries over the shape of masks (components across blocks, surfaces, principal axes), spline interpolation and volumes in blocks."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import shapes
+from ..operators import blocks, shapes, volumes
 from . import views as V
 from .catalog import query, r4
 from .views import table
@@ -77,3 +77,62 @@ e AS (SELECT series, channel, n, greatest((t - e3) / 2 - w, 0) AS e1, greatest((
 def shape_ratios(spark, sf):  # noqa: ANN001, ANN201
     m = shapes.Shapes(V.masks(spark, sf), side=4).statistics()
     return m.select("series", "channel", F.round("elongation", 3).alias("elongation"), F.round("flatness", 3).alias("flatness"))
+
+
+# --- splines and blocks -----------------------------------------------------------
+
+#: Every embedding as 64 voxels in a row, sampled at steps of 0.75 by the cubic spline through its samples; a coefficient is the sum of the mirrored samples, each weighed by the inverse filter's answer at its distance.
+LINE = f"""s AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i)),
+c AS (SELECT s.vec_id, k, sum(v * w) AS c FROM (SELECT k, 63 - abs(63 - ((k + j) % 126 + 126) % 126) AS i, sqrt(3) * pow(sqrt(3) - 2, abs(j)) AS w FROM range(64) a(k), range(-45, 46) b(j)) f JOIN s USING (i) GROUP BY ALL),
+p AS (SELECT o, o * 0.75::DOUBLE AS x, floor(o * 0.75::DOUBLE)::BIGINT AS low FROM range(85) t(o)),
+r AS (SELECT vec_id, o, sum(c * CASE j WHEN -1 THEN pow(1 - (x - low), 3) WHEN 0 THEN 3 * pow(x - low, 3) - 6 * pow(x - low, 2) + 4 WHEN 1 THEN -3 * pow(x - low, 3) + 3 * pow(x - low, 2) + 3 * (x - low) + 1 ELSE pow(x - low, 3) END) / 6 AS v
+  FROM p, range(-1, 3) t(j) JOIN c ON c.k = 63 - abs(63 - ((low + j) % 126 + 126) % 126) GROUP BY ALL)"""
+
+
+def placed_sum(rows):  # noqa: ANN001, ANN201
+    """vec_id, total and a total that weighs places, of volumes of one row."""
+    found = volumes.map_rows(rows.withColumn("at", F.lit(None).cast("double")), lambda r: {"at": float((volumes.array_of(r["voxels"], r["size"]).astype(float).ravel() * np.arange(int(np.prod(r["size"])))).sum())})
+    return volumes.fingerprint(found).select("series", "v_sum").join(found.select("series", "at"), "series").select(F.col("series").cast("long").alias("vec_id"), F.round("v_sum", 3).alias("total"), F.round("at", 2).alias("placed"))
+
+
+@query("resample_bspline", f"WITH {LINE} SELECT vec_id, round(sum(v), 3) AS total, round(sum(v * o), 2) AS placed FROM r GROUP BY vec_id")
+def resample_bspline(spark, sf):  # noqa: ANN001, ANN201
+    v = volumes.pack(table(spark, sf, "embeddings"), "vec_id", "embedding", (64, 1, 1))
+    return placed_sum(volumes.resample(v, (0.75, 0.0, 0.0), "bspline"))
+
+
+@query("resample_blocks", f"WITH {LINE} SELECT vec_id, round(sum(v), 3) AS total, round(sum(v * o), 2) AS placed FROM r GROUP BY vec_id")
+def resample_blocks(spark, sf):  # noqa: ANN001, ANN201
+    """The same from and to blocks of 32 voxels a side."""
+    v = volumes.pack(table(spark, sf, "embeddings"), "vec_id", "embedding", (64, 1, 1))
+    return placed_sum(blocks.merge(blocks.resample(blocks.split(v, 32), (0.75, 0.0, 0.0), "bspline", side=32), 32).withColumn("error", F.lit(None).cast("string")))
+
+
+# --- bias -------------------------------------------------------------------------
+
+
+def phantom(embedding, k: int) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Two tissues in cubes of 4 voxels, by the embedding's signs, and the log of a smooth field: a slope, a bow or a wave by k."""
+    a = np.where(np.asarray(embedding, np.float64).reshape(4, 4, 4) > 0, 200.0, 100.0).repeat(4, 0).repeat(4, 1).repeat(4, 2)
+    z, y, x = (np.indices(a.shape) + 0.5) / 16 - 0.5
+    field = (0.5 * x - 0.3 * z, 0.8 * (x * x + y * y) - 0.2 * y, 0.25 * np.sin(3 * x) * np.cos(2 * y) + 0.2 * z)[k % 3]
+    return a, field - field.mean()
+
+
+@query("bias_field", "SELECT vec_id, true AS mended FROM embeddings")
+def bias_field(spark, sf):  # noqa: ANN001, ANN201
+    """Whether the correction takes the field off (below a third of its spread), for each embedding's phantom."""
+
+    def made(r: dict) -> dict:
+        a, field = phantom(np.frombuffer(r["voxels"], "<f4"), int(r["series"]))
+        return {"size": [16] * 3, "voxels": (a * np.exp(field)).astype("<f4").tobytes()}
+
+    v = volumes.pack(table(spark, sf, "embeddings"), "vec_id", "embedding", (4, 4, 4)).withColumn("plain", F.col("voxels")).withColumn("mended", F.lit(None).cast("boolean"))
+
+    def judged(r: dict) -> dict:
+        a, field = phantom(np.frombuffer(r["plain"], "<f4"), int(r["series"]))
+        left = np.log(volumes.array_of(r["voxels"], r["size"])) - np.log(a)
+        return {"mended": bool(left.std() < field.std() / 3)}
+
+    done = volumes.map_rows(volumes.bias_correct(volumes.map_rows(v, made), levels=2, rounds=15, bins=100), judged)
+    return done.select(F.col("series").cast("long").alias("vec_id"), "mended")
