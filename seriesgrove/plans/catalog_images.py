@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spatial as G
 from ..operators import forest, roi, volumes, voxel
-from ..sources import dicom, series, structures
+from ..sources import dicom, pixels, series, structures
 from . import views as V
 from .catalog import query, r4
 from .views import table
@@ -64,6 +64,54 @@ def dicom_ct_volume(spark, sf):  # noqa: ANN001, ANN201
     return numbered(found)
 
 
+def encapsulated_headers(r: dict) -> list[dict]:
+    """Slices by run lengths, lossless JPEG of any prediction, deflated and big-endian, in turn by series."""
+    k = r["vec_id"] % 10
+    out = []
+    for h in image_headers(r, "CT", RescaleSlope="2", RescaleIntercept="-100"):
+        a = np.frombuffer(h["PixelData"], "<i2").reshape(4, 4)
+        stored = a.view("<u2")
+        syntax, data = (
+            (pixels.LOSSLESS, pixels.encapsulated([pixels.encode_lossless(stored, k + 1)])) if k < 7 else (pixels.RUN_LENGTH, pixels.encapsulated([pixels.encode_runs(stored)])) if k == 7
+            else (pixels.DEFLATED, a.tobytes()) if k == 8 else (pixels.BIG, a.astype(">i2").tobytes())
+        )
+        out.append(h | {"TransferSyntaxUID": syntax, "PixelData": data})
+    return out
+
+
+def values_of(rows: DataFrame) -> DataFrame:
+    """series, n_voxels, least, greatest and total of the values, and a total that weighs places."""
+    z, y, x = np.meshgrid(np.arange(4) + 1, np.arange(4) + 2, np.arange(4) + 3, indexing="ij")
+    weight = (z * y * x).astype("<f8")
+    placed = volumes.map_rows(rows.withColumn("placed", F.lit(None).cast("double")), lambda r: {"placed": float((volumes.array_of(r["voxels"], r["size"]).astype(float) * weight).sum())})
+    return placed.select("series", "placed").join(volumes.fingerprint(placed).select("series", "v_min", "v_max", "v_sum", "n_voxels"), "series")
+
+
+@query(
+    "dicom_compressed_volume",
+    f"WITH {STORED} SELECT vec_id, min(v * 2 - 100)::DOUBLE AS v_min, max(v * 2 - 100)::DOUBLE AS v_max, sum(v * 2 - 100)::DOUBLE AS v_sum, sum((v * 2 - 100) * (z + 1) * (y + 2) * (x + 3))::DOUBLE AS placed, "
+    "count(*)::BIGINT AS n_voxels FROM st GROUP BY vec_id",
+)
+def dicom_compressed_volume(spark, sf):  # noqa: ANN001, ANN201
+    return numbered(values_of(read_back(spark, sf, encapsulated_headers)))
+
+
+@query(
+    "dicom_uneven_series",
+    "SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'steps between slices from 2.5 to 5' WHEN 1 THEN '1 slices stand at another''s place' WHEN 2 THEN 'the slices'' orientations differ' END AS geometry FROM embeddings",
+)
+def dicom_uneven_series(spark, sf):  # noqa: ANN001, ANN201
+    def headers(r: dict) -> list[dict]:
+        k, out = r["vec_id"] % 4, image_headers(r, "CT")
+        if k == 0:
+            return [h for h in out if h["InstanceNumber"] != "1"]
+        if k == 1:
+            return [*out, out[1] | {"SOPInstanceUID": "again"}]
+        return [h | {"ImageOrientationPatient": ["0", "1", "0", "1", "0", "0"]} if k == 2 and h["InstanceNumber"] == "3" else h for h in out]
+
+    return numbered(read_back(spark, sf, headers).select("series", F.element_at("meta", F.lit("geometry")).alias("geometry")))
+
+
 @query("dicom_scan_direction", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN '1,0,0,0,-1,0,0,0,1' WHEN vec_id % 3 = 1 THEN '1,0,0,0,-1,0,0,0,-1' ELSE '1,0,0,0,1,0,0,0,1' END AS direction FROM embeddings")
 def dicom_scan_direction(spark, sf):  # noqa: ANN001, ANN201
     def headers(r: dict) -> list[dict]:
@@ -186,6 +234,24 @@ def rtstruct_masks(spark, sf):  # noqa: ANN001, ANN201
     return numbered(rows.select("series", "roi_key", F.array_join("roi_names", "|").alias("roi_names"), "channel").join(count, "series"))
 
 
+@query(
+    "rtstruct_reordered",
+    "SELECT vec_id, roi, CASE WHEN roi = 'marker' OR (roi = 'gtv node' AND vec_id % 3 = 0) THEN 'ROIContourExtractionError' END AS error, CASE WHEN vec_id % 3 > 0 OR n = 2 THEN n END::BIGINT AS n_contours "
+    "FROM embeddings, (VALUES ('gtv main', 2), ('gtv node', 1), ('marker', NULL)) t(roi, n)",
+)
+def rtstruct_reordered(spark, sf):  # noqa: ANN001, ANN201
+    """Contour items in another order than the names, or without those of one region."""
+
+    def header(r: dict) -> list[dict]:
+        h = structure_header(r)[0]
+        main, node, marker = h["ROIContourSequence"]
+        return [h | {"ROIContourSequence": ([marker, main], [marker, node, main], [main, node, marker])[r["vec_id"] % 3]}]
+
+    found = regions(spark, sf, header)
+    error = F.nullif(F.regexp_extract("error", r"^(\w+)", 1), F.lit(""))
+    return numbered(found.select("series", "roi", error.alias("error"), F.when(F.col("contours").isNotNull(), F.size("contours")).cast("long").alias("n_contours")))
+
+
 SEGMENTS = "(SELECT vec_id, i, CASE WHEN embedding[i + 1]::DOUBLE > 0.1::DOUBLE THEN 'high' WHEN embedding[i + 1]::DOUBLE < -0.1::DOUBLE THEN 'low' END AS roi_key FROM embeddings, range(64) t(i))"
 
 

@@ -1,13 +1,15 @@
 """DICOM headers to rows: a tag walker over bytes, and an encoder for fixtures.
 
-The walker reads explicit and implicit little-endian data sets, nested and
-undefined-length sequences, and stops before the pixel data.  A file that
+The walker reads explicit and implicit, big-endian and deflated data sets, nested
+and undefined-length sequences, fragments of encapsulated pixels, and stops
+before the pixel data where only the header is asked for.  A file that
 cannot be read becomes a row with ``error`` set.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,19 +20,20 @@ from .. import storage
 from ..errors import InvalidDicomError
 from .dicom_tags import BASE, BY_MODALITY, COMPUTED, NAMES, TAGS
 from .files import find_dicoms
+from .pixels import BIG, DEFLATED, EXPLICIT, IMPLICIT
 
-LONG = frozenset(("OB", "OW", "OF", "OD", "OL", "SQ", "UC", "UN", "UR", "UT"))
+LONG = frozenset(("OB", "OW", "OF", "OD", "OL", "OV", "SQ", "SV", "UC", "UN", "UR", "UT", "UV"))
 UNDEFINED = 0xFFFFFFFF
 STOPPED = -1  # where the walk ends when it meets the pixels
 ITEM, ITEM_END, SEQUENCE_END = 0xFFFEE000, 0xFFFEE00D, 0xFFFEE0DD
 PIXELS = TAGS["PixelData"][0]
 HEAD = 1 << 17  # bytes of a file that are read for its header at first
-NUMBERS = {"US": "<H", "SS": "<h", "UL": "<I", "SL": "<i", "FL": "<f", "FD": "<d"}
+NUMBERS = {"US": "H", "SS": "h", "UL": "I", "SL": "i", "FL": "f", "FD": "d"}
 
 
-def _value(vr: str, raw: bytes):  # noqa: ANN202
+def _value(vr: str, raw: bytes, order: str = "<"):  # noqa: ANN202
     if vr in NUMBERS:
-        kind = struct.Struct(NUMBERS[vr])
+        kind = struct.Struct(order + NUMBERS[vr])
         got = [kind.unpack_from(raw, i)[0] for i in range(0, len(raw) - kind.size + 1, kind.size)]
         return got[0] if len(got) == 1 else got
     if vr in LONG:
@@ -39,10 +42,10 @@ def _value(vr: str, raw: bytes):  # noqa: ANN202
     return parts[0] if len(parts) == 1 else parts
 
 
-def _walk(data: bytes, at: int, end: int, explicit: bool, pixels: bool) -> tuple[dict, int]:
+def _walk(data: bytes, at: int, end: int, explicit: bool, pixels: bool, order: str = "<") -> tuple[dict, int]:
     out: dict = {}
     while at + 8 <= end:
-        group, element = struct.unpack_from("<HH", data, at)
+        group, element = struct.unpack_from(order + "HH", data, at)
         tag = group << 16 | element
         if tag in (ITEM_END, SEQUENCE_END):
             return out, at + 8
@@ -51,36 +54,51 @@ def _walk(data: bytes, at: int, end: int, explicit: bool, pixels: bool) -> tuple
         if explicit and group != 0xFFFE:
             vr = data[at + 4 : at + 6].decode("ascii", "replace")
             if vr in LONG:
-                length, at = struct.unpack_from("<I", data, at + 8)[0], at + 12
+                length, at = struct.unpack_from(order + "I", data, at + 8)[0], at + 12
             else:
-                length, at = struct.unpack_from("<H", data, at + 6)[0], at + 8
+                length, at = struct.unpack_from(order + "H", data, at + 6)[0], at + 8
         else:
             vr = TAGS[NAMES[tag]][1] if tag in NAMES else "UN"
-            length, at = struct.unpack_from("<I", data, at + 4)[0], at + 8
+            length, at = struct.unpack_from(order + "I", data, at + 4)[0], at + 8
         name = NAMES.get(tag, f"{tag:08X}")
-        if tag == PIXELS and length == UNDEFINED:  # encapsulated frames, which are not decoded
-            out[name] = None
-            return out, end
+        if tag == PIXELS and length == UNDEFINED:
+            out[name], at = _fragments(data, at, end)
+            continue
         if vr == "SQ" or length == UNDEFINED:
-            out[name], at = _sequence(data, at, end if length == UNDEFINED else at + length, explicit, length == UNDEFINED)
+            out[name], at = _sequence(data, at, end if length == UNDEFINED else at + length, explicit, length == UNDEFINED, order)
             continue
         if at + length > end:
             raise InvalidDicomError(f"{name} runs past the end")
-        out[name] = _value(vr, data[at : at + length])
+        out[name] = _value(vr, data[at : at + length], order)
         at += length
     return out, at
 
 
-def _sequence(data: bytes, at: int, end: int, explicit: bool, open_: bool) -> tuple[list[dict], int]:
+def _fragments(data: bytes, at: int, end: int) -> tuple[list[bytes], int]:
+    """The offset table and the fragments of encapsulated pixels."""
+    parts = []
+    while at + 8 <= end:
+        group, element, length = struct.unpack_from("<HHI", data, at)
+        at += 8
+        if group << 16 | element == SEQUENCE_END:
+            break
+        if group << 16 | element != ITEM or at + length > end:
+            raise InvalidDicomError("a fragment of the pixels runs past the end")
+        parts.append(data[at : at + length])
+        at += length
+    return parts, at
+
+
+def _sequence(data: bytes, at: int, end: int, explicit: bool, open_: bool, order: str = "<") -> tuple[list[dict], int]:
     items = []
     while at + 8 <= end:
-        tag = struct.unpack_from("<HH", data, at)
-        length = struct.unpack_from("<I", data, at + 4)[0]
+        tag = struct.unpack_from(order + "HH", data, at)
+        length = struct.unpack_from(order + "I", data, at + 4)[0]
         at += 8
         if tag[0] << 16 | tag[1] == SEQUENCE_END:
             break
         stop = end if length == UNDEFINED else at + length
-        item, after = _walk(data, at, stop, explicit, True)
+        item, after = _walk(data, at, stop, explicit, True, order)
         items.append(item)
         at = after if length == UNDEFINED else stop
     return items, at if open_ else end
@@ -95,7 +113,7 @@ def parse(data: bytes, pixels: bool = False, complete: bool = True) -> dict | No
     if not isinstance(data, bytes | bytearray | memoryview):
         raise InvalidDicomError(f"cannot read {type(data).__name__}")
     data = bytes(data)
-    meta, at, explicit = {}, 0, True
+    meta, at, explicit, order = {}, 0, True, "<"
     if data[128:132] == b"DICM":
         at, size = 132, len(data)
         while at + 8 <= size and struct.unpack_from("<H", data, at)[0] == 2:
@@ -105,10 +123,13 @@ def parse(data: bytes, pixels: bool = False, complete: bool = True) -> dict | No
             tag = 2 << 16 | struct.unpack_from("<H", data, at + 2)[0]
             meta[NAMES.get(tag, f"{tag:08X}")] = _value(vr, data[at + head : at + head + length])
             at += head + length
-        explicit = meta.get("TransferSyntaxUID", "") != "1.2.840.10008.1.2"
+        syntax = meta.get("TransferSyntaxUID", "")
+        explicit, order = syntax != IMPLICIT, ">" if syntax == BIG else "<"
+        if syntax == DEFLATED:
+            data, at = zlib.decompressobj(-zlib.MAX_WBITS).decompress(data[at:]), 0  # of a cut file, as far as it goes
     elif data[4:6].isalpha() is False:
         explicit = False
-    body, stop = _walk(data, at, len(data), explicit, pixels)
+    body, stop = _walk(data, at, len(data), explicit, pixels, order)
     if not complete and stop != STOPPED:
         return None
     if not body:
@@ -117,31 +138,43 @@ def parse(data: bytes, pixels: bool = False, complete: bool = True) -> dict | No
 
 
 def encode(values: dict, explicit: bool = True, preamble: bool = True) -> bytes:
-    """The inverse of parse for text, numbers, bytes and sequences."""
+    """The inverse of parse for text, numbers, bytes, sequences and fragments.
+
+    A ``TransferSyntaxUID`` among the values decides the form; pixel bytes are
+    taken as they are.
+    """
+    syntax = values.get("TransferSyntaxUID", EXPLICIT if explicit else IMPLICIT)
+    explicit = explicit and syntax != IMPLICIT
 
-    def one(name: str, v) -> bytes:  # noqa: ANN001
+    def one(name: str, v, order: str) -> bytes:  # noqa: ANN001
         tag, vr = TAGS[name]
+        size = None
         if vr == "SQ":
-            raw = b"".join(struct.pack("<HHI", 0xFFFE, 0xE000, len(b)) + b for b in (body(i) for i in v))
+            raw = b"".join(struct.pack(order + "HHI", 0xFFFE, 0xE000, len(b)) + b for b in (body(i, order) for i in v))
+        elif tag == PIXELS and isinstance(v, list):
+            raw = b"".join(struct.pack("<HHI", 0xFFFE, 0xE000, len(f)) + f for f in v) + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)
+            size = UNDEFINED
         elif vr in NUMBERS:
-            raw = b"".join(struct.pack(NUMBERS[vr], x) for x in (v if isinstance(v, list) else [v]))
+            raw = b"".join(struct.pack(order + NUMBERS[vr], x) for x in (v if isinstance(v, list) else [v]))
         elif isinstance(v, bytes):
             raw = v + b"\x00" * (len(v) % 2)
         else:
             raw = ("\\".join(map(str, v)) if isinstance(v, list) else str(v)).encode()
             raw += (b"\x00" if vr == "UI" else b" ") * (len(raw) % 2)
-        head = struct.pack("<HH", tag >> 16, tag & 0xFFFF)
+        size = len(raw) if size is None else size
+        head = struct.pack(order + "HH", tag >> 16, tag & 0xFFFF)
         if not explicit and tag >> 16 != 2:
-            return head + struct.pack("<I", len(raw)) + raw
-        return head + vr.encode() + (b"\x00\x00" + struct.pack("<I", len(raw)) if vr in LONG else struct.pack("<H", len(raw))) + raw
+            return head + struct.pack("<I", size) + raw
+        return head + vr.encode() + (b"\x00\x00" + struct.pack(order + "I", size) if vr in LONG else struct.pack(order + "H", size)) + raw
 
-    def body(vs: dict) -> bytes:
-        return b"".join(one(k, vs[k]) for k in sorted(vs, key=lambda k: TAGS[k][0]))
+    def body(vs: dict, order: str) -> bytes:
+        return b"".join(one(k, vs[k], order) for k in sorted(vs, key=lambda k: TAGS[k][0]))
 
-    start = b""
-    if preamble:
-        start = b"\x00" * 128 + b"DICM" + one("TransferSyntaxUID", "1.2.840.10008.1.2.1" if explicit else "1.2.840.10008.1.2")
-    return start + body(values)
+    data = body({k: v for k, v in values.items() if k != "TransferSyntaxUID"}, ">" if syntax == BIG else "<")
+    if syntax == DEFLATED:
+        packer = zlib.compressobj(9, zlib.DEFLATED, -zlib.MAX_WBITS)
+        data = packer.compress(data) + packer.flush()
+    return (b"\x00" * 128 + b"DICM" + one("TransferSyntaxUID", syntax, "<") if preamble else b"") + data
 
 
 # --- references ---------------------------------------------------------------

@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..errors import InvalidDicomError
 from ..operators.crawl import sub_series
-from . import dicom
+from . import dicom, pixels
 
 IMAGE = (
     "series string, sub_series string, modality string, size array<int>, spacing array<double>, origin array<double>, direction array<double>, "
     "voxels binary, meta map<string,string>, error string"
 )
 NAMES = [c.split()[0] for c in IMAGE.replace("map<string,string>", "map").split(", ")]
-#: Transfer syntaxes whose pixels are plain little-endian numbers.
-PLAIN = ("1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "")
+#: Transfer syntaxes whose pixels are plain numbers.
+PLAIN = (pixels.IMPLICIT, pixels.EXPLICIT, pixels.DEFLATED, pixels.BIG, "")
 
 
 class PETImageType(str, Enum):
@@ -47,20 +47,23 @@ def number(v: object, default: float) -> float:
 
 def frames_of(h: dict) -> np.ndarray:
     """(frames, rows, columns) of the stored values."""
-    if text_of(h.get("TransferSyntaxUID")) not in PLAIN:
-        raise InvalidDicomError(f"compressed pixels ({h['TransferSyntaxUID']}) are not read")
-    raw, bits = h.get("PixelData"), int(number(h.get("BitsAllocated"), 16))
-    if not isinstance(raw, bytes):
-        raise InvalidDicomError("no pixel data")
+    raw, bits, syntax = h.get("PixelData"), int(number(h.get("BitsAllocated"), 16)), text_of(h.get("TransferSyntaxUID"))
     rows, cols, n = (int(number(h.get(k), d)) for k, d in (("Rows", 0), ("Columns", 0), ("NumberOfFrames", 1)))
     if int(number(h.get("SamplesPerPixel"), 1)) != 1:
         raise InvalidDicomError("only one sample per pixel is read")
+    kind = f"{'i' if number(h.get('PixelRepresentation'), 0) else 'u'}{max(bits // 8, 1)}"
+    if isinstance(raw, list):
+        return pixels.decode(raw, syntax, n, rows, cols, max(bits // 8, 1), h.get("7FE00001")).view(f"<{kind}")
+    if syntax not in PLAIN:
+        raise InvalidDicomError(f"compressed pixels ({syntax}) are not read")
+    if not isinstance(raw, bytes):
+        raise InvalidDicomError("no pixel data")
     if bits == 1:
         return np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: n * rows * cols].reshape(n, rows, cols)
-    kind = np.dtype(f"<{'i' if number(h.get('PixelRepresentation'), 0) else 'u'}{bits // 8}")
-    if len(raw) < n * rows * cols * kind.itemsize:
+    stored = np.dtype((">" if syntax == pixels.BIG else "<") + kind)
+    if len(raw) < n * rows * cols * stored.itemsize:
         raise InvalidDicomError("the pixel data is too short")
-    return np.frombuffer(raw, kind, n * rows * cols).reshape(n, rows, cols)
+    return np.frombuffer(raw, stored, n * rows * cols).reshape(n, rows, cols)
 
 
 def text_of(v: object) -> str:
@@ -73,6 +76,21 @@ def axes(orientation: list[float]) -> np.ndarray:
     return np.stack([r, c, np.cross(r, c)], axis=1)
 
 
+def unevenness(headers: list[dict]) -> dict[str, str]:
+    """What speaks against one regular grid: slices whose orientation differs, stand twice at a place, or whose steps differ (by over a hundredth)."""
+    turns = [numbers(h.get("ImageOrientationPatient")) for h in headers]
+    if any(len(t) != len(turns[0]) or not np.allclose(t, turns[0], atol=1e-3) for t in turns):
+        return {"geometry": "the slices' orientations differ"}
+    axis = axes(turns[0])[:, 2]
+    at = sorted(float(np.dot(p, axis)) for p in (numbers(h.get("ImagePositionPatient")) for h in headers) if len(p) == 3)
+    steps = np.diff(at)
+    if len(at) < len(headers) or not len(steps) or np.ptp(steps) <= 0.01 * abs(np.median(steps)):
+        return {}
+    if (steps <= 1e-6).any():
+        return {"geometry": f"{int((steps <= 1e-6).sum())} slices stand at another's place"}
+    return {"geometry": f"steps between slices from {steps.min():.6g} to {steps.max():.6g}"}
+
+
 def assemble(headers: list[dict]) -> tuple[np.ndarray, list[float], list[float], list[float]]:
     """(z, y, x) float32 values after the rescale of each slice, with spacing, origin and direction (row-major).
 
@@ -137,7 +155,8 @@ def load_series(instances: DataFrame, load_subseries: bool = False, pet_image_ty
 
     A task holds one series.  Files are opened by path inside the task, so no
     pixels are shuffled, unless the rows carry ``content``.  A series that can't
-    be read is a row with ``error``.
+    be read is a row with ``error``; one whose slices don't make a regular grid
+    says so in ``meta`` under ``geometry``, since its spacing is a mean.
     """
     held = "content" in instances.columns
     rows = instances.withColumn("_sub", sub_series() if load_subseries else F.lit("1"))
@@ -151,7 +170,7 @@ def load_series(instances: DataFrame, load_subseries: bool = False, pet_image_ty
             headers = [dicom.parse(x, pixels=True) for x in data]
             modality = text_of(headers[0].get("Modality"))
             a, spacing, origin, d, more = read_auto(headers, modality, pet_image_type)
-            meta = {k: v for k, v in (dicom.project(headers[0]) | more).items() if v}
+            meta = {k: v for k, v in (dicom.project(headers[0]) | more | unevenness(headers)).items() if v}
             out = (series, sub, modality, list(a.shape[::-1]), spacing, origin, d, a.astype("<f4").tobytes(), meta, None)
         except Exception as e:  # noqa: BLE001  a bad series is data here
             out = (series, sub, None, None, None, None, None, None, None, f"LoadError: {type(e).__name__}: {e}")

@@ -30,14 +30,20 @@ NAMES = ["series", "roi_pos", "roi", "description", "number", "kind", "contours"
 CLOSED = "CLOSED_PLANAR"
 
 
-def contours_of(h: dict, at: int) -> list[list[float]]:
-    """The closed contours of the region at a position of the contour sequence, or a ROIContourError."""
+def contours_of(h: dict, at: int, roi: int | None = None) -> list[list[float]]:
+    """The closed contours of the region of number ``roi``, or a ROIContourError.
+
+    Items of the contour sequence name their region's number and may stand in
+    any order; one that names none belongs to the region at its position.
+    """
     every = h.get("ROIContourSequence")
     if every is None:
         raise E.ROIContourError("the file has no ROIContourSequence")
-    if at >= len(every):
-        raise E.ROIContourError("no contours at this position")
-    own = every[at].get("ContourSequence")
+    named = [numbers(x.get("ReferencedROINumber")) for x in every]
+    place = next((i for i, n in enumerate(named) if roi is not None and n == [roi]), at)
+    if place >= len(every) or (named[place] and roi is not None and named[place] != [roi]):
+        raise E.ROIContourError("no contours of this region")
+    own = every[place].get("ContourSequence")
     if own is None:
         raise E.ROIContourError("no ContourSequence")
     if not own:
@@ -55,11 +61,12 @@ def structure_regions(h: dict) -> Iterator[tuple]:
     if "StructureSetROISequence" not in h:
         raise E.RTSTRUCTAttributeError("the file has no StructureSetROISequence")
     for i, roi in enumerate(h["StructureSetROISequence"]):
-        name = text_of(roi.get("ROIName"))
+        name, own = text_of(roi.get("ROIName")), numbers(roi.get("ROINumber"))
+        n = int(own[0]) if own else i
         try:
-            yield series, i, name, None, int(number(roi.get("ROINumber"), i)), "contours", contours_of(h, i), None, None
+            yield series, i, name, None, n, "contours", contours_of(h, i, n if own else None), None, None
         except E.ROIContourError as e:
-            yield series, i, name, None, int(number(roi.get("ROINumber"), i)), "contours", None, None, f"ROIContourExtractionError: {e}"
+            yield series, i, name, None, n, "contours", None, None, f"ROIContourExtractionError: {e}"
 
 
 def _inner(group: dict, sequence: str, field: str) -> list[float]:
