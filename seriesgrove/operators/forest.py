@@ -30,10 +30,10 @@ class SeriesForest:
     """Lazily planned queries over an index with columns uid, pid, modality, ref.
 
     An empty reference counts as none.  Of several rows with one uid the last
-    (by ``order``) counts.  Paths grow from the roots down, one join per level;
-    every level is stored, and the first empty one ends them, so paths have any
-    length and no level is computed twice.  A node that is on its own path
-    already ends that path.
+    (by ``order``) counts.  Since a series has one parent, a path is the way up
+    from its last node; every node joins its way with that of the node where it
+    ends, so ways double in a round and paths of any length take a logarithmic
+    number of joins over stored tables.  A way ends before a node that is on it.
     """
 
     def __init__(self, index: DataFrame, order: str | None = None):
@@ -41,8 +41,9 @@ class SeriesForest:
         if order is not None:
             last = Window.partitionBy("uid").orderBy(F.col(order).desc())
             rows = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1")
-        self.nodes = rows.select("uid", "pid", "modality", "ref")
+        self.nodes = rows.select("uid", "pid", "modality", "ref", F.col(order or "uid").alias("place"))
         self._paths: DataFrame | None = None
+        self.rounds = 0
 
     def roots(self) -> DataFrame:
         return self.nodes.where(is_root())
@@ -53,29 +54,51 @@ class SeriesForest:
 
     def paths(self) -> DataFrame:
         """pid, root, path (array of uid, modality), one row per root-to-node prefix; found once and kept."""
+        return self._placed().drop("places")
+
+    def _placed(self) -> DataFrame:
+        """The paths with the places of their nodes in the index."""
         if self._paths is None:
             self._paths = self._grow()
         return self._paths
 
     def _grow(self) -> DataFrame:
         spark = self.nodes.sparkSession
-        nodes = stored(spark, self.nodes, "nodes")
-        step = F.struct("uid", "modality")
-        level = nodes.where(is_root()).select("pid", F.col("uid").alias("root"), F.array(step).alias("path"), F.col("uid").alias("_at"))
-        down = nodes.where("ref is not null").select(F.col("ref").alias("_at"), step.alias("_next"))
-        level = stored(spark, level, "level")
-        out = level
-        while True:
-            grown = level.join(down, "_at").where(~F.exists("path", lambda p: p["uid"] == F.col("_next.uid")))
-            level = stored(spark, grown.select("pid", "root", F.array_append("path", F.col("_next")).alias("path"), F.col("_next.uid").alias("_at")), "level")
-            if level.isEmpty():
-                return out.drop("_at")
-            out = out.unionByName(level)
+        one = F.struct("uid", "modality", "pid", "place", is_root().alias("is_root"))
+        ways = stored(spark, self.nodes.select("uid", F.array(one).alias("way"), F.col("ref").alias("to")), "ways")
+        self.rounds = 0
+        while not ways.where("to is not null").isEmpty():
+            on = ways.select(F.col("uid").alias("to"), F.col("way").alias("_way"), F.col("to").alias("_to"))
+            going = ways.where("to is not null").join(on, "to", "left").select("uid", F.concat("way", F.coalesce("_way", F.slice("way", 1, 0))).alias("way"), "_to")
+            uids = F.transform("way", lambda n: n["uid"])
+            again = F.size(F.array_distinct(uids)) < F.size("way")
+            cut = F.array_min(F.filter(F.transform("way", lambda n, i: F.when(F.array_position(uids, n["uid"]) <= i, i)), lambda i: i.isNotNull()))
+            way = F.when(again, F.slice("way", F.lit(1), cut)).otherwise(F.col("way"))
+            going = going.select("uid", way.alias("way"), F.when(~again, F.col("_to")).alias("to"))
+            ways = stored(spark, ways.where("to is null").unionByName(going), "ways")
+            self.rounds += 1
+        starts = ways.select(F.posexplode("way").alias("i", "top"), "way").where("top.is_root")
+        down = F.reverse(F.slice("way", F.lit(1), F.col("i") + 1))
+        steps = starts.select("top.pid", F.col("top.uid").alias("root"), down.alias("down"))
+        path = F.transform("down", lambda n: F.struct(n["uid"].alias("uid"), n["modality"].alias("modality")))
+        return stored(spark, steps.select("pid", "root", path.alias("path"), F.transform("down", lambda n: n["place"]).alias("places")), "paths")
 
     def query(self, query: str) -> DataFrame:
         """pid, members: distinct queried-modality paths."""
+        return self._found(query).select("pid", "members").distinct()
+
+    def discovered(self, query: str) -> DataFrame:
+        """``query`` with ``discovery``, the number, from 0, of the walk that goes down from each root in the order of the index and finds these members first.
+
+        A walk meets paths in the lexicographic order of their nodes' places, so
+        the numbers come from a sort over ranges.
+        """
+        first = self._found(query).groupBy("pid", "members").agg(F.min("places").alias("places"))
+        return row_offsets(first, ["places", "pid"], "discovery").select("pid", "members", "discovery")
+
+    def _found(self, query: str) -> DataFrame:
         if query in ("*", "all"):
-            return self.query_all()
+            return self._leaves()
         asked = parse_query(query)
         q = F.array(*[F.lit(m) for m in asked])
         mods = F.transform("path", lambda p: p["modality"])
@@ -84,15 +107,17 @@ class SeriesForest:
             F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))),
             lambda i: F.coalesce(~F.get(mods, i).isin(*special), F.lit(True)) | F.array_contains(q, F.get(mods, i - 1)) if special else F.lit(True),
         )
-        found = self.paths().where(F.forall(q, lambda m: F.array_contains(mods, m)) & parent_ok)
-        return found.select("pid", F.filter("path", lambda p: F.array_contains(q, p["modality"])).alias("members")).distinct()
+        found = self._placed().where(F.forall(q, lambda m: F.array_contains(mods, m)) & parent_ok)
+        return found.select("pid", F.filter("path", lambda p: F.array_contains(q, p["modality"])).alias("members"), "places")
+
+    def _leaves(self) -> DataFrame:
+        inner = self.edges().select(F.col("parent").alias("_last")).distinct()
+        leaves = self._placed().withColumn("_last", F.element_at("path", -1)["uid"]).join(inner, "_last", "left_anti")
+        return leaves.select("pid", F.filter("path", lambda p: p["modality"] != "RTPLAN").alias("members"), "places")
 
     def query_all(self) -> DataFrame:
         """pid, members: distinct leaf paths without RTPLAN."""
-        paths = self.paths()
-        inner = self.edges().select(F.col("parent").alias("_last")).distinct()
-        leaves = paths.withColumn("_last", F.element_at("path", -1)["uid"]).join(inner, "_last", "left_anti")
-        return leaves.select("pid", F.filter("path", lambda p: p["modality"] != "RTPLAN").alias("members")).distinct()
+        return self._leaves().select("pid", "members").distinct()
 
     def valid_queries(self) -> DataFrame:
         """query: distinct modality strings of leaf paths that a query may ask for."""

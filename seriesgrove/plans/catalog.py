@@ -175,6 +175,14 @@ def query_all(spark, sf):  # noqa: ANN001, ANN201
     return _forest(spark, sf).query("*").select("pid", members_text("members").alias("members"))
 
 
+@query(
+    "query_all_discovered",
+    LEAVES + ", f AS (SELECT pid, array_to_string(list_transform(pos, lambda i: k[i] || ':' || u[i]), ',') AS members, min(u) AS u FROM al GROUP BY ALL) SELECT pid, members, row_number() OVER (ORDER BY u, pid) - 1 AS discovery FROM f",
+)
+def query_all_discovered(spark, sf):  # noqa: ANN001, ANN201
+    return _forest(spark, sf).discovered("*").select("pid", members_text("members").alias("members"), "discovery")
+
+
 @query(
     "query_grouped_by_root",
     _path_sql(["CT", "RTSTRUCT"]) + ", ex AS (SELECT DISTINCT pid, first, unnest(rest) AS member FROM res) SELECT pid, first AS root, string_agg(member, ',' ORDER BY split_part(member, ':', 2)::BIGINT) AS others, count(*) AS n_others FROM ex GROUP BY ALL",

@@ -87,3 +87,46 @@ def test_patients_and_extra_series(spark, tree):
     assert {(r.sample, r.pos) for r in forest.reference_series(members, "sample", "modality", "pos").collect()} == {("s", 2), ("t", 1)}
     assert [(r.sample, r.pos) for r in forest.extra_reference_series(members, "sample", "modality", "pos").collect()] == [("s", 3)]
     assert forest.query_text(["CT", "SEG"]) == "CT,SEG" and forest.query_text() == "*"
+
+
+def walk(rows):
+    """Leaf paths in the order of a walk down from each root, children and roots in the order of the rows."""
+    kids, out = {}, []
+    for uid, _, _, ref in rows:
+        kids.setdefault(ref, []).append(uid)
+    kind = {uid: m for uid, _, m, _ in rows}
+
+    def down(path):
+        below = kids.get(path[-1], [])
+        if not below:
+            m = ",".join(f"{kind[u]}:{u}" for u in path if kind[u] != "RTPLAN")
+            if m not in out:
+                out.append(m)
+        for u in below:
+            if u not in path:
+                down([*path, u])
+
+    for uid, _, m, ref in rows:
+        if m in ("CT", "MR") or (m == "PT" and not ref):
+            down([uid])
+    return out
+
+
+def test_discovery_order(spark):
+    rows = [("z1", "P", "CT", None), ("b1", "P", "RTSTRUCT", "z1"), ("a1", "P", "CT", None), ("k1", "P", "RTSTRUCT", "a1"), ("c1", "P", "PT", "z1"), ("y1", "P", "RTPLAN", "b1"), ("d1", "P", "RTSTRUCT", "c1"), ("e1", "P", "RTDOSE", "c1"),
+            ("a0", "P", "RTPLAN", "b1"), ("x1", "P", "RTDOSE", "a1"), ("g1", "P", "RTSTRUCT", "c1"), ("m2", "Q", "MR", None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "uid string, pid string, modality string, ref string, n int")
+    tree = SeriesForest(df, order="n")
+    got = tree.discovered("*").select("discovery", members_text("members").alias("m")).collect()
+    assert [r.m for r in sorted(got)] == walk(rows) and [r.discovery for r in sorted(got)] == list(range(len(got)))
+    some = [r.m for r in sorted(tree.discovered("CT,RTSTRUCT").select("discovery", members_text("members").alias("m")).collect())]
+    assert some == ["CT:z1,RTSTRUCT:b1", "CT:a1,RTSTRUCT:k1"]
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    n = 300
+    rows = [("u0", "P", "CT", None)] + [(f"u{i}", "P", "RTDOSE", f"u{i - 1}") for i in range(1, n)] + [("t0", "P", "MR", "t2"), ("t1", "P", "RTDOSE", "t0"), ("t2", "P", "RTDOSE", "t1"), ("t3", "P", "SEG", "t1")]
+    tree = SeriesForest(spark.createDataFrame(rows, "uid string, pid string, modality string, ref string"))
+    got = {(r.root, tuple(p.uid for p in r.path)) for r in tree.paths().collect()}
+    want = {("u0", tuple(f"u{j}" for j in range(i + 1))) for i in range(n)} | {("t0", ("t0", "t1", "t2")[: k + 1]) for k in range(3)} | {("t0", ("t0", "t1", "t3"))}
+    assert got == want and tree.rounds <= 10
