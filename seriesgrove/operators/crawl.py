@@ -75,7 +75,12 @@ def keep_first(index: DataFrame, keys: list[str] | None = None, order: str = "Su
 
 def build_index(instances: DataFrame) -> DataFrame:
     """Instance rows to index rows."""
-    series = referenced_modality(resolve(group_series(instances), sop_map(instances)))
+    return index_rows(group_series(instances), sop_map(instances))
+
+
+def index_rows(series: DataFrame, sops: DataFrame) -> DataFrame:
+    """Index rows of grouped series, whose references are found among them and in ``sops``."""
+    series = referenced_modality(resolve(series, sops))
     series = series.withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     return keep_first(series.select(*INDEX_KEYS))
 

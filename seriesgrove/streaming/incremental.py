@@ -11,9 +11,9 @@ from ..sources.dicom import parse_rows
 
 
 def stream_instances(spark: SparkSession, directory: str) -> DataFrame:
-    """Instance rows of files as they arrive; each file is read once (the checkpoint remembers it)."""
+    """Instance rows of files as they arrive, from their heads; each file is read once (the checkpoint remembers it)."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", f"*.{case_insensitive_glob('dcm')}").option("recursiveFileLookup", "true")
-    return parse_rows(files.load(directory))
+    return parse_rows(files.load(directory).drop("content"))
 
 
 def start(spark: SparkSession, directory: str, instances: str, checkpoint: str) -> StreamingQuery:
