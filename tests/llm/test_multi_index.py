@@ -90,12 +90,19 @@ def test_balls_split_over_tasks(spark):
     assert abs(sum(r[1] for r in got) - sum(r[1] for r in want)) <= 0.002 * sum(r[1] for r in want)
 
 
-def test_traversal_meets_the_nearest_cells():
+def test_traversal_meets_the_cells_within_reach():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((50, 6))
-    index = multi_index.Index(rng.standard_normal((7, 3)), rng.standard_normal((5, 3)), 11, np.zeros((0, 6)))
-    a, b = index.halves(x)
-    for i, cells in enumerate(index.traverse(a, b)):
-        sums = (a[i][:, None] + b[i][None]).ravel()
-        assert len(set(cells)) == 11
-        assert sorted(sums[cells]) == pytest.approx(sorted(sums)[:11])
+    index = multi_index.Index(rng.standard_normal((7, 3)), rng.standard_normal((5, 3)), 0.5, np.zeros((0, 6)))
+    row, cells = index.traverse(x)
+    for k, v in enumerate(x):
+        cost = []
+        for half, codes in ((v[:3], index.first), (v[3:], index.second)):
+            d = ((half - codes) ** 2).sum(axis=1)
+            own = codes[d.argmin()]
+            # The squared distance to the plane that halves the way from the own code to another.
+            cost.append([0.0 if (c == own).all() else (np.dot(half - (c + own) / 2, c - own) / np.linalg.norm(c - own)) ** 2 for c in codes])
+        sums = np.add.outer(*map(np.array, cost)).ravel()
+        got = cells[row == k]
+        assert set(got) == set(np.flatnonzero(sums <= 0.5)) and got[0] == index.cells(x)[0][k]
+        assert (np.diff(sums[got]) >= -1e-12).all()
