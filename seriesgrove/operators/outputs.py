@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,11 +85,28 @@ class IndexStore:
 
     A writer creates the lock file, which the file system lets only one do,
     writes the next version whole, and removes the lock.  Readers take the
-    last whole version, so they never see half of one.
+    last whole version, so they never see half of one.  A lock older than
+    ``stale`` seconds is one of a dead writer: it is moved away, which again only
+    one can do, and the next writer goes on from the last whole version.
     """
 
-    def __init__(self, spark: SparkSession, path: str, wait: float = 60.0):
-        self.spark, self.path, self.wait = spark, path.rstrip("/"), wait
+    def __init__(self, spark: SparkSession, path: str, wait: float = 60.0, stale: float = 3600.0):
+        self.spark, self.path, self.wait, self.stale = spark, path.rstrip("/"), wait, stale
+
+    def _drop_stale(self, fs, lock) -> None:  # noqa: ANN001
+        """Moves a lock of a dead writer away; one that another writer has made meanwhile is put back."""
+        old = lambda at: time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > self.stale
+        try:
+            if not old(lock):
+                return
+            aside = storage.hadoop_path(self.spark, f"{self.path}/_lock-{uuid.uuid4().hex}")
+            if fs.rename(lock, aside):
+                if old(aside):
+                    fs.delete(aside, False)
+                else:
+                    fs.rename(aside, lock)
+        except Exception:  # noqa: BLE001  another writer has moved or removed it
+            return
 
     def versions(self) -> list[int]:
         fs = storage.hadoop(self.spark, self.path)
@@ -112,6 +130,7 @@ class IndexStore:
                 fs.create(lock, False).close()
                 break
             except Exception as e:
+                self._drop_stale(fs, lock)
                 if time.monotonic() > until:
                     raise WriterIndexError(f"{self.path}/_lock is held by another writer") from e
                 time.sleep(0.2)

@@ -288,3 +288,30 @@ def rotate_quarter(spark, sf):  # noqa: ANN001, ANN201
 @query("transform_callable", f"WITH {V.VOX} SELECT series AS vec_id, round(sum(least(greatest(value, -0.125::DOUBLE), 0.125::DOUBLE) * {WEIGHT}), 4) AS placed FROM vox GROUP BY series")
 def transform_callable(spark, sf):  # noqa: ANN001, ANN201
     return placed(volumes.map_images(packed(spark, sf), lambda a, low, high: np.clip(a.astype(float), low, high), low=-0.125, high=0.125))
+
+
+# --- an index that follows its files ------------------------------------------------
+
+
+@query(
+    "live_index",
+    f"WITH {V.SERIES}, held AS (SELECT s.* FROM series s WHERE sid IN (SELECT l_orderkey FROM lineitem)), ct AS (SELECT pid, min(sid::VARCHAR) AS ct FROM held WHERE m = 'CT' GROUP BY pid) "
+    "SELECT h.sid::VARCHAR AS series, h.m AS modality, CASE WHEN h.m IN ('SEG', 'RTSTRUCT', 'RTPLAN') THEN p.sid::VARCHAR WHEN h.m = 'PT' THEN ct.ct END AS reference, CASE WHEN h.m IN ('SEG', 'RTSTRUCT', 'RTPLAN') THEN p.m WHEN h.m = 'PT' AND ct.ct IS NOT NULL THEN 'CT' END AS referenced "
+    "FROM held h LEFT JOIN held p ON p.sid = h.sid - 1 AND p.sid IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1) LEFT JOIN ct ON ct.pid = h.pid",
+)
+def live_index(spark, sf):  # noqa: ANN001, ANN201
+    """Line items as instances that arrive in three batches, those that refer to others first."""
+    from ..streaming.live import LiveIndex
+
+    uid = F.col("l_orderkey").cast("string")
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("PatientID")), "l_orderkey")
+    sop = lambda series, n: F.concat_ws(".", series.cast("string"), n.cast("string"))
+    rows = line.select(
+        F.concat_ws("/", uid, F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("path"), "PatientID", F.lit("S").alias("StudyInstanceUID"), uid.alias("SeriesInstanceUID"), sop(F.col("l_orderkey"), F.col("l_linenumber")).alias("SOPInstanceUID"),
+        V.modality("l_orderkey").alias("Modality"), F.lit("1").alias("AcquisitionNumber"), F.col("PatientID").alias("FrameOfReferenceUID"), F.lit("").alias("ReferencedSeriesUID"), F.array(sop(F.col("l_orderkey") - 1, F.lit(1))).alias("ReferencedSOPUIDs"), F.lit(None).cast("string").alias("error"),
+    )
+    index = LiveIndex(spark, storage.new_folder(spark, "live"), 8)
+    for n, among in enumerate((("RTPLAN", "RTSTRUCT", "PT"), ("SEG", "RTDOSE"), ("CT", "MR"))):
+        index.apply(rows.where(F.col("Modality").isin(*among)), n)
+    found = index.read()
+    return found.select(F.col("SeriesInstanceUID").alias("series"), F.col("Modality").alias("modality"), F.col("ReferencedSeriesUID").alias("reference"), F.nullif("ReferencedModality", F.lit("")).alias("referenced")).distinct()

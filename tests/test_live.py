@@ -51,3 +51,22 @@ def test_any_order_gives_the_same_index(spark, seed):
     assert sorted(map(str, index.read().collect())) == sorted(map(str, want.collect()))
     last = {r.SeriesInstanceUID for r in spark.read.parquet(f"{index.folder}/index/batch={len(batches) - 1}").select("SeriesInstanceUID").collect()}
     assert {r[3] for r in batches[-1]} <= last and len(last) < 12  # only touched series
+
+
+def test_a_dead_writers_lock_expires(spark, tmp_path):
+    import os
+    import time
+
+    from seriesgrove.errors import WriterIndexError
+    from seriesgrove.operators.outputs import IndexStore
+
+    at = tmp_path / "index"
+    at.mkdir()
+    (at / "_lock").touch()
+    rows = spark.createDataFrame([("a", "1")], "filepath string, n string")
+    with pytest.raises(WriterIndexError):
+        IndexStore(spark, f"file://{at}", wait=0.5).upsert(rows)
+    past = time.time() - 7200
+    os.utime(at / "_lock", (past, past))
+    assert IndexStore(spark, f"file://{at}", wait=5).upsert(rows).count() == 1
+    assert not list(at.glob("_lock*"))
