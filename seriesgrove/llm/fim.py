@@ -91,7 +91,7 @@ def transform(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate: int
         for b in batches:
             for part in pieces(b, 1, piece):
                 con.register("batch", pa.Table.from_batches([part]))
-                found = con.execute(text).to_arrow_table().cast(schema)
+                found = con.sql(text).to_arrow_table().cast(schema)
                 con.unregister("batch")
                 yield from found.to_batches()
         con.close()
