@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..storage import spread
 from . import splines, volumes
 
 SIDE = 64
@@ -61,7 +62,7 @@ def merge(blocks: DataFrame, side: int = SIDE) -> DataFrame:
             part[...] = np.frombuffer(r.voxels, "<f4").reshape(part.shape)
         return pd.DataFrame([(first["series"], first["size"], first["spacing"], first["origin"], first["direction"], a.tobytes())], columns=[*NAMES[:5], "voxels"])
 
-    return blocks.groupBy("series").applyInPandas(run, volumes.VOLUME)
+    return spread(blocks, "series").groupBy("series").applyInPandas(run, volumes.VOLUME)
 
 
 def corners(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -129,7 +130,7 @@ def warp(blocks: DataFrame, plan: Plan, how: str = "linear", outside: float = 0.
             out = np.full(shape, outside)
         return pd.DataFrame([(*[r[c] for c in NAMES[:8]], out.astype("<f4").tobytes())], columns=NAMES)
 
-    sent = blocks.mapInPandas(send, PIECE)
+    sent = spread(blocks.mapInPandas(send, PIECE), "series", "bz", "by", "bx")
     return sent.groupBy("series", "bz", "by", "bx").applyInPandas(make, BLOCK)
 
 

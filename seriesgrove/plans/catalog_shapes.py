@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import blocks, shapes, volumes
+from ..storage import spread
 from . import views as V
 from .catalog import query, r4
 from .views import table
@@ -81,7 +82,7 @@ def shape_ratios(spark, sf):  # noqa: ANN001, ANN201
 
 # --- splines and blocks -----------------------------------------------------------
 
-#: Every embedding as 64 voxels in a row, sampled at steps of 0.75 by the cubic spline through its samples; a coefficient is the sum of the mirrored samples, each weighed by the inverse filter's answer at its distance.
+#: Every embedding as 64 voxels in a row, sampled at steps of 0.75 by the cubic spline through its samples (the results are stored in 32 bits); a coefficient is the sum of the mirrored samples, each weighed by the inverse filter's answer at its distance.
 LINE = f"""s AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i)),
 c AS (SELECT s.vec_id, k, sum(v * w) AS c FROM (SELECT k, 63 - abs(63 - ((k + j) % 126 + 126) % 126) AS i, sqrt(3) * pow(sqrt(3) - 2, abs(j)) AS w FROM range(64) a(k), range(-45, 46) b(j)) f JOIN s USING (i) GROUP BY ALL),
 p AS (SELECT o, o * 0.75::DOUBLE AS x, floor(o * 0.75::DOUBLE)::BIGINT AS low FROM range(85) t(o)),
@@ -95,13 +96,13 @@ def placed_sum(rows):  # noqa: ANN001, ANN201
     return volumes.fingerprint(found).select("series", "v_sum").join(found.select("series", "at"), "series").select(F.col("series").cast("long").alias("vec_id"), F.round("v_sum", 3).alias("total"), F.round("at", 2).alias("placed"))
 
 
-@query("resample_bspline", f"WITH {LINE} SELECT vec_id, round(sum(v), 3) AS total, round(sum(v * o), 2) AS placed FROM r GROUP BY vec_id")
+@query("resample_bspline", f"WITH {LINE} SELECT vec_id, round(sum(v::FLOAT::DOUBLE), 3) AS total, round(sum(v::FLOAT::DOUBLE * o), 2) AS placed FROM r GROUP BY vec_id")
 def resample_bspline(spark, sf):  # noqa: ANN001, ANN201
     v = volumes.pack(table(spark, sf, "embeddings"), "vec_id", "embedding", (64, 1, 1))
     return placed_sum(volumes.resample(v, (0.75, 0.0, 0.0), "bspline"))
 
 
-@query("resample_blocks", f"WITH {LINE} SELECT vec_id, round(sum(v), 3) AS total, round(sum(v * o), 2) AS placed FROM r GROUP BY vec_id")
+@query("resample_blocks", f"WITH {LINE} SELECT vec_id, round(sum(v::FLOAT::DOUBLE), 3) AS total, round(sum(v::FLOAT::DOUBLE * o), 2) AS placed FROM r GROUP BY vec_id")
 def resample_blocks(spark, sf):  # noqa: ANN001, ANN201
     """The same from and to blocks of 32 voxels a side."""
     v = volumes.pack(table(spark, sf, "embeddings"), "vec_id", "embedding", (64, 1, 1))
@@ -127,7 +128,8 @@ def bias_field(spark, sf):  # noqa: ANN001, ANN201
         a, field = phantom(np.frombuffer(r["voxels"], "<f4"), int(r["series"]))
         return {"size": [16] * 3, "voxels": (a * np.exp(field)).astype("<f4").tobytes()}
 
-    v = volumes.pack(table(spark, sf, "embeddings"), "vec_id", "embedding", (4, 4, 4)).withColumn("plain", F.col("voxels")).withColumn("mended", F.lit(None).cast("boolean"))
+    rows = spread(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")  # a small file is much work here
+    v = volumes.pack(rows, "vec_id", "embedding", (4, 4, 4)).withColumn("plain", F.col("voxels")).withColumn("mended", F.lit(None).cast("boolean"))
 
     def judged(r: dict) -> dict:
         a, field = phantom(np.frombuffer(r["plain"], "<f4"), int(r["series"]))
