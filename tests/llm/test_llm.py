@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline on small tables with odd cases, against brute force."""
+"""The first ten operators and the pipeline on small tables with odd cases, against brute force."""
 
 import base64
 import hashlib
