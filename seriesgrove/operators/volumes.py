@@ -22,6 +22,7 @@ from . import splines
 VOLUME = "series string, size array<int>, spacing array<double>, origin array<double>, direction array<double>, voxels binary"
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 BATCH_BYTES = 32 << 20
+BATCH_VOXELS = 1 << 16  # rows of voxels that a task passes on together
 INTERPOLATIONS = ("nearest", "linear", "bspline")
 
 
@@ -404,16 +405,31 @@ def contour_mask(contours: list, size: tuple[int, int, int], tolerance: float =
 def rasterise(rois: DataFrame, size: tuple[int, int, int]) -> DataFrame:
     """(series, roi, z, y, x, error) of (series, roi, contours); a bad region is one row with an error."""
 
+    def told(held: list[tuple[str, str, np.ndarray]]) -> pd.DataFrame:
+        n, at = [len(a) for _, _, a in held], np.concatenate([a for _, _, a in held])
+        series, roi = (np.repeat(np.array([r[i] for r in held], object), n) for i in (0, 1))
+        return pd.DataFrame({"series": series, "roi": roi, "z": at[:, 0], "y": at[:, 1], "x": at[:, 2], "error": None})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            held, count, bad = [], 0, []
             for r in b.itertuples(index=False):
                 try:
                     at = np.argwhere(contour_mask(list(r.contours), size))
-                    yield pd.DataFrame({"series": r.series, "roi": r.roi, "z": at[:, 0], "y": at[:, 1], "x": at[:, 2], "error": None})
                 except ValueError as e:
-                    yield pd.DataFrame({"series": [r.series], "roi": [r.roi], "z": [None], "y": [None], "x": [None], "error": [str(e)]})
-
-    return rois.select("series", "roi", "contours").mapInPandas(run, "series string, roi string, z int, y int, x int, error string")
+                    bad.append((r.series, r.roi, None, None, None, str(e)))
+                    continue
+                held.append((r.series, r.roi, at))
+                count += len(at)
+                if count > BATCH_VOXELS:
+                    yield told(held)
+                    held, count = [], 0
+            if held:
+                yield told(held)
+            if bad:
+                yield pd.DataFrame(bad, columns=["series", "roi", "z", "y", "x", "error"])
+
+    return spread(rois.select("series", "roi", "contours"), "series", "roi").mapInPandas(run, "series string, roi string, z int, y int, x int, error string")
 
 
 # --- shapes ----------------------------------------------------------------------
