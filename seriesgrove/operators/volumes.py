@@ -22,6 +22,7 @@ from . import splines
 VOLUME = "series string, size array<int>, spacing array<double>, origin array<double>, direction array<double>, voxels binary"
 IDENTITY = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
 BATCH_BYTES = 32 << 20
+BATCH_ROWS = 1 << 10
 BATCH_VOXELS = 1 << 16  # rows of voxels that a task passes on together
 INTERPOLATIONS = ("nearest", "linear", "bspline")
 
@@ -30,13 +31,13 @@ def array_of(voxels: bytes, size: list[int]) -> np.ndarray:
     return np.frombuffer(voxels, "<f4").reshape(tuple(size)[::-1])
 
 
-def batched(rows: Iterable[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
-    """Data frames of rows whose ``voxels`` or ``content`` add up to ``BATCH_BYTES`` at most, one row at least."""
+def batched(rows: Iterable[tuple], names: list[str], weigh: Callable[[tuple], int] | None = None) -> Iterator[pd.DataFrame]:
+    """Data frames of ``BATCH_ROWS`` rows at most whose ``voxels`` or ``content``, or what ``weigh`` gives, add up to ``BATCH_BYTES`` at most, one row at least."""
     at = [i for i, n in enumerate(names) if n in ("voxels", "content")]
     held, size = [], 0
     for r in rows:
-        mine = sum(len(r[i]) for i in at if isinstance(r[i], bytes))
-        if held and size + mine > BATCH_BYTES:
+        mine = weigh(r) if weigh else sum(len(r[i]) for i in at if isinstance(r[i], bytes))
+        if held and (size + mine > BATCH_BYTES or len(held) == BATCH_ROWS):
             yield pd.DataFrame(held, columns=names)
             held, size = [], 0
         held.append(r)
@@ -56,6 +57,42 @@ def pack(rows: DataFrame, key: str, values: str, size: tuple[int, int, int], spa
     return rows.select(key, values).mapInPandas(run, VOLUME)
 
 
+def in_groups(rows: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], tuple], kind: str) -> DataFrame:
+    """The row f(group) of every group of ``keys``, which hold no null numbers.
+
+    Groups are dealt as by ``spread`` and stand together in a task, which holds a
+    batch and one group: a small group costs neither an Arrow stream nor a result
+    batch of its own.
+    """
+    names = [c.split()[0] for c in kind.replace("map<string,string>", "map").split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def groups() -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []  # parts of the group that may go on
+            whole = lambda: held[0] if len(held) == 1 else pd.concat(held)
+            for b in batches:
+                if not len(b):
+                    continue
+                new = np.zeros(len(b), bool)
+                for k in keys:
+                    v = b[k].to_numpy()
+                    new[1:] |= v[1:] != v[:-1]
+                    new[0] |= bool(held) and held[-1][k].iloc[-1] != v[0]
+                at = [*np.flatnonzero(new).tolist(), len(b)]
+                if at[0]:
+                    held.append(b.iloc[: at[0]])
+                for i, j in zip(at, at[1:], strict=False):
+                    if held:
+                        yield whole()
+                    held = [b.iloc[i:j]]
+            if held:
+                yield whole()
+
+        yield from batched((f(g) for g in groups()), names)
+
+    return spread(rows, *keys).sortWithinPartitions(*keys).mapInPandas(run, kind)
+
+
 def map_rows(rows: DataFrame, f: Callable[[dict], dict], kind: str = "TransformError") -> DataFrame:
     """Replaces columns of every volume row without an error by what f(row) gives; what f raises becomes the row's ``error``."""
     if "error" not in rows.columns:
@@ -228,9 +265,9 @@ def summarise(rows: DataFrame) -> DataFrame:
     return whole.select("series", "size", "voxels").mapInPandas(run, "series string, nx int, ny int, nz int, v_min double, v_max double, v_mean double")
 
 
-def fingerprint(rows: DataFrame) -> DataFrame:
-    """Per volume: hash, size, n_voxels, spacing, origin, direction, dtype and min, max, sum, mean, std, variance (sample) of the values; dense, without a row per voxel."""
-    kept = [c for c in ("sample_number", "series", "sub_series", "modality", "image_id") if c in rows.columns]
+def fingerprint(rows: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Per volume: hash, size, n_voxels, spacing, origin, direction, dtype and min, max, sum, mean, std, variance (sample) of the values, and the columns ``also``; dense, without a row per voxel."""
+    kept = [c for c in ("sample_number", "series", "sub_series", "modality", "image_id") if c in rows.columns] + list(also)
     stats = "v_min double, v_max double, v_sum double, v_mean double, v_std double, v_var double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -323,18 +360,18 @@ def bias_correct(rows: DataFrame, levels: int = 4, rounds: int = 50, bins: int =
 
 def bias_field(log: np.ndarray, inside: np.ndarray, levels: int = 4, rounds: int = 50, bins: int = 200, threshold: float = 1e-3) -> np.ndarray:
     """The smooth part of log intensities, with mean 0 inside; a level ends when the field's ratio to the one before varies by less than ``threshold``."""
-    controls, spans = np.zeros((4, 4, 4)), (1, 1, 1)
+    spans, field = (1, 1, 1), np.zeros(log.shape)
     for level in range(levels):
         if level:
-            controls, spans = splines.refined(controls), tuple(2 * s for s in spans)
+            spans = tuple(2 * s for s in spans)
+        total = splines.asked_weights(inside, spans)
         for _ in range(rounds):
-            left = log - splines.surface(controls, log.shape)
-            step = splines.approximate(left - sharpened(left, inside, bins), inside, spans)
-            controls = controls + step
-            change = np.exp(splines.surface(step, log.shape)[inside])
+            left = log - field
+            step = splines.surface(splines.approximate(left - sharpened(left, inside, bins), inside, spans, total), log.shape)
+            field = field + step  # the splines of a level hold those of the level before, so their sum is one
+            change = np.exp(step[inside])
             if change.std() <= threshold * change.mean():
                 break
-    field = splines.surface(controls, log.shape)
     return field - field[inside].mean()
 
 
@@ -345,7 +382,7 @@ def sharpened(v: np.ndarray, inside: np.ndarray, bins: int, width: float = 0.15,
         return v
     step = (high - low) / (bins - 1)
     n = 2 * bins
-    count = np.histogram((v[inside] - low) / step, bins=bins, range=(-0.5, bins - 0.5))[0].astype(float)
+    count = np.bincount(((v[inside] - low) / step + 0.5).astype(np.int64), minlength=bins)[:bins].astype(float)
     at = np.minimum(np.arange(n), n - np.arange(n)) * step
     blur = np.exp(-4 * np.log(2) * (at / width) ** 2)
     f = np.fft.fft(blur / blur.sum())
@@ -488,8 +525,8 @@ def shape_statistics(mask: DataFrame, size: tuple[int, int, int], spacing: tuple
     series).
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[["x", "y", "z"]].to_numpy()
+    def one(pdf: pd.DataFrame) -> tuple:
+        at = np.stack([pdf[c].to_numpy() for c in "xyz"], axis=1)
         m = np.zeros(size[::-1], bool)
         m[at[:, 2], at[:, 1], at[:, 0]] = True
         p = at * np.array(spacing)
@@ -508,10 +545,7 @@ def shape_statistics(mask: DataFrame, size: tuple[int, int, int], spacing: tuple
         volume = len(at) * float(np.prod(spacing))
         root = float(np.prod(np.sqrt(e))) if (e > 1e-12).all() else 0.0
         unit = (volume * 6 / np.pi / root) ** (1 / 3) if root else 0.0
-        return pd.DataFrame(
-            {"series": [pdf["series"].iloc[0]], "channel": [pdf["channel"].iloc[0]], "n_components": [label_components(m)], "feret": [far**0.5],
-             "elongation": [ratio(e[2], e[1])], "flatness": [ratio(e[1], e[0])], "diameters": [[float(unit * s) for s in np.sqrt(e)]]}
-        )
+        return pdf["series"].iloc[0], pdf["channel"].iloc[0], label_components(m), far**0.5, ratio(e[2], e[1]), ratio(e[1], e[0]), [float(unit * s) for s in np.sqrt(e)]
 
     rows = mask.select(F.col("series").cast("string").alias("series"), F.col("channel").cast("int").alias("channel"), "z", "y", "x")
-    return spread(rows, "series", "channel").groupBy("series", "channel").applyInPandas(run, "series string, channel int, n_components long, feret double, elongation double, flatness double, diameters array<double>")
+    return in_groups(rows, ["series", "channel"], one, "series string, channel int, n_components long, feret double, elongation double, flatness double, diameters array<double>")
