@@ -20,7 +20,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..storage import spread
 from . import splines, volumes
 
 SIDE = 64
@@ -37,14 +36,13 @@ def split(rows: DataFrame, side: int = SIDE) -> DataFrame:
     """Volume rows as rows of blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts(r: tuple) -> Iterator[tuple]:
+            a = volumes.array_of(r.voxels, r.size)
+            for z, y, x in product(*[range(0, n, side) for n in a.shape]):
+                yield r.series, r.size, r.spacing, r.origin, r.direction, z // side, y // side, x // side, np.ascontiguousarray(a[z : z + side, y : y + side, x : x + side]).tobytes()
+
         for b in batches:
-            for r in b.itertuples(index=False):
-                a = volumes.array_of(r.voxels, r.size)
-                made = (
-                    (r.series, r.size, r.spacing, r.origin, r.direction, z // side, y // side, x // side, np.ascontiguousarray(a[z : z + side, y : y + side, x : x + side]).tobytes())
-                    for z, y, x in product(*[range(0, n, side) for n in a.shape])
-                )
-                yield from volumes.batched(made, NAMES)
+            yield from volumes.batched((p for r in b.itertuples(index=False) for p in parts(r)), NAMES)
 
     whole = rows.where("error is null") if "error" in rows.columns else rows
     return whole.select(*[c.split()[0] for c in GRID.split(", ")], "voxels").mapInPandas(run, BLOCK)
@@ -53,16 +51,16 @@ def split(rows: DataFrame, side: int = SIDE) -> DataFrame:
 def merge(blocks: DataFrame, side: int = SIDE) -> DataFrame:
     """Volume rows of blocks, each of which must fit a task."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> tuple:
         first = pdf.iloc[0]
         a = np.zeros(tuple(first["size"])[::-1], "<f4")
         for r in pdf.itertuples(index=False):
             z, y, x = r.bz * side, r.by * side, r.bx * side
             part = a[z : z + side, y : y + side, x : x + side]
             part[...] = np.frombuffer(r.voxels, "<f4").reshape(part.shape)
-        return pd.DataFrame([(first["series"], first["size"], first["spacing"], first["origin"], first["direction"], a.tobytes())], columns=[*NAMES[:5], "voxels"])
+        return first["series"], first["size"], first["spacing"], first["origin"], first["direction"], a.tobytes()
 
-    return spread(blocks, "series").groupBy("series").applyInPandas(run, volumes.VOLUME)
+    return volumes.in_groups(blocks, ["series"], one, volumes.VOLUME)
 
 
 def corners(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -107,10 +105,9 @@ def warp(blocks: DataFrame, plan: Plan, how: str = "linear", outside: float = 0.
                     yield (r.series, *[g.tolist() for g in grid], *b[::-1], old.tolist(), lo.tolist(), hi.tolist(), told, [*i.tolist(), *j.tolist()], piece)
 
         for b in batches:
-            for r in b.itertuples(index=False):
-                yield from volumes.batched(pieces(r), PIECES)
+            yield from volumes.batched((p for r in b.itertuples(index=False) for p in pieces(r)), PIECES)
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+    def make(pdf: pd.DataFrame) -> tuple:
         r = pdf.iloc[0]
         low, high, old, new = (np.array(r[c]) for c in ("low", "high", "old_size", "size"))
         start = np.array([r["bx"], r["by"], r["bz"]]) * side
@@ -128,10 +125,9 @@ def warp(blocks: DataFrame, plan: Plan, how: str = "linear", outside: float = 0.
             out = volumes.sample(volumes.smooth(a, sigma), points, how, outside, tuple(old), tuple(low)).reshape(shape)
         else:
             out = np.full(shape, outside)
-        return pd.DataFrame([(*[r[c] for c in NAMES[:8]], out.astype("<f4").tobytes())], columns=NAMES)
+        return *[r[c] for c in NAMES[:8]], out.astype("<f4").tobytes()
 
-    sent = spread(blocks.mapInPandas(send, PIECE), "series", "bz", "by", "bx")
-    return sent.groupBy("series", "bz", "by", "bx").applyInPandas(make, BLOCK)
+    return volumes.in_groups(blocks.mapInPandas(send, PIECE), ["series", "bz", "by", "bx"], make, BLOCK)
 
 
 # --- plans ------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from ..functions import spatial as G
 from ..functions import strings as X
 from ..operators import crawl, forest, outputs, roi, synthetic, voxel
 from ..operators.forest import SeriesForest, members_text
+from ..storage import spread
 from . import views as V
 from .views import table
 
@@ -678,7 +679,7 @@ def dicom_roundtrip(spark, sf):  # noqa: ANN001, ANN201
     from ..sources import dicom
 
     head = lambda r: {"PatientID": str(r.o_custkey), "SeriesInstanceUID": f"1.2.{r.o_orderkey}", "SOPInstanceUID": f"1.2.{r.o_orderkey}.1", "Modality": "CT", "AcquisitionNumber": "1"}
-    made = dicom.encode_rows(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), head)
+    made = dicom.encode_rows(spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey"), head)
     return dicom.parse_rows(made).select("PatientID", "SeriesInstanceUID", "SOPInstanceUID", "Modality", "error")
 
 
@@ -716,7 +717,7 @@ RESAMPLED = (
 def resample_linear(spark, sf):  # noqa: ANN001, ANN201
     from ..operators import volumes
 
-    v = volumes.pack(table(spark, sf, "embeddings"), "vec_id", "embedding", (4, 4, 4))
+    v = volumes.pack(spread(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id"), "vec_id", "embedding", (4, 4, 4))
     return volumes.summarise(volumes.resample(v, (2.0, 2.0, 1.0)))
 
 

@@ -93,19 +93,19 @@ r AS (SELECT vec_id, o, sum(c * CASE j WHEN -1 THEN pow(1 - (x - low), 3) WHEN 0
 def placed_sum(rows):  # noqa: ANN001, ANN201
     """vec_id, total and a total that weighs places, of volumes of one row."""
     found = volumes.map_rows(rows.withColumn("at", F.lit(None).cast("double")), lambda r: {"at": float((volumes.array_of(r["voxels"], r["size"]).astype(float).ravel() * np.arange(int(np.prod(r["size"])))).sum())})
-    return volumes.fingerprint(found).select("series", "v_sum").join(found.select("series", "at"), "series").select(F.col("series").cast("long").alias("vec_id"), F.round("v_sum", 3).alias("total"), F.round("at", 2).alias("placed"))
+    return volumes.fingerprint(found, ("at",)).select(F.col("series").cast("long").alias("vec_id"), F.round("v_sum", 3).alias("total"), F.round("at", 2).alias("placed"))
 
 
 @query("resample_bspline", f"WITH {LINE} SELECT vec_id, round(sum(v::FLOAT::DOUBLE), 3) AS total, round(sum(v::FLOAT::DOUBLE * o), 2) AS placed FROM r GROUP BY vec_id")
 def resample_bspline(spark, sf):  # noqa: ANN001, ANN201
-    v = volumes.pack(table(spark, sf, "embeddings"), "vec_id", "embedding", (64, 1, 1))
+    v = volumes.pack(spread(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id"), "vec_id", "embedding", (64, 1, 1))
     return placed_sum(volumes.resample(v, (0.75, 0.0, 0.0), "bspline"))
 
 
 @query("resample_blocks", f"WITH {LINE} SELECT vec_id, round(sum(v::FLOAT::DOUBLE), 3) AS total, round(sum(v::FLOAT::DOUBLE * o), 2) AS placed FROM r GROUP BY vec_id")
 def resample_blocks(spark, sf):  # noqa: ANN001, ANN201
     """The same from and to blocks of 32 voxels a side."""
-    v = volumes.pack(table(spark, sf, "embeddings"), "vec_id", "embedding", (64, 1, 1))
+    v = volumes.pack(spread(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id"), "vec_id", "embedding", (64, 1, 1))
     return placed_sum(blocks.merge(blocks.resample(blocks.split(v, 32), (0.75, 0.0, 0.0), "bspline", side=32), 32).withColumn("error", F.lit(None).cast("string")))
 
 
