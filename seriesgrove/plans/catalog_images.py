@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import spatial as G
 from ..operators import forest, roi, volumes, voxel
 from ..sources import dicom, pixels, series, structures
+from ..storage import spread
 from . import views as V
 from .catalog import query, r4
 from .views import table
@@ -36,7 +37,8 @@ def image_headers(r: dict, modality: str, flip: bool = False, **more: object) ->
 
 
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    """Dealt to all tasks: a small file is much work here."""
+    return spread(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"), "vec_id")
 
 
 def read_back(spark: SparkSession, sf: str, headers, **options: object) -> DataFrame:  # noqa: ANN001
@@ -58,10 +60,8 @@ def dicom_ct_volume(spark, sf):  # noqa: ANN001, ANN201
     z, y, x = np.meshgrid(np.arange(4) + 1, np.arange(4) + 2, np.arange(4) + 3, indexing="ij")
     weight = (z * y * x).astype("<f8")
     placed = volumes.map_rows(rows.withColumn("placed", F.lit(None).cast("double")), lambda r: {"placed": float((volumes.array_of(r["voxels"], r["size"]).astype(float) * weight).sum())})
-    stats = volumes.fingerprint(placed).select("series", "v_min", "v_max", "v_sum", "n_voxels")
     text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
-    found = placed.select("series", "placed", text("spacing").alias("spacing"), text("origin").alias("origin")).join(stats, "series")
-    return numbered(found)
+    return numbered(volumes.fingerprint(placed, ("placed",)).select("series", "placed", text("spacing").alias("spacing"), text("origin").alias("origin"), "v_min", "v_max", "v_sum", "n_voxels"))
 
 
 def encapsulated_headers(r: dict) -> list[dict]:
@@ -84,7 +84,7 @@ def values_of(rows: DataFrame) -> DataFrame:
     z, y, x = np.meshgrid(np.arange(4) + 1, np.arange(4) + 2, np.arange(4) + 3, indexing="ij")
     weight = (z * y * x).astype("<f8")
     placed = volumes.map_rows(rows.withColumn("placed", F.lit(None).cast("double")), lambda r: {"placed": float((volumes.array_of(r["voxels"], r["size"]).astype(float) * weight).sum())})
-    return placed.select("series", "placed").join(volumes.fingerprint(placed).select("series", "v_min", "v_max", "v_sum", "n_voxels"), "series")
+    return volumes.fingerprint(placed, ("placed",)).select("series", "placed", "v_min", "v_max", "v_sum", "n_voxels")
 
 
 @query(
@@ -140,9 +140,8 @@ def dicom_dose(spark, sf):  # noqa: ANN001, ANN201
         first = image_headers(r, "RTDOSE")[-1]
         return [first | {"NumberOfFrames": "4", "PixelData": stored_values(r["embedding"]).tobytes(), "DoseGridScaling": "0.125", "DoseUnits": "GY", "DoseType": "PHYSICAL", "GridFrameOffsetVector": ["0", "2.5", "5", "7.5"]}]
 
-    rows = read_back(spark, sf, headers)
-    units = rows.select("series", F.element_at("meta", F.lit("DoseUnits")).alias("units"))
-    return numbered(volumes.fingerprint(rows).select("series", "v_sum", "v_max").join(units, "series"))
+    rows = read_back(spark, sf, headers).withColumn("units", F.element_at("meta", F.lit("DoseUnits")))
+    return numbered(volumes.fingerprint(rows, ("units",)).select("series", "v_sum", "v_max", "units"))
 
 
 @query("dicom_subseries", f"WITH {STORED} SELECT vec_id, (z % 2 + 1)::VARCHAR AS sub_series, sum(v)::DOUBLE AS v_sum, count(*)::BIGINT AS n_voxels FROM st GROUP BY ALL")

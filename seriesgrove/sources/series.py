@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..errors import InvalidDicomError
+from ..operators import volumes
 from ..operators.crawl import sub_series
 from . import dicom, pixels
 
@@ -162,7 +163,7 @@ def load_series(instances: DataFrame, load_subseries: bool = False, pet_image_ty
     rows = instances.withColumn("_sub", sub_series() if load_subseries else F.lit("1"))
     rows = rows.select(F.col("SeriesInstanceUID").alias("series"), F.col("_sub").alias("sub_series"), "path", *(["content"] if held else []))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> tuple:
         series, sub = pdf["series"].iloc[0], pdf["sub_series"].iloc[0]
         pdf = pdf.sort_values("path")
         try:
@@ -171,12 +172,11 @@ def load_series(instances: DataFrame, load_subseries: bool = False, pet_image_ty
             modality = text_of(headers[0].get("Modality"))
             a, spacing, origin, d, more = read_auto(headers, modality, pet_image_type)
             meta = {k: v for k, v in (dicom.project(headers[0]) | more | unevenness(headers)).items() if v}
-            out = (series, sub, modality, list(a.shape[::-1]), spacing, origin, d, a.astype("<f4").tobytes(), meta, None)
+            return series, sub, modality, list(a.shape[::-1]), spacing, origin, d, a.astype("<f4").tobytes(), meta, None
         except Exception as e:  # noqa: BLE001  a bad series is data here
-            out = (series, sub, None, None, None, None, None, None, None, f"LoadError: {type(e).__name__}: {e}")
-        return pd.DataFrame([out], columns=NAMES)
+            return series, sub, None, None, None, None, None, None, None, f"LoadError: {type(e).__name__}: {e}"
 
-    return storage.spread(rows, "series").groupBy("series", "sub_series").applyInPandas(run, IMAGE)
+    return volumes.in_groups(rows, ["series", "sub_series"], one, IMAGE)
 
 
 def encode_slices(rows: DataFrame, header: Callable[[dict], list[dict]]) -> DataFrame:
@@ -184,11 +184,12 @@ def encode_slices(rows: DataFrame, header: Callable[[dict], list[dict]]) -> Data
     names = rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
+        def files(b: pd.DataFrame) -> Iterator[tuple]:
             for r in b.itertuples(index=False):
                 for i, h in enumerate(header(dict(zip(names, r, strict=True)))):
-                    out.append((f"{h['SeriesInstanceUID']}/{i:04d}.dcm", h["SeriesInstanceUID"], h.get("AcquisitionNumber"), dicom.encode(h)))
-            yield pd.DataFrame(out, columns=["path", "SeriesInstanceUID", "AcquisitionNumber", "content"])
+                    yield f"{h['SeriesInstanceUID']}/{i:04d}.dcm", h["SeriesInstanceUID"], h.get("AcquisitionNumber"), dicom.encode(h)
+
+        for b in batches:
+            yield from volumes.batched(files(b), ["path", "SeriesInstanceUID", "AcquisitionNumber", "content"])
 
     return rows.mapInPandas(run, "path string, SeriesInstanceUID string, AcquisitionNumber string, content binary")

@@ -124,14 +124,20 @@ def read_regions(files: DataFrame) -> DataFrame:
     held = "content" in files.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        def each(b: pd.DataFrame) -> Iterator[tuple]:
             for r in b.itertuples(index=False):
                 try:
                     h = dicom.parse(r.content if held else storage.read_bytes(r.path), pixels=True)
                     found = list((segment_regions if text_of(h.get("Modality")) == "SEG" else structure_regions)(h))
                 except Exception as e:  # noqa: BLE001  a bad file is data here
                     found = [(r.series, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(found, columns=NAMES)
+                yield from found
+
+        def weigh(r: tuple) -> int:
+            return sum(32 * len(c) for c in r[6] or ()) + sum(len(f["bits"]) for f in r[7] or ())  # contours and frames
+
+        for b in batches:
+            yield from volumes.batched(each(b), NAMES, weigh)
 
     series = [] if "SeriesInstanceUID" not in files.columns else ["SeriesInstanceUID"]
     rows = files.select("path", *(["content"] if held else []), (F.col(series[0]) if series else F.lit(None).cast("string")).alias("series"))
@@ -202,12 +208,23 @@ def to_voxels(masks_: DataFrame) -> DataFrame:
     """Sparse rows (series, channel, z, y, x) of mask volumes, as the mask operators take them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(held: list[tuple[str, int, np.ndarray]]) -> pd.DataFrame:
+            n, at = [len(a) for _, _, a in held], np.concatenate([a for _, _, a in held])
+            series, channel = (np.repeat(np.array([r[i] for r in held], kind), n) for i, kind in ((0, object), (1, np.int32)))
+            return pd.DataFrame({"series": series, "channel": channel, "z": at[:, 0], "y": at[:, 1], "x": at[:, 2]})
+
         for b in batches:
+            held, count = [], 0
             for r in b.itertuples(index=False):
                 at = np.argwhere(volumes.array_of(r.voxels, r.size))
                 for i in range(0, len(at), 1 << 18):
-                    part = at[i : i + (1 << 18)]
-                    yield pd.DataFrame({"series": r.series, "channel": r.channel, "z": part[:, 0], "y": part[:, 1], "x": part[:, 2]})
+                    held.append((r.series, r.channel, at[i : i + (1 << 18)]))
+                    count += len(held[-1][2])
+                    if count > volumes.BATCH_VOXELS:
+                        yield told(held)
+                        held, count = [], 0
+            if held:
+                yield told(held)
 
     return masks_.where("error is null").select("series", "channel", "size", "voxels").mapInPandas(run, "series string, channel int, z long, y long, x long")
 
@@ -225,23 +242,22 @@ def encode_mask(masks_: DataFrame, keys: list[str], how: str = "label") -> DataF
     kinds = {f.name: f.dataType.simpleString() for f in masks_.schema}
     out_kind = ", ".join(f"{c} {kinds[c]}" for c in group) + ", size array<int>, spacing array<double>, origin array<double>, direction array<double>, voxels binary, roi_names map<string,string>, error string"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> tuple:
         first = pdf.iloc[0]
         good = {r.roi_key: r for r in pdf.itertuples() if not isinstance(r.error, str)}
         base = [first[c] for c in group]
         names = {k: "|".join(r.roi_names) for k, r in good.items()}
         missing = [k for k in keys if k not in good]
         if missing:
-            return pd.DataFrame([(*base, None, None, None, None, None, names, f"MissingROIsError: no {', '.join(missing)}")], columns=columns)
+            return (*base, None, None, None, None, None, names, f"MissingROIsError: no {', '.join(missing)}")
         r = good[keys[0]]
         out, seen = np.zeros(tuple(r.size)[::-1], np.int64), np.zeros(tuple(r.size)[::-1], bool)
         for i, k in enumerate(keys):
             m = volumes.array_of(good[k].voxels, good[k].size) > 0
             if how == "label" and (m & seen).any():
-                return pd.DataFrame([(*base, None, None, None, None, None, names, "OverlappingMasksError: a label image cannot hold overlapping masks")], columns=columns)
+                return (*base, None, None, None, None, None, names, "OverlappingMasksError: a label image cannot hold overlapping masks")
             out, seen = (out | (m.astype(np.int64) << i) if how == "region" else np.where(m, i + 1, out)), seen | m
-        return pd.DataFrame([(*base, list(r.size), list(r.spacing), list(r.origin), list(r.direction), out.astype("<f4").tobytes(), names, None)], columns=columns)
+        return (*base, list(r.size), list(r.spacing), list(r.origin), list(r.direction), out.astype("<f4").tobytes(), names, None)
 
-    columns = [*group, "size", "spacing", "origin", "direction", "voxels", "roi_names", "error"]
     wanted = masks_.select(*group, "roi_key", "roi_names", "size", "spacing", "origin", "direction", "voxels", "error")
-    return wanted.groupBy(*group).applyInPandas(run, out_kind)
+    return volumes.in_groups(wanted, group, one, out_kind)
