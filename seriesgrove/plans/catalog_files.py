@@ -49,10 +49,7 @@ def collection(spark: SparkSession, sf: str) -> str:
             n = 0
             for r in b.itertuples(index=False):
                 for i, h in enumerate(patient(dict(zip(names, r, strict=True)))):
-                    goal = f"{folder}/{h['PatientID']}/{h['Modality']}/{i}.dcm"
-                    part = f"{goal}.{storage.attempt_name()}.part"
-                    storage.write_bytes(part, dicom.encode(h))
-                    storage.move(part, goal)
+                    storage.publish(f"{folder}/{h['PatientID']}/{h['Modality']}/{i}.dcm", dicom.encode(h))
                     n += 1
             yield pd.DataFrame({"n": [n]})
 
@@ -149,7 +146,7 @@ def file_sort(spark, sf):  # noqa: ANN001, ANN201
 
 
 def order_headers(spark: SparkSession, sf: str, header) -> DataFrame:  # noqa: ANN001
-    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    rows = storage.spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     return dicom.parse_rows(series.encode_slices(rows, lambda r: [header(r)]))
 
 

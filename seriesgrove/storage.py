@@ -106,6 +106,16 @@ def write_bytes(uri: str, data: bytes) -> None:
         f.write(data)
 
 
+def publish(uri: str, data: bytes) -> None:
+    """Writes a file under a name of this attempt and renames it, so that it is there whole or not at all."""
+    system, path = located(uri)
+    part = f"{path}.{attempt_name()}.part"
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(part, compression=None) as f:
+        f.write(data)
+    system.move(part, path)
+
+
 def move(source: str, target: str) -> None:
     """Renames a file, making the target's folder; replaces a target that is there."""
     system, path = located(source)
