@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import DUPLICATE_KEYS, INDEX_KEYS
+from ..schemas import DUPLICATE_KEYS, INDEX_KEYS, INSTANCE_KEYS
 
 REFERENCING = ("SEG", "RTSTRUCT", "RTDOSE", "RTPLAN")
 
@@ -74,8 +74,9 @@ def keep_first(index: DataFrame, keys: list[str] | None = None, order: str = "Su
 
 
 def build_index(instances: DataFrame) -> DataFrame:
-    """Instance rows to index rows."""
-    return index_rows(group_series(instances), sop_map(instances))
+    """Instance rows to index rows; of their headers only the index's columns travel."""
+    rows = instances.select(*[c for c in instances.columns if c in INSTANCE_KEYS])
+    return index_rows(group_series(rows), sop_map(rows))
 
 
 def index_rows(series: DataFrame, sops: DataFrame) -> DataFrame:

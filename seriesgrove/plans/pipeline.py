@@ -70,11 +70,11 @@ class Crawler:
         if not _readable(self.spark, f"{self.output_dir}/instances.parquet"):
             raise CrawlResultsNotAvailableError("crawl first: instances() or index()")
         good = self.instances().where("error is null")
-        grouped = crawl.group_series(good)
+        grouped, sops = stored(self.spark, crawl.group_series(good), "grouped"), stored(self.spark, crawl.sop_map(good), "sops")
         out = lambda df, name: df.write.mode("overwrite").json(f"{self.output_dir}/{name}.json")
         out(grouped, "crawl-cache")
-        out(crawl.sop_map(good), "sop_map")
-        out(crawl.referenced_modality(crawl.resolve(grouped, crawl.sop_map(good))), "crawl_db")
+        out(sops, "sop_map")
+        out(crawl.referenced_modality(crawl.resolve(grouped, sops)), "crawl_db")
         self.index().orderBy("PatientID", "SeriesInstanceUID", "SubSeries").write.mode("overwrite").option("header", True).csv(f"{self.output_dir}/index.csv")
 
 

@@ -54,6 +54,7 @@ def find_dicoms(
     """
     glob = f"*.{extension if case_sensitive else case_insensitive_glob(extension)}"
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(directory)
+    found = found.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))  # small files would make a task of every few dozen
     if search_input:
         found = found.where(path_filter("path", search_input))
     if check_header:
