@@ -385,12 +385,12 @@ def sharpened(v: np.ndarray, inside: np.ndarray, bins: int, width: float = 0.15,
     count = np.bincount(((v[inside] - low) / step + 0.5).astype(np.int64), minlength=bins)[:bins].astype(float)
     at = np.minimum(np.arange(n), n - np.arange(n)) * step
     blur = np.exp(-4 * np.log(2) * (at / width) ** 2)
-    f = np.fft.fft(blur / blur.sum())
-    sharp = np.fft.ifft(np.fft.fft(np.pad(count, (0, n - bins))) * np.conj(f) / (np.abs(f) ** 2 + noise)).real.clip(0)
+    f = np.fft.rfft(blur / blur.sum())
+    sharp = np.fft.irfft(np.fft.rfft(count, n) * np.conj(f) / (np.abs(f) ** 2 + noise), n).clip(0)
     centre = low + np.arange(n) * step
     centre[bins + bins // 2 :] -= n * step  # positions below the least bin
-    up = np.fft.ifft(np.fft.fft(sharp * centre) * f).real
-    down = np.fft.ifft(np.fft.fft(sharp) * f).real
+    up = np.fft.irfft(np.fft.rfft(sharp * centre) * f, n)
+    down = np.fft.irfft(np.fft.rfft(sharp) * f, n)
     expected = np.where(down > 1e-9 * max(down.max(), 1e-300), up / np.where(down == 0, 1, down), centre)[:bins]
     return np.interp(v, low + np.arange(bins) * step, expected)
 
