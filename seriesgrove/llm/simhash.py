@@ -25,11 +25,14 @@ the smallest non-null doc_id of the component, null if it has none; repeated
 rows each give a row; an empty table gives an empty result.
 
 The near_dedup stage of the pipeline (``keep``) has a setting of its own:
-five-word shingles and Jaccard similarity of 0.8 or more, where 64-bit
-fingerprints lie about ten bits apart and no band of the index need agree.  It
-finds candidates by banded MinHash keys and drops a document only after an
-exact comparison of the shingle sets.  All rows that share a band key are
-compared, unless they are in one component already.
+five-word shingles and Jaccard similarity of 0.8 or more, where a bit of two
+fingerprints differs with a probability of up to 0.15, ten of 64.  So a document
+has ``TABLES`` fingerprints of 60 bits there, by independent hashes, and the same
+index links those of one table that agree on one of ``BANDS`` bands and lie
+within ``STAGE_RADIUS`` bits.  Rows whose fingerprints are in one component of a
+table are candidates; a document is dropped only after an exact comparison of
+the shingle sets.  All rows of such a component are compared, unless they are
+in one component of near copies already.
 """
 
 from __future__ import annotations
@@ -44,8 +47,9 @@ from pyspark.sql import functions as F
 from .common import components, small, stored, table, with_row_id, without
 
 WORDS, RADIUS = 3, 3
-#: The pipeline's stage: a pair of the least similarity shares no band key with probability (1 - 0.8 ** ROWS) ** BANDS, 0.00005.
-STAGE_WORDS, SIMILARITY, BANDS, ROWS, STAGE_SEED = 5, 0.8, 25, 5, 11
+#: The pipeline's stage: fingerprints of 64 - TAG bits below the number of their table.
+STAGE_WORDS, SIMILARITY, TABLES, TAG, BANDS, STAGE_RADIUS, STAGE_SEED = 5, 0.8, 12, 4, 5, 9, 11
+SHORT, MORE, FOLD = 40, 4, 4  # texts of so few shingles have so many more tables, with so many hashes of a shingle: few votes are often tied
 BLOCK = 1 << 14
 RUN_ROWS, RUN_HASHES = 256, 1 << 18  # of a block in which long runs of the stage are compared
 FAN = 8
@@ -202,21 +206,32 @@ def gray_rank(x: F.Column) -> F.Column:
     return x
 
 
-def rotated(fp: F.Column, n: int) -> F.Column:
-    return fp if n == 0 else F.shiftleft(fp, n).bitwiseOR(F.shiftrightunsigned(fp, 64 - n))
+def rotated(fp: F.Column, n: int, tag: int = 0) -> F.Column:
+    """The bits below the first ``tag`` turned to the left by ``n``."""
+    if n == 0:
+        return fp
+    low = (1 << (64 - tag)) - 1 if tag else -1
+    x = fp.bitwiseAND(F.lit(low))
+    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - tag - n)).bitwiseAND(F.lit(low)).bitwiseOR(fp.bitwiseAND(F.lit(~low)))
 
 
-def link(spark: SparkSession, fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(node, root) over distinct fingerprints ``fp`` that have a link; all links within ``radius`` bits."""
-    bands = radius + 1
-    width = 64 // bands
-    turned = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), rotated(F.col("fp"), k * width).alias("bits")) for k in range(bands)])).alias("t"))
+def link(spark: SparkSession, fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, bands: int | None = None, tag: int = 0) -> DataFrame:
+    """(node, root) over distinct fingerprints ``fp`` that have a link; all links within ``radius`` bits.
+
+    With fewer ``bands`` than ``radius`` + 1, those links whose ends agree on a
+    band.  Fingerprints link only if their first ``tag`` bits are equal.
+    """
+    bands = bands or radius + 1
+    turn = (64 - tag) // bands
+    width = tag + turn
+    turned = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), rotated(F.col("fp"), k * turn, tag).alias("bits")) for k in range(bands)])).alias("t"))
     turned = turned.select("t.band", "t.bits", gray_rank(F.col("t.bits")).bitwiseXOR(F.lit(-(1 << 63))).alias("rank"))
     placed = turned.repartitionByRange("band", "rank").sortWithinPartitions("band", "rank")
 
     def back(bits: np.ndarray, band: np.ndarray) -> np.ndarray:
-        n = (band * width).astype(np.uint64)
-        return np.where(n == 0, bits, (bits >> n) | (bits << ((np.uint64(64) - n) & np.uint64(63)))).view(np.int64)
+        n, low = (band * turn).astype(np.uint64), np.uint64((1 << (64 - tag)) - 1)
+        x = bits & low
+        return np.where(n == 0, bits, (x >> n) | (x << ((np.uint64(64 - tag) - n) & np.uint64(63))) & low | bits & ~low).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -314,29 +329,41 @@ def stage_shingles(text: bytes, words: int = STAGE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, 42) for s in shingles), dtype=np.uint64))
 
 
-def band_keys(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """One key per band: equal if the band's ``ROWS`` least hashes are (``factors`` has a multiplier for each)."""
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 1 << 12):
-        least = np.minimum(least, (factors[:, None] * hashes[None, i : i + (1 << 12)]).min(axis=1))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def sketch_of(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The fingerprints of a text with these distinct shingles, in all its tables; ``seeds`` are of TABLES + MORE tables and FOLD hashes."""
+    found = stage_fingerprints(hashes, seeds[:TABLES])
+    if len(hashes) > SHORT:
+        return found
+    folded = (hashes[:, None] ^ seeds[TABLES + MORE :]).ravel()
+    return np.append(found, stage_fingerprints(folded, seeds[TABLES : TABLES + MORE], TABLES))
+
+
+def stage_fingerprints(hashes: np.ndarray, seeds: np.ndarray, first: int = 0) -> np.ndarray:
+    """A fingerprint for each table: its number, then a bit for each place set in more than half of the hashes, mixed with the table's seed."""
+    ones = np.zeros(64 * len(seeds), dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 10):
+        h = hashes[i : i + (1 << 10), None] ^ seeds
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
+        for j in range(0, len(bits), 255):
+            ones += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+    found = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+    return (found >> np.uint64(TAG) | np.arange(first, first + len(seeds), dtype=np.uint64) << np.uint64(64 - TAG)).view(np.int64)
 
 
 def candidates(spark: SparkSession, keys: DataFrame) -> DataFrame:
-    """(a, b) with a < b, of ``keys`` (_row, doc_id, keys): rows that share a band key, as spanning links.
+    """(a, b) with a < b, of ``keys`` (_row, doc_id, keys): rows that share a key, as spanning links.
 
-    Rows are ordered by (key, the next band's key, hash of doc_id, row).  A row is
+    Rows are ordered by (key, the row's next key, hash of doc_id, row).  A row is
     linked to the first row of its key, to the first that shares both keys, and
     to the one before it with the same key.  Tasks hold ranges of that order, so
     runs may lie across them: of a task's first run only the rows are told, and
     they are linked when the tasks' outer rows (four for each task) have shown
     where the run begins.  The links don't depend on where the ranges are cut.
     """
-    turn = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.get("keys", (i + 1) % BANDS).alias("next")))
+    turn = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.get("keys", (i + 1) % F.size("keys")).alias("next")))
     order = ["key", "next", "ord", "_row"]
     placed = keys.select("_row", F.xxhash64("doc_id").alias("ord"), F.explode(turn).alias("t")).select("t.key", "t.next", "ord", "_row")
     placed = placed.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -412,7 +439,7 @@ def jaccard(x: list[np.ndarray], y: list[np.ndarray], part: int = 1 << 14) -> np
 
 
 def links_in_runs(spark: SparkSession, keys: DataFrame, held: DataFrame, joined: DataFrame) -> DataFrame:
-    """(u, v): links between the components ``joined`` (_row, root) that rows with a common band key still have.
+    """(u, v): links between the components ``joined`` (_row, root) that rows with a common key still have.
 
     ``candidates`` compares a row of a long run with a few others.  Here the
     rest is compared, exactly: in every run of more than three rows (fewer have
@@ -478,22 +505,33 @@ def links_in_runs(spark: SparkSession, keys: DataFrame, held: DataFrame, joined:
     return both.select("x", "y").mapInArrow(compare, "u long, v long")
 
 
+def near_keys(spark: SparkSession, made: DataFrame) -> DataFrame:
+    """(_row, doc_id, keys), of ``made`` (_row, doc_id, fps), for rows that share a component of a table of the index: the components' names in the order of tables."""
+    each = made.select("_row", F.explode("fps").alias("fp"))
+    fps = stored(spark, each.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    linked = link(spark, fps.select("fp"), STAGE_RADIUS, bands=BANDS, tag=TAG).withColumnRenamed("node", "fp")
+    cells = fps.join(linked, "fp", "left").where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("key"))
+    shared = each.join(small(stored(spark, cells, "cells")), "fp").groupBy("_row").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # TABLES + MORE at most
+    return made.select("_row", "doc_id").join(shared, "_row")
+
+
 def similar(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(_row, doc_id, root) for every row of ``docs`` with a near copy: components of pairs whose Jaccard similarity reaches ``SIMILARITY``."""
     rows = with_row_id(docs.select("doc_id", "text")).select("_row", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    factors = np.random.default_rng(STAGE_SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    seeds = np.random.default_rng(STAGE_SEED).integers(0, 1 << 63, TABLES + MORE + FOLD, dtype=np.uint64)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [band_keys(stage_shingles(t.as_py()), factors) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["_row", "doc_id", "keys"])
+            found = [sketch_of(stage_shingles(t.as_py()), seeds) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["_row", "doc_id", "fps"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [stage_shingles(t.as_py()).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["_row", "s"])
 
-    keys = stored(spark, rows.mapInArrow(sketch, "_row long, doc_id long, keys array<long>"), "sketches")
+    made = stored(spark, rows.mapInArrow(sketch, "_row long, doc_id long, fps array<long>"), "sketches")
+    keys = stored(spark, near_keys(spark, made), "keys")
     pairs = stored(spark, candidates(spark, keys), "candidates")
     named = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
     held = rows.select("_row", "text").join(named.hint("shuffle_hash"), "_row", "left_semi")

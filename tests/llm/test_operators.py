@@ -390,6 +390,57 @@ def test_mates_in_dense_families(spark, monkeypatch, pairs, own, same):
     assert len({got[2 * k] for k in range(pairs) if 2 * k in got}) >= found  # families stay apart
 
 
+def test_stage_finds_its_candidates_by_the_index(spark, monkeypatch):
+    """Pairs just above the similarity; without the index's links only equal fingerprints would meet."""
+    rng, rows = random.Random(91), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    for k in range(150):
+        w = [word() for _ in range(200)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:180] + [word() for _ in range(20)]))]
+    for k in range(150, 300):  # four of five shingles
+        w = [word() for _ in range(9)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:8]))]
+    docs, link, asked = table_of(spark, rows, "doc_id long, text string"), simhash.link, []
+
+    def watched(spark, fps, radius, **kw):
+        asked.append((radius, kw["bands"], kw["tag"]))
+        return link(spark, fps, radius, **kw)
+
+    monkeypatch.setattr(simhash, "link", watched)
+    got = {r.doc_id: r.root for r in simhash.similar(spark, docs).collect()}
+    assert asked == [(simhash.STAGE_RADIUS, simhash.BANDS, simhash.TAG)]
+    assert sum(2 * k in got and got[2 * k] == got.get(2 * k + 1) for k in range(300)) >= 296 and len(set(got.values())) >= 296
+    monkeypatch.setattr(simhash, "link", lambda spark, fps, *a, **kw: link(spark, fps, *a, **kw).where("false"))
+    assert simhash.similar(spark, docs).count() < 20
+
+
+@pytest.mark.parametrize("block", [8, 1 << 14])
+def test_index_of_tables(spark, block):
+    """Links of one table that agree on a band and lie within the radius, against all pairs."""
+    rng = random.Random(92)
+    fps = [t << 60 | rng.getrandbits(60) for t in (0, 1, 15) for _ in range(60)]
+    for f in fps[:150]:
+        g = f
+        for _ in range(rng.randrange(1, 13)):
+            g ^= 1 << rng.randrange(60)
+        fps += [g, g ^ 1 << 60]
+    fps = sorted(set(fps))
+    band = lambda f, g: any(not (f ^ g) >> 12 * k & 4095 for k in range(5))
+    lab = {f: f for f in fps}
+    for i, f in enumerate(fps):
+        for g in fps[:i]:
+            if f >> 60 == g >> 60 and (f ^ g).bit_count() <= 11 and band(f, g) and lab[f] != lab[g]:
+                a, b = sorted((lab[f], lab[g]))
+                lab = {k: a if v == b else v for k, v in lab.items()}
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    got, want = defaultdict(set), defaultdict(set)
+    for r in simhash.link(spark, df, 11, block=block, bands=5, tag=4).collect():
+        got[r.root].add(r.node & ((1 << 64) - 1))
+    for f, a in lab.items():
+        want[a].add(f)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
 def test_jaccard_of_blocks():
     rng = np.random.default_rng(2)
     x, y = ([np.unique(rng.integers(0, 300, n)) for n in rng.integers(1, 200, k)] for k in (7, 9))
