@@ -33,6 +33,7 @@ from ..storage import stored
 from .graph import contract
 
 SIDE = 48
+CELLS = 1 << 21  # of blocks with halo that are worked on at once
 KEYS = ["series", "channel"]
 #: The 13 directions to half of a voxel's 26 neighbours, as x, y, z.
 DIRECTIONS = [(x, y, z) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1) if (z, y, x) > (0, 0, 0)]
@@ -63,13 +64,13 @@ def in_blocks(mask: DataFrame, side: int) -> DataFrame:
 
 
 def label(solid: np.ndarray) -> np.ndarray:
-    """Of each true cell, in order, the number of the first one that is linked to it by faces."""
+    """Of each true cell, in order, the number of the first one that is linked to it by faces, along the last three axes."""
     at = np.full(solid.shape, -1, np.int64)
     n = int(solid.sum())
     at[solid] = np.arange(n)
     a, b = [], []
-    for axis in range(3):
-        low, high = ([slice(None)] * 3 for _ in range(2))
+    for axis in range(solid.ndim - 3, solid.ndim):
+        low, high = ([slice(None)] * solid.ndim for _ in range(2))
         low[axis], high[axis] = slice(None, -1), slice(1, None)
         both = solid[tuple(low)] & solid[tuple(high)]
         a.append(at[tuple(low)][both])
@@ -86,56 +87,57 @@ def label(solid: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def facts_of(at: np.ndarray, low: np.ndarray, side: int, voxels: bool) -> tuple[list[int], list[tuple]]:
-    """The sums of a block whose own and halo voxels lie at ``at`` (z, y, x), and its (kind, axis, places, labels): components, voxels met at faces, and all voxels if asked."""
-    solid = np.zeros((side + 2,) * 3, bool)
-    solid[tuple((at - low + 1).T)] = True
-    own = solid[1:-1, 1:-1, 1:-1]
-    p = np.argwhere(own) + low
-    named = place(p[:, 0], p[:, 1], p[:, 2])
-    labels = named[label(own)]
-    runs = [int((own & ~solid[tuple(slice(1 - d, 1 - d + side) for d in direction[::-1])]).sum()) for direction in DIRECTIONS]
-    products = p.T @ p
-    moments = [len(p), *p.sum(axis=0).tolist(), *[int(products[i, j]) for i, j in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))]]
-    top = np.unique(labels)
-    parts = [(COMPONENT, -1, top, top)]
+def facts_of(g: np.ndarray, at: np.ndarray, low: np.ndarray, side: int, voxels: bool) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """Of many blocks that begin at ``low``, from their own and halo voxels ``at`` (z, y, x) of blocks ``g``: the blocks with own voxels, their sums, and (kind, axis, blocks, places, labels): components, voxels met at faces, and all voxels if asked."""
+    solid = np.zeros((len(low), *(side + 2,) * 3), bool)
+    solid[(g, *(at - low[g] + 1).T)] = True
+    own = solid[:, 1:-1, 1:-1, 1:-1]
+    cell = np.argwhere(own)
+    g, p = cell[:, 0], cell[:, 1:] + low[cell[:, 0]]
+    named, first = place(p[:, 0], p[:, 1], p[:, 2]), label(own)
+    labels = named[first]
+    held, begin, n = np.unique(g, return_index=True, return_counts=True)
+    runs = [(own & ~solid[(slice(None), *(slice(1 - d, 1 - d + side) for d in direction[::-1]))]).sum(axis=(1, 2, 3))[held] for direction in DIRECTIONS]
+    products = [p[:, i] * p[:, j] for i, j in ((0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2))]
+    sums = np.stack([*runs, n, *(np.add.reduceat(x, begin) if len(begin) else x for x in (*p.T, *products))], axis=1)
+    top = first == np.arange(len(first))
+    parts = [(COMPONENT, -1, g[top], named[top], named[top])]
     whole = np.full(own.shape, -1, np.int64)
     whole[own] = labels
     for axis in range(3):
         for kind, edge, beyond in ((BELOW, side - 1, side + 1), (ABOVE, 0, 0)):
-            face, other = np.take(whole, edge, axis), np.take(solid[tuple(slice(None) if i == axis else slice(1, -1) for i in range(3))], beyond, axis)
+            face, other = np.take(whole, edge, axis + 1), np.take(solid[(slice(None), *(slice(None) if i == axis else slice(1, -1) for i in range(3)))], beyond, axis + 1)
             met = np.argwhere((face >= 0) & other)
-            if len(met):
-                where = np.insert(met, axis, edge, axis=1) + low
-                parts.append((kind, axis, place(where[:, 0], where[:, 1], where[:, 2]) + ((1 << 21 * (2 - axis)) if kind == BELOW else 0), face[tuple(met.T)]))
+            where = np.insert(met[:, 1:], axis, edge, axis=1) + low[met[:, 0]]
+            parts.append((kind, axis, met[:, 0], place(where[:, 0], where[:, 1], where[:, 2]) + ((1 << 21 * (2 - axis)) if kind == BELOW else 0), face[tuple(met.T)]))
     if voxels:
-        parts.append((VOXEL, -1, named, labels))
-    return runs + moments, parts
+        parts.append((VOXEL, -1, g, named, labels))
+    return held, sums, parts
 
 
 def worker(side: int, voxels: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """OUT rows of blocks whose voxels (series, channel, bz, by, bx, z, y, x) stand together."""
+    """OUT rows of blocks whose voxels (series, channel, bz, by, bx, z, y, x) stand together; blocks of ``CELLS`` cells in all are worked on at once."""
     names = [c.split()[0] for c in OUT.split(", ")]
+    most = max(1, CELLS // (side + 2) ** 3)
 
     def work(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(starts) - 1, most):
+            ends = starts[i : i + most + 1]
+            yield from together(t.slice(ends[0], ends[-1] - ends[0]), ends - ends[0])
+
+    def together(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         series, channel = t.column(0).take(pa.array(starts[:-1])).combine_chunks(), t.column(1).to_numpy()[starts[:-1]]
         block, at = (np.stack([t.column(i).to_numpy() for i in of], axis=1).astype(np.int64) for of in ((2, 3, 4), (5, 6, 7)))
-        held, sums = [], []
-        for g, (i, j) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
-            low = block[i] * side
-            if ((at[i:j] >= low) & (at[i:j] < low + side)).all(axis=1).any():
-                total, parts = facts_of(at[i:j], low, side, voxels)
-                sums.append((g, total))
-                held += [(g, *part) for part in parts]
-        if not sums:
+        held, sums, parts = facts_of(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), at, block[starts[:-1]] * side, side, voxels)
+        if not len(held):
             return
-        n = np.array([len(x[3]) for x in held])
-        g, kind, axis = (np.repeat(np.array([x[k] for x in held]), n) for k in range(3))
-        columns = [series.take(pa.array(g)), pa.array(channel[g], pa.int32()), pa.array(kind, pa.int32()), pa.array(axis, pa.int32()), pa.array(np.concatenate([x[3] for x in held])), pa.array(np.concatenate([x[4] for x in held]))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(g), pa.list_(pa.int64()))], names=names)
-        g = np.array([x[0] for x in sums])
-        zero, none = pa.array(np.zeros(len(g), np.int64)), pa.array(np.full(len(g), -1), pa.int32())
-        yield pa.RecordBatch.from_arrays([series.take(pa.array(g)), pa.array(channel[g], pa.int32()), pa.array(np.full(len(g), FACTS), pa.int32()), none, zero, zero, pa.array([x[1] for x in sums], pa.list_(pa.int64()))], names=names)
+        n = [len(x[2]) for x in parts]
+        g, places, labels = (np.concatenate([x[k] for x in parts]) for k in (2, 3, 4))
+        kind, axis = (np.repeat([x[k] for x in parts], n) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([series.take(pa.array(g)), pa.array(channel[g], pa.int32()), pa.array(kind, pa.int32()), pa.array(axis, pa.int32()), pa.array(places), pa.array(labels), pa.nulls(len(g), pa.list_(pa.int64()))], names=names)
+        zero, none = pa.array(np.zeros(len(held), np.int64)), pa.array(np.full(len(held), -1), pa.int32())
+        facts = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+        yield pa.RecordBatch.from_arrays([series.take(pa.array(held)), pa.array(channel[held], pa.int32()), pa.array(np.full(len(held), FACTS), pa.int32()), none, zero, zero, facts], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
