@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..schemas import DUPLICATE_KEYS, INDEX_KEYS, INSTANCE_KEYS
 
 REFERENCING = ("SEG", "RTSTRUCT", "RTDOSE", "RTPLAN")
+#: Those whose references are found by SOP unless a dose's are asked for too.
+BY_SOP = tuple(m for m in REFERENCING if m != "RTDOSE")
 
 
 def sub_series(acquisition: str = "AcquisitionNumber"):  # noqa: ANN201
@@ -52,7 +54,7 @@ def resolve_by_frame(series: DataFrame) -> DataFrame:
 
 
 def resolve(series: DataFrame, sops: DataFrame, rtdose_sops: bool = False) -> DataFrame:
-    by_sop = resolve_by_sop(series, sops, REFERENCING if rtdose_sops else tuple(m for m in REFERENCING if m != "RTDOSE"))
+    by_sop = resolve_by_sop(series, sops, REFERENCING if rtdose_sops else BY_SOP)
     found = by_sop.unionByName(resolve_by_frame(series))
     out = series.join(found, ["SeriesInstanceUID", "SubSeries"], "left")
     return out.withColumn("ReferencedSeriesUID", F.coalesce("resolved", F.nullif("ReferencedSeriesUID", F.lit("")))).drop("resolved")
@@ -67,6 +69,15 @@ def referenced_modality(series: DataFrame) -> DataFrame:
     return series.drop("ReferencedModality").join(named, ["SeriesInstanceUID", "SubSeries"], "left")
 
 
+def reference_modalities(references: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Adds ReferencedModality to (series, subseries, ReferencedSeriesUID), from the modality of each series."""
+    parts = references.select("*", F.posexplode(F.split("ReferencedSeriesUID", ";")).alias("_i", "_uid"))
+    parts = parts.join(kinds.select(F.col("SeriesInstanceUID").alias("_uid"), F.struct("Modality").alias("_m")), "_uid", "left")
+    there = F.when(F.col("_m").isNotNull(), F.struct("_i", F.col("_m.Modality").alias("_m")))
+    named = parts.groupBy(*references.columns).agg(F.array_sort(F.collect_list(there)).alias("_a"))
+    return named.select(*references.columns, F.when(F.size("_a") > 0, F.array_join(F.transform("_a", lambda x: x["_m"]), ";")).alias("ReferencedModality"))
+
+
 def keep_first(index: DataFrame, keys: list[str] | None = None, order: str = "SubSeries") -> DataFrame:
     """Rows that differ only in ``order``: the first stays."""
     keys = keys or DUPLICATE_KEYS
@@ -82,8 +93,11 @@ def build_index(instances: DataFrame) -> DataFrame:
 def index_rows(series: DataFrame, sops: DataFrame) -> DataFrame:
     """Index rows of grouped series, whose references are found among them and in ``sops``."""
     series = referenced_modality(resolve(series, sops))
-    series = series.withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-    return keep_first(series.select(*INDEX_KEYS))
+    return keep_first(with_folder(series).select(*INDEX_KEYS))
+
+
+def with_folder(series: DataFrame) -> DataFrame:
+    return series.withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
 
 
 def report(series: DataFrame, patient: str, study: str, uid: str, modality: str) -> DataFrame:
