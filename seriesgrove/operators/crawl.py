@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import DUPLICATE_KEYS, INDEX_KEYS, INSTANCE_KEYS
+from ..storage import large
 
 REFERENCING = ("SEG", "RTSTRUCT", "RTDOSE", "RTPLAN")
 #: Those whose references are found by SOP unless a dose's are asked for too.
@@ -87,13 +88,10 @@ def keep_first(index: DataFrame, keys: list[str] | None = None, order: str = "Su
 def build_index(instances: DataFrame) -> DataFrame:
     """Instance rows to index rows; of their headers only the index's columns travel."""
     rows = instances.select(*[c for c in instances.columns if c in INSTANCE_KEYS])
-    return index_rows(group_series(rows), sop_map(rows))
-
-
-def index_rows(series: DataFrame, sops: DataFrame) -> DataFrame:
-    """Index rows of grouped series, whose references are found among them and in ``sops``."""
-    series = referenced_modality(resolve(series, sops))
-    return keep_first(with_folder(series).select(*INDEX_KEYS))
+    spark = instances.sparkSession
+    grouped = large(spark, group_series(rows), "grouped")
+    resolved = large(spark, resolve(grouped, sop_map(rows)), "resolved")
+    return keep_first(with_folder(referenced_modality(resolved)).select(*INDEX_KEYS))
 
 
 def with_folder(series: DataFrame) -> DataFrame:

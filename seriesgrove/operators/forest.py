@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DuplicateRowError, MissingDependencyModalityError, UnsupportedModalityError
 from ..schemas import IMAGING, MODALITIES
-from ..storage import row_offsets, stored
+from ..storage import large, row_offsets, stored
 
 
 def parse_query(query: str) -> list[str]:
@@ -65,7 +65,7 @@ class SeriesForest:
     def _grow(self) -> DataFrame:
         spark = self.nodes.sparkSession
         one = F.struct("uid", "modality", "pid", "place", is_root().alias("is_root"))
-        ways = stored(spark, self.nodes.select("uid", F.array(one).alias("way"), F.col("ref").alias("to")), "ways")
+        ways = large(spark, self.nodes.select("uid", F.array(one).alias("way"), F.col("ref").alias("to")), "ways")
         self.rounds = 0
         while not ways.where("to is not null").isEmpty():
             on = ways.select(F.col("uid").alias("to"), F.col("way").alias("_way"), F.col("to").alias("_to"))
@@ -75,7 +75,7 @@ class SeriesForest:
             cut = F.array_min(F.filter(F.transform("way", lambda n, i: F.when(F.array_position(uids, n["uid"]) <= i, i)), lambda i: i.isNotNull()))
             way = F.when(again, F.slice("way", F.lit(1), cut)).otherwise(F.col("way"))
             going = going.select("uid", way.alias("way"), F.when(~again, F.col("_to")).alias("to"))
-            ways = stored(spark, ways.where("to is null").unionByName(going), "ways")
+            ways = large(spark, ways.where("to is null").unionByName(going), "ways")
             self.rounds += 1
         starts = ways.select(F.posexplode("way").alias("i", "top"), "way").where("top.is_root")
         down = F.reverse(F.slice("way", F.lit(1), F.col("i") + 1))

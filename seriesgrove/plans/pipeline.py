@@ -17,7 +17,7 @@ from ..schemas import DUPLICATE_KEYS, INDEX
 from ..sources import actions, dicom, series, structures, writers
 from ..sources.dicom_tags import similar_tags, tag_exists
 from .. import storage
-from ..storage import stored, write_bytes
+from ..storage import large, stored, write_bytes
 from . import validators
 
 
@@ -34,12 +34,12 @@ class Crawler:
         path = f"{self.output_dir}/{name}.parquet"
         if not self.force:
             try:
-                return self.spark.read.parquet(path)
+                return storage.unless_small(self.spark, self.spark.read.parquet(path), path)
             except Exception as e:  # noqa: BLE001
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
         build().write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        return storage.unless_small(self.spark, self.spark.read.parquet(path), path)
 
     def instances(self) -> DataFrame:
         return self._stored("instances", lambda: dicom.crawl(self.spark, self.dicom_dir))
@@ -150,11 +150,11 @@ class SampleLoader:
     def load(self, numbered: DataFrame) -> DataFrame:
         """Volume rows: sample_number, pid, series, modality, kind (image, mask), is_reference, image_id, roi_key, matched_rois, channel, geometry, voxels, meta, error."""
         spark = self.spark
-        each = stored(spark, self.members(numbered), "members")
+        each = large(spark, self.members(numbered), "members")
         found = self.crawler.instances().where("error is null").withColumnRenamed("SeriesInstanceUID", "series")
         used = lambda kinds: found.join(each.where(F.col("modality").isin(*kinds)).select("series").distinct(), "series", "left_semi")
         read = series.load_series(used(series.READERS).withColumnRenamed("series", "SeriesInstanceUID"), self.load_subseries, self.pet_image_type)
-        read = stored(spark, read.drop("modality"), "images")
+        read = large(spark, read.drop("modality"), "images")
         images = each.where(F.col("modality").isin(*series.READERS)).join(read, "series", "left")
         gone = F.when(F.col("sub_series").isNull(), F.lit("LoadError: the series has no files"))
         none = lambda kind: F.lit(None).cast(kind)
@@ -164,7 +164,7 @@ class SampleLoader:
         )
         grids = images.where("is_reference and error is null").select("sample_number", "size", "spacing", "origin", "direction")
         masked = each.where(F.col("modality").isin("RTSTRUCT", "SEG")).select("sample_number", "pid", "series", "modality")
-        regions = stored(spark, structures.read_regions(used(("RTSTRUCT", "SEG")).withColumnRenamed("series", "SeriesInstanceUID")), "regions")
+        regions = large(spark, structures.read_regions(used(("RTSTRUCT", "SEG")).withColumnRenamed("series", "SeriesInstanceUID")), "regions")
         matched = roi.match(regions.where("roi is not null"), roi.pattern_rows(spark, self.roi_match_map), self.roi_strategy, self.roi_ignore_case, self.roi_allow_multi)
         if self.roi_strategy == roi.ROIMatchStrategy.KEEP_FIRST:
             matched = matched.withColumn("image_id", F.concat("key", F.lit("__["), F.get("roi_names", F.lit(0)), F.lit("]")))
@@ -174,7 +174,7 @@ class SampleLoader:
         by = lambda df: own.select("_id", "series").join(df, "series").drop("series").withColumnRenamed("_id", "series")
         drawn = structures.masks(by(regions), by(matched), grids.join(own, "sample_number").select(F.col("_id").alias("series"), "size", "origin", "spacing", "direction"))
         drawn = drawn.withColumnRenamed("series", "_id").join(own, "_id").drop("_id")
-        meta = found.groupBy("series").agg(F.min_by("hdr", "path").alias("meta"))
+        meta = used(("RTSTRUCT", "SEG")).groupBy("series").agg(F.min_by("hdr", "path").alias("meta"))
         drawn = drawn.join(meta, "series", "left")
         wrong = by(regions.where("roi is null")).groupBy("series").agg(F.min("error").alias("error")).withColumnRenamed("series", "_id").join(own, "_id").drop("_id")
         if self.roi_on_missing == roi.ROIMatchFailurePolicy.ERROR:
@@ -212,7 +212,7 @@ class Transformer:
 
     def __call__(self, spark: SparkSession, rows: DataFrame) -> DataFrame:
         first = volumes.resample(rows.where("is_reference"), self.spacing, self.interpolation)
-        first = stored(spark, first, "references")
+        first = large(spark, first, "references")
         grid = first.where("error is null").select("sample_number", volumes.geometry(first).alias("ref"))
         rest = rows.where("not is_reference").join(grid, "sample_number", "left")
         lost = F.when(F.col("ref").isNull(), F.lit("TransformError: the sample has no reference image"))
@@ -277,7 +277,7 @@ class Autopipeline:
     def run(self) -> DataFrame:
         """One stored row per sample: SampleID, PatientID, success, error_type, error_message, output_files, input_series, processing_time."""
         began = time.monotonic()
-        numbered = stored(self.spark, self.loader.query(), "samples")
+        numbered = large(self.spark, self.loader.query(), "samples")
         rows = self.transformer(self.spark, self.loader.load(numbered))
         done = self.save(rows)
         return stored(self.spark, sample_results(numbered, self.loader.members(numbered), done, time.monotonic() - began), "results")

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import storage
@@ -127,8 +127,7 @@ class Writer:
             return {"part": name, "voxels": b""}
 
         made = storage.stored(spark, volumes.map_rows(planned, one, "SaveError").drop("voxels"), "manifest")
-        first = made.where("part is not null").groupBy("target").agg(F.min("part").alias("_first"))
-        made = made.join(first, "target", "left")
+        made = storage.spread(made, "target").withColumn("_first", F.min("part").over(Window.partitionBy("target")))
         twice = F.when(F.col("part") != F.col("_first"), F.lit("SaveError: FileExistsError: another row has the same target"))
         made = made.withColumn("error", F.coalesce("error", twice)).drop("_first")
         names = [*made.columns, "filepath", "status"]
@@ -155,7 +154,7 @@ class Writer:
                 yield pd.DataFrame(out, columns=names)
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema)
-        done = storage.stored(spark, storage.spread(made, "target").mapInPandas(publish, f"{kinds}, filepath string, status string"), "saved").drop("part")
+        done = storage.large(spark, made.mapInPandas(publish, f"{kinds}, filepath string, status string"), "saved").drop("part")
         storage.hadoop(spark, parts).delete(storage.hadoop_path(spark, parts), True)
         if self.index_path:
             self.index(done)

@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SMALL = 1 << 20  # stored bytes up to which a table that grows with a collection may be broadcast
+
 _local: list[str] = []
 _made: list[str] = []
 
@@ -42,6 +44,20 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def large(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+    """``stored`` for tables that grow with a collection: joins sort and shuffle them once they are more than ``SMALL`` bytes.
+
+    The optimizer broadcasts by the bytes of files, of which repeated text takes
+    few; in memory headers of series take many times that.
+    """
+    return unless_small(spark, stored(spark, df, tag), _made[-1])
+
+
+def unless_small(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """``df``, read from ``path``, kept from being broadcast if it is more than ``SMALL`` bytes."""
+    return df.hint("merge") if hadoop(spark, path).getContentSummary(hadoop_path(spark, path)).getLength() > SMALL else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt by keys to as many tasks as the session's shuffles have.
 
@@ -92,6 +108,15 @@ def exists(uri: str) -> bool:
     return system.get_file_info(path).type != fs.FileType.NotFound
 
 
+def entries(uri: str) -> list[tuple[str, int, int, bool]]:
+    """(path, microseconds of the last change, length, is a folder) of what a folder holds."""
+    from pyarrow import fs
+
+    system, path = located(uri)
+    root = uri.rstrip("/")
+    return [(f"{root}/{i.base_name}", (i.mtime_ns or 0) // 1000, i.size or 0, i.type == fs.FileType.Directory) for i in system.get_file_info(fs.FileSelector(path))]
+
+
 def read_bytes(uri: str, most: int | None = None) -> bytes:
     """The file's first ``most`` bytes, or all."""
     system, path = located(uri)
