@@ -14,7 +14,7 @@ from .. import storage
 from ..errors import MaskSavingStrategyError
 from ..operators import outputs, roi
 from ..sources import structures, writers
-from ..storage import stored
+from ..storage import large, stored
 from . import pipeline
 
 #: The image channels of the layout, and its file name.
@@ -83,8 +83,8 @@ class NNUNetPipeline:
 
     def run(self) -> DataFrame:
         """Result rows as the general pipeline's; writes images, labels, the manifest and the scripts."""
-        numbered = stored(self.spark, self.loader.query(first=1), "samples")
-        rows = stored(self.spark, self.transformer(self.spark, self.loader.load(numbered)), "transformed")
+        numbered = large(self.spark, self.loader.query(first=1), "samples")
+        rows = large(self.spark, self.transformer(self.spark, self.loader.load(numbered)), "transformed")
         done = self.writer.save(self.laid_out(rows))
         done = done.withColumnsRenamed({"SampleNumber": "sample_number", "SeriesInstanceUID": "series"})
         results = stored(self.spark, pipeline.sample_results(numbered, self.loader.members(numbered), done, 0.0), "results")
@@ -94,11 +94,11 @@ class NNUNetPipeline:
     def laid_out(self, rows: DataFrame) -> DataFrame:
         """One image per CT or MR series and the first mask with all keys per sample; a sample without such a mask has only an error."""
         drawn = rows.where("kind = 'mask' and roi_key is not null").withColumn("roi_names", F.split("matched_rois", r"\|"))
-        masks = structures.encode_mask(drawn, self.keys, self.mask_saving_strategy.value)
+        masks = large(self.spark, structures.encode_mask(drawn, self.keys, self.mask_saving_strategy.value), "encoded")
         bad = rows.where("kind = 'mask' and roi_key is null").select("sample_number", "series", "error").where("error is not null")
         masks = masks.unionByName(bad, allowMissingColumns=True)
         ranked = masks.groupBy("sample_number").agg(F.min(F.struct(F.col("error").isNotNull().alias("a"), F.col("series").alias("b"))).alias("m"))
-        best = masks.join(ranked, "sample_number").where(F.col("series") == F.col("m.b")).drop("m")
+        best = large(self.spark, masks.join(ranked, "sample_number").where(F.col("series") == F.col("m.b")).drop("m"), "masks")
         good = best.where("error is null").select("sample_number")
         images = rows.where("kind = 'image'").join(good, "sample_number", "left_semi")
         lost = rows.where("is_reference").select("sample_number", "series", "error").join(best.select("sample_number"), "sample_number", "left_anti")
